@@ -103,7 +103,10 @@ def weighted_assign(df: DataFrame, fraction: Column, weights: DataFrame, value:
         F.sum(weight).over(W.orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)).alias("upto"),
     )
     ranges = running.agg(F.array_sort(F.collect_list(F.struct("upto", "value")))).scalar()
-    total = weights.agg(F.sum(weight)).scalar()
-    hit = F.filter(ranges, lambda r: r["upto"] > fraction * total)
-    checked = F.when(F.size(ranges) > MAX_CATEGORIES, F.raise_error(F.lit("catalogue too long")).cast("string"))
-    return df.withColumn(value, checked.otherwise(F.try_element_at(hit, F.lit(1))["value"]))
+    place = fraction * weights.agg(F.sum(weight)).scalar()
+    placed = df.withColumn("_ranges", ranges).withColumn("_place", place)
+    hit = F.filter("_ranges", lambda r: r["upto"] > F.col("_place"))
+    checked = F.when(
+        F.size("_ranges") > MAX_CATEGORIES, F.raise_error(F.lit("catalogue too long")).cast("string")
+    ).otherwise(F.try_element_at(hit, F.lit(1))["value"])
+    return placed.withColumn(value, checked).drop("_ranges", "_place")

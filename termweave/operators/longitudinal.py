@@ -89,7 +89,7 @@ def fill_terms(
     The gap ends at the next row, so no calendar is joined.
     """
     until = F.coalesce(F.lead(ord).over(history(person, ord)) - 1, F.col(ord))
-    spread = df.withColumn("_term", F.explode(F.sequence(F.col(ord), until)))
+    spread = df.withColumn("_until", until).withColumn("_term", F.explode(F.sequence(ord, "_until")))
     here = F.col("_term") == F.col(ord)
     others = [c for c in df.columns if c not in (person, ord)]
     return spread.select(

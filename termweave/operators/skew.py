@@ -64,11 +64,8 @@ def salted_join(
     spread = big.join(heavy, on, "left").withColumn("_salt", salt).drop("_salts")
     if how in ("left_semi", "left_anti"):
         other = other.select(*on).distinct()
-    repeats = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
-    repeated = (
-        other.join(heavy, on, "left")
-        .withColumn("_salt", F.explode(repeats).cast("bigint"))
-        .drop("_salts")
-    )
+    last = F.coalesce(F.col("_salts"), F.lit(1)).cast("bigint") - 1
+    repeats = F.sequence(F.lit(0).cast("bigint"), last)
+    repeated = other.join(heavy, on, "left").withColumn("_salt", F.explode(repeats)).drop("_salts")
     joined = spread.join(repeated, [*on, "_salt"], how)
     return joined.drop("_salt")

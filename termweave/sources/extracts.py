@@ -183,6 +183,23 @@ def _read_format(spark, root, table, fmt, schema, with_source) -> DataFrame:
     return nulls_from_text(rows) if fmt == "csv" else flatten(rows)
 
 
+def read_table(
+    spark: SparkSession, root: str, table: str, fmt: str = "parquet", schema: T.StructType | None = None
+) -> DataFrame:
+    """A table written one folder per term; the term is a partition column, so filters on it skip folders."""
+    path = f"{root.rstrip('/')}/{table}"
+    if fmt == "csv":
+        return read_csv(spark, path, schema, check_header=False)
+    if fmt == "json":
+        return read_json(spark, path, schema, lines=True)
+    return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
+
+
+def read_parts(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table whose deliveries differ in columns, matched by name."""
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
 def part_schemas(spark: SparkSession, root: str, table: str) -> dict[str, list[tuple[str, str]]]:
     """Columns and inferred types of one table in each term folder, read folder by folder.
 
