@@ -90,7 +90,8 @@ def credits_in_level(level: Column, fraction: Column) -> Column:
 
 def pad_key(prefix: str, number: Column, width: int) -> Column:
     """``prefix`` and the number with leading zeros; longer numbers keep all digits."""
-    return F.format_string(f"{prefix}%0{width}d", number)
+    digits = number.cast("string")
+    return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), F.lit("0")))
 
 
 def prefixed_key(prefix: str, key: Column) -> Column:
@@ -105,7 +106,7 @@ def section_letter(number: Column) -> Column:
 
 def section_id(term: Column, subject: Column, catalog: Column, section: Column) -> Column:
     """Course section key ``WD-2024FA-MATH-101A``."""
-    number = F.concat(F.format_string("%03d", catalog), section_letter(section))
+    number = F.concat(pad_key("", catalog, 3), section_letter(section))
     return F.concat_ws("-", F.lit("WD"), term, subject, number)
 
 

@@ -47,7 +47,7 @@ def bridge_averages(
     """Averages over the rows of a bridge join, without producing those rows.
 
     ``left`` and ``right`` are tables of :func:`partials` on their own key and
-    ``on``. Both shrink to one row per person and term before they meet; a left
+    ``on``: both have shrunk to one row per person and term before they meet. A left
     value counts once per matching right row and the other way round, so the
     averages equal those over the joined rows. ``by`` names columns of the key.
     """
@@ -55,7 +55,7 @@ def bridge_averages(
     pairs = crosswalk.select(left_key, right_key)
     mine = merge(salted_join(pairs, left, [left_key]), [right_key, *on], left_values)
     mine = mine.withColumnRenamed("n", "left_n")
-    theirs = merge(right, [right_key, *on], right_values).withColumnRenamed("n", "right_n")
+    theirs = right.withColumnRenamed("n", "right_n")
     met = mine.join(theirs, [right_key, *on])
     sums = []
     for values, times in ((left_values, "right_n"), (right_values, "left_n")):

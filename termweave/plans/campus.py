@@ -59,8 +59,8 @@ def enrolments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def enrolment_partials(spark: SparkSession, sf_dir: str, values: Sequence[str] = ()) -> DataFrame:
     """Enrolments per student and term as sums and counts."""
-    per_person = partials(enrolments(spark, sf_dir), ["person", "term_ord"], values)
-    return with_term(per_person, student_id(F.col("person")).alias("student_id"))
+    rows = enrolments(spark, sf_dir).withColumn("student_id", student_id(F.col("person")))
+    return partials(rows, ["student_id", "term_ord"], values)
 
 
 def line_partials(spark: SparkSession, sf_dir: str, measures: dict[str, Column]) -> DataFrame:
@@ -74,15 +74,19 @@ def line_partials(spark: SparkSession, sf_dir: str, measures: dict[str, Column])
         term_ord_of_date(F.col("l_shipdate")).alias("term_ord"),
         *[c.alias(name) for name, c in measures.items()],
     )
-    per_order = partials(lines, ["o_orderkey", "term_ord"], list(measures))
     owners = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("person"))
+    per_order = partials(lines, ["o_orderkey", "term_ord"], list(measures))
     return merge(per_order.join(owners, "o_orderkey"), ["person", "term_ord"], list(measures))
 
 
-def with_term(df: DataFrame, *keys: Column) -> DataFrame:
-    """Replace person and term position by text keys and the term code."""
-    rest = [c for c in df.columns if c not in ("person", "term_ord")]
-    return df.select(*keys, term_code(F.col("term_ord")).alias("term_code"), *rest)
+def with_keys(df: DataFrame, *keys: Column) -> DataFrame:
+    """Replace the numeric person by text keys."""
+    return df.select(*keys, *[c for c in df.columns if c != "person"])
+
+
+def coded(df: DataFrame) -> DataFrame:
+    """Replace the term position by its code, once rows are few."""
+    return df.select(term_code(F.col("term_ord")).alias("term_code"), *[c for c in df.columns if c != "term_ord"])
 
 
 def logins() -> Column:
@@ -102,8 +106,8 @@ def register_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     person = F.col("o_custkey")
     return {
         "identity_crosswalk": crosswalk(spark, sf_dir),
-        "sis_enrollments": with_term(
-            enrolments(spark, sf_dir).drop("o_orderkey"), student_id(F.col("person")).alias("student_id")
+        "sis_enrollments": coded(
+            with_keys(enrolments(spark, sf_dir).drop("o_orderkey"), student_id(F.col("person")).alias("student_id"))
         ),
         "lms_activity": lines.select(
             moodle_key(person).alias("moodle_user_key"),

@@ -30,10 +30,6 @@ def _enrolled(spark, sf_dir):
     )
 
 
-def _coded(df):
-    return df.withColumn("term_code", term_code(F.col("term_ord"))).drop("term_ord")
-
-
 @query(
     f"""
     WITH {ENROLLED},
@@ -48,7 +44,7 @@ def _coded(df):
 def running_totals(spark, sf_dir):
     """Credits and amounts per person and term, with the totals so far and an opening balance."""
     rows = _enrolled(spark, sf_dir).withColumn("opening", F.col("person") % 30)
-    return _coded(history.running_totals(rows, "person", "term_ord", ["credits", "cents"], {"credits": "opening"}))
+    return campus.coded(history.running_totals(rows, "person", "term_ord", ["credits", "cents"], {"credits": "opening"}))
 
 
 @query(
@@ -76,7 +72,7 @@ def running_gpa(spark, sf_dir):
     credits = F.when(F.col("l_linenumber") > 3, F.lit(4)).otherwise(F.lit(3))
     sections = campus.line_partials(spark, sf_dir, {"points": campus.logins() * 8 * credits, "weight": credits})
     rows = sections.select("person", "term_ord", F.col("sum_points").alias("points"), F.col("sum_weight").alias("weight"))
-    return _coded(history.running_weighted_mean(rows, "person", "term_ord", "points", "weight"))
+    return campus.coded(history.running_weighted_mean(rows, "person", "term_ord", "points", "weight"))
 
 
 @query(
@@ -93,7 +89,7 @@ def weighted_mean(spark, sf_dir):
     """Weighted mean score per term; sections without credit do not count."""
     lines = campus.table(spark, sf_dir, "lineitem").withColumn("term_ord", term_ord_of_date(F.col("l_shipdate")))
     credits = F.when(F.col("l_returnflag") == "N", F.lit(0)).otherwise(F.col("l_linenumber")).cast("bigint")
-    return _coded(history.weighted_mean(lines, ["term_ord"], campus.logins() * 8, credits))
+    return campus.coded(history.weighted_mean(lines, ["term_ord"], campus.logins() * 8, credits))
 
 
 FILLED = f"""
@@ -120,7 +116,7 @@ def _filled(spark, sf_dir):
 )
 def enrolment_history(spark, sf_dir):
     """Every term of every person from first to last, skipped ones with carried totals."""
-    return _coded(_filled(spark, sf_dir))
+    return campus.coded(_filled(spark, sf_dir))
 
 
 @query(
@@ -133,7 +129,7 @@ def enrolment_history(spark, sf_dir):
 def attendance_by_term(spark, sf_dir):
     """People enrolled and skipping, per term."""
     counted = _filled(spark, sf_dir).groupBy("term_ord", "enrollment_status").agg(F.count(F.lit(1)).alias("cnt"))
-    return _coded(counted)
+    return campus.coded(counted)
 
 
 @query(
@@ -151,7 +147,7 @@ def carried_values(spark, sf_dir):
     """The last known load of each person, carried over terms without one."""
     known = F.max(F.when(F.col("o_orderstatus") != "P", F.col("credits"))).alias("credits")
     terms = history.per_term(_enrolled(spark, sf_dir), "person", "term_ord", known)
-    return _coded(history.carry_forward(terms, "person", "term_ord", "credits", "last_credits"))
+    return campus.coded(history.carry_forward(terms, "person", "term_ord", "credits", "last_credits"))
 
 
 @query(
@@ -167,7 +163,7 @@ def change_events(spark, sf_dir):
     """Terms in which a person's main attribute differs from the term before."""
     rows = _enrolled(spark, sf_dir).withColumnRenamed("o_orderpriority", "major")
     terms = history.latest_in_term(rows, "person", "term_ord", "major", ["o_orderdate", "o_orderkey"])
-    return _coded(history.changes(terms, "person", "term_ord", "major"))
+    return campus.coded(history.changes(terms, "person", "term_ord", "major"))
 
 
 @query(
@@ -204,7 +200,7 @@ def first_term(spark, sf_dir):
 )
 def eligible_by_term(spark, sf_dir):
     """People between admission and last term, per term."""
-    return _coded(history.eligible_by_term(_enrolled(spark, sf_dir), "person", "term_ord"))
+    return campus.coded(history.eligible_by_term(_enrolled(spark, sf_dir), "person", "term_ord"))
 
 
 ADMIT = f"(5985 + floor({sql.fraction('admit', 'person')} * 12))::INTEGER"
@@ -233,7 +229,7 @@ def eligible_rows(spark, sf_dir):
         .withColumn("stopped", F.when(hash_fraction("stopped", person) < 0.3, F.col("admit") + after))
     )
     kept = history.eligible(rows, "term_ord", "admit", "stopped")
-    return _coded(kept.select("o_orderkey", "person", "term_ord"))
+    return campus.coded(kept.select("o_orderkey", "person", "term_ord"))
 
 
 @query(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from termweave.functions.terms import term_code, term_ord_of_date
 from termweave.operators import fragment, identity, quality
 from termweave.operators.ordering import top
 from termweave.plans import campus, sql
@@ -22,7 +21,7 @@ Q2_SQL = f"""
 @query(Q2_SQL, "J1", "J3", "J4", "A2", "P1", "S7", "Q9")
 def activity_avg_by_person(spark, sf_dir):
     """Average logins per person over the terms they are enrolled in."""
-    lms = campus.with_term(
+    lms = campus.with_keys(
         campus.line_partials(spark, sf_dir, {"logins": campus.logins()}),
         campus.moodle_key(F.col("person")).alias("moodle_user_key"),
     )
@@ -33,6 +32,7 @@ def activity_avg_by_person(spark, sf_dir):
         "moodle_user_key",
         "student_id",
         by=["student_id"],
+        on=["term_ord"],
         left_values=["logins"],
     )
 
@@ -58,20 +58,22 @@ def login_average(spark, sf_dir):
 )
 def two_averages_by_term(spark, sf_dir):
     """Average loans and term averages of people who have both, per term."""
-    aid = campus.with_term(
+    aid = campus.with_keys(
         campus.line_partials(spark, sf_dir, {"loans": campus.loans()}),
         campus.workday_id(F.col("person")).alias("workday_person_id"),
     )
-    return identity.bridge_averages(
+    averages = identity.bridge_averages(
         aid,
         campus.crosswalk(spark, sf_dir),
         campus.enrolment_partials(spark, sf_dir, ["term_gpa"]),
         "workday_person_id",
         "student_id",
-        by=["term_code"],
+        by=["term_ord"],
+        on=["term_ord"],
         left_values=["loans"],
         right_values=["term_gpa"],
-    ).orderBy("term_code")
+    )
+    return campus.coded(averages).orderBy("term_code")
 
 
 def _events(spark, sf_dir, kind, key, key_name, *columns):
@@ -155,7 +157,7 @@ def coverage_by_term(spark, sf_dir):
     """Share of enrolments with an activity row in a thinned extract, and the reverse."""
     enrolled, extract = _enrolled_and_extract(spark, sf_dir)
     found = quality.coverage(enrolled, extract, ["person", "term_ord"], ["term_ord"])
-    return found.select(term_code(F.col("term_ord")).alias("term_code"), *[c for c in found.columns if c != "term_ord"])
+    return campus.coded(found)
 
 
 @query(
@@ -171,7 +173,7 @@ def missing_activity(spark, sf_dir):
     """Enrolled people and terms without an activity row."""
     enrolled, extract = _enrolled_and_extract(spark, sf_dir)
     lost = identity.missing_keys(enrolled, extract, ["person", "term_ord"])
-    return lost.select("person", term_code(F.col("term_ord")).alias("term_code"), "rows_without")
+    return campus.coded(lost)
 
 
 @query(
