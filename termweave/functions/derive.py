@@ -113,11 +113,12 @@ def section_id(term: Column, subject: Column, catalog: Column, section: Column)
 def section_parts(key: Column) -> Column:
     """Struct of term, subject, catalog and letter of a course section key."""
     parts = F.split(key, "-")
+    number = F.try_element_at(parts, F.lit(4))
     return F.struct(
         F.try_element_at(parts, F.lit(2)).alias("term_code"),
         F.try_element_at(parts, F.lit(3)).alias("subject"),
-        F.regexp_extract(F.try_element_at(parts, F.lit(4)), r"^([0-9]+)", 1).alias("catalog_number"),
-        F.regexp_extract(F.try_element_at(parts, F.lit(4)), r"([A-E])$", 1).alias("section"),
+        F.left(number, F.length(number) - 1).alias("catalog_number"),
+        F.right(number, F.lit(1)).alias("section"),
     )
 
 
@@ -166,8 +167,7 @@ def collapse_space(text: Column) -> Column:
 
 def strip_chars(text: Column, chars: str) -> Column:
     """``text`` without the given characters at either end."""
-    inside = "".join("\\" + c for c in chars)
-    return F.regexp_replace(text, f"^[{inside}]+|[{inside}]+$", "")
+    return F.btrim(text, F.lit(chars))
 
 
 def utc_now() -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from termweave.functions.derive import collapse_space, strip_chars
+from termweave.functions.derive import strip_chars
 
 # The word taken as a table, and words that are never one.
 TABLE_PATTERN = r"(?i)\b(?:FROM|JOIN)\s+(\S+)"
@@ -19,10 +19,10 @@ NOT_TABLES = ("select", "on", "where")
 
 def tables_in_sql(sql: Column) -> Column:
     """Array of the table names in a SQL text, first mention first, each once."""
-    words = F.regexp_extract_all(collapse_space(sql), F.lit(TABLE_PATTERN), 1)
+    words = F.regexp_extract_all(sql, F.lit(TABLE_PATTERN), 1)
     bare = F.transform(words, lambda w: strip_chars(w, ",;"))
     kept = F.filter(bare, lambda w: ~F.lower(w).isin(*NOT_TABLES))
-    return F.array_distinct(F.transform(kept, lambda w: F.element_at(F.split(w, "[.]"), -1)))
+    return F.array_distinct(F.transform(kept, lambda w: F.substring_index(w, ".", -1)))
 
 
 def fanout(sql: Column) -> Column:

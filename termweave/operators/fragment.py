@@ -49,11 +49,33 @@ def null_out(df: DataFrame, column: str, kept: float, salt: str, *key: str) -> D
     return df.withColumn(column, F.when(_fraction(salt, key) < F.lit(kept), F.col(column)))
 
 
-def thin_levels(df: DataFrame, rates: Sequence[float], salt: str, key: Sequence[str]) -> Column:
-    """Array of the rates at which a row survives; unfolding it runs all levels in one scan."""
+def sweep(
+    df: DataFrame, rates: Sequence[float], salt: str, key: Sequence[str], by: Sequence[str], sums: Sequence[str]
+) -> DataFrame:
+    """Sums per group over copies of ``df`` thinned at each rate, as one row per rate and group.
+
+    All copies are summed in one pass: a row adds to every rate it survives, and
+    rates become rows only after the aggregation. A group without rows at a rate
+    has no row there.
+    """
     fraction = _fraction(salt, key)
-    levels = [F.when(fraction >= F.lit(r), F.lit(float(r))) for r in rates]
-    return F.filter(F.array(*levels), lambda r: r.isNotNull())
+    levels = []
+    for i, rate in enumerate(rates):
+        kept = fraction >= F.lit(float(rate))
+        levels.append([F.count_if(kept).alias(f"_n{i}")])
+        levels[i] += [F.sum(F.when(kept, F.col(c))).alias(f"_s{i}_{j}") for j, c in enumerate(sums)]
+    wide = df.groupBy(*by).agg(*[m for level in levels for m in level])
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(float(rate)).alias("missing_rate"),
+                F.col(f"_n{i}").alias("_n"),
+                *[F.col(f"_s{i}_{j}").alias(c) for j, c in enumerate(sums)],
+            )
+            for i, rate in enumerate(rates)
+        ]
+    )
+    return wide.select(*by, F.inline(rows)).filter(F.col("_n") > 0).drop("_n")
 
 
 def swap_pairs(

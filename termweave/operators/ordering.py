@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,8 @@ from pyspark.sql import Window as W
 
 from termweave.storage import materialize
 
+ROWS_PER_SLICE = 5_000_000
+
 
 def number_rows(
     df: DataFrame,
@@ -17,6 +20,7 @@ def number_rows(
     order: Sequence[str],
     name: str = "row_number",
     slices: int | None = None,
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Exact ``row_number()`` per group in ``order``, however large a group is.
 
@@ -25,11 +29,13 @@ def number_rows(
     later slices add the sizes of its earlier ones. Fewer (group, slice) pairs
     than slices have something to add, which bounds the broadcast. The numbered
     slices are stored once in the shared folder, because both the sizes and the
-    result read them. ``order`` must end in a unique key.
+    result read them. ``order`` must end in a unique key. Unless given, the
+    number of slices follows from a count of the rows.
     """
     spark = df.sparkSession
     by, order = list(by), list(order)
-    slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if slices is None:
+        slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / rows_per_slice))
     sliced = df.repartitionByRange(slices, *by, *order).withColumn("_slice", F.spark_partition_id())
     within = W.partitionBy(*by, "_slice").orderBy(*order)
     stored = materialize(sliced.withColumn("_local", F.row_number().over(within).cast("bigint")), "numbered")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from termweave.functions import catalogs
 from termweave.functions.hashing import hash_fraction, weighted_choice
-from termweave.functions.terms import term_code
 from termweave.operators import fragment
 from termweave.plans import campus, sql
 from termweave.plans.registry import query
@@ -54,15 +53,10 @@ LEVEL_LIST = ", ".join(f"({r}::DOUBLE)" for r in LEVELS)
 def frag_sweep(spark, sf_dir):
     """The same averages over copies with more and more people missing, in one scan."""
     activity = campus.line_partials(spark, sf_dir, {"logins": campus.logins()})
-    rates = fragment.thin_levels(activity, LEVELS, "sweep", ["person", "term_ord"])
-    copies = activity.select("*", F.explode(rates).alias("missing_rate"))
-    sums = copies.groupBy("missing_rate", "term_ord").agg(F.sum("n").alias("n"), F.sum("sum_logins").alias("s"))
-    return sums.select(
-        "missing_rate",
-        term_code(F.col("term_ord")).alias("term_code"),
-        "n",
-        (F.col("s") / F.col("n")).alias("avg_logins"),
+    sums = fragment.sweep(
+        activity, LEVELS, "sweep", ["person", "term_ord"], by=["term_ord"], sums=["n", "sum_logins"]
     )
+    return campus.coded(sums).select("missing_rate", "term_code", "n", (F.col("sum_logins") / F.col("n")).alias("avg_logins"))
 
 
 MAJOR_VALUES = ", ".join(

@@ -6,6 +6,7 @@ tables. File suffixes count in any letter case; ``metadata.json`` is not a table
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,7 @@ NULL_TEXTS = (
 TERM_FILE = r"/terms/([^/]+)/[^/]+$"
 FILE_NAME = r"([^/]+)\.[^./]+$"
 SUFFIX = r"\.([^./]+)$"
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 NOT_TABLES = ("metadata.json",)
 FORMATS = ("csv", "json")
 
@@ -50,10 +52,20 @@ def format_of(path: Column) -> Column:
     return F.when(F.lower(F.regexp_extract(path, SUFFIX, 1)) == "json", F.lit("json")).otherwise(F.lit("csv"))
 
 
+def _bare(path: str) -> str:
+    """A path without scheme and host; relative ones are refused, as they differ between file systems."""
+    bare = re.sub(SCHEME, "", path).rstrip("/")
+    if not bare.startswith("/"):
+        raise ValueError(f"name the folder by an absolute path or URI, not {path}")
+    return re.sub("/+", "/", bare)
+
+
 def _in_layout(path: Column, root: str) -> Column:
     """Whether a file lies directly in ``root`` or in a folder of its ``terms``."""
-    tail = F.substring_index(path, "/" + root.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
-    return tail.rlike(r"^[^/]+$") | tail.rlike(r"^terms/[^/]+/[^/]+$")
+    depth = _bare(root).count("/")
+    steps = F.split(F.regexp_replace(path, SCHEME, ""), "/")
+    below = F.size(steps) - 1 - depth
+    return (below == 1) | ((below == 3) & (F.try_element_at(steps, F.lit(depth + 2)) == "terms"))
 
 
 def list_extracts(spark: SparkSession, root: str) -> DataFrame:
@@ -200,18 +212,27 @@ def read_parts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(path)
 
 
+def _folders(spark: SparkSession, root: str, table: str) -> list[tuple[str, str, str]]:
+    """Term folder, format and path of each folder that holds files of a table."""
+    found = list_extracts(spark, root).filter(F.col("table_name") == table)
+    folders = [(r["term_folder"] or "", r["format"]) for r in found.select("term_folder", "format").distinct().collect()]
+    if not folders:
+        raise FileNotFoundError(f"no extract of {table} below {root}")
+    base = root.rstrip("/")
+    return [(term, fmt, f"{base}/terms/{term}" if term else base) for term, fmt in sorted(folders)]
+
+
 def part_schemas(spark: SparkSession, root: str, table: str) -> dict[str, list[tuple[str, str]]]:
     """Columns and inferred types of one table in each term folder, read folder by folder.
 
     Works on as many small reads as there are folders, a few per year of data.
     """
-    found = list_extracts(spark, root).filter(F.col("table_name") == table)
-    result = {}
-    for folder in found.groupBy("term_folder", "format").agg(F.collect_list("path").alias("paths")).collect():
-        read = read_csv if folder["format"] == "csv" else read_json
-        columns = [(f.name, f.dataType.simpleString()) for f in read(spark, folder["paths"]).schema.fields]
-        result.setdefault(folder["term_folder"] or "", []).extend(columns)
-    return dict(sorted(result.items()))
+    result: dict[str, list[tuple[str, str]]] = {}
+    for term, fmt, path in _folders(spark, root, table):
+        read = read_csv if fmt == "csv" else read_json
+        part = read(spark, path, pathGlobFilter=file_pattern(table, fmt))
+        result.setdefault(term, []).extend((f.name, f.dataType.simpleString()) for f in part.schema.fields)
+    return result
 
 
 def read_drifted(spark: SparkSession, root: str, table: str, schema: T.StructType | None = None) -> DataFrame:
@@ -220,31 +241,26 @@ def read_drifted(spark: SparkSession, root: str, table: str, schema: T.StructTyp
     Folders with the same header are read together, so there are as many scans
     as different headers. Columns a folder lacks are null there.
     """
-    found = list_extracts(spark, root).filter(F.col("table_name") == table)
-    by_header: dict[tuple, list[str]] = {}
-    for folder in found.groupBy("term_folder", "format").agg(F.collect_list("path").alias("paths")).collect():
-        if folder["format"] == "json":
-            header = ("json",)
-        else:
-            header = ("csv", *spark.read.option("header", True).option("escape", '"').csv(folder["paths"]).columns)
-        by_header.setdefault(header, []).extend(folder["paths"])
-    if not by_header:
-        raise FileNotFoundError(f"no extract of {table} below {root}")
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for _, fmt, path in _folders(spark, root, table):
+        header: tuple[str, ...] = ()
+        if fmt == "csv":
+            first_line = spark.read.options(header=True, escape='"', pathGlobFilter=file_pattern(table, fmt))
+            header = tuple(first_line.csv(path).columns)
+        by_header.setdefault((fmt, *header), []).append(path)
     if schema is None and schemas.known(table):
         schema = schemas.schema(table)
-    assembled = None
-    for header, paths in sorted(by_header.items()):
-        if header[0] == "json":
-            one = flatten(read_json(spark, sorted(paths), schema))
+    typed = {f.name: f.dataType for f in schema.fields} if schema else {}
+    parts = []
+    for (fmt, *header), paths in by_header.items():
+        if fmt == "json":
+            parts.append(flatten(read_json(spark, paths, schema, pathGlobFilter=file_pattern(table, fmt))))
         else:
-            typed = {f.name: f.dataType for f in schema.fields} if schema else {}
-            layout = T.StructType([T.StructField(c, typed.get(c, T.StringType())) for c in header[1:]])
-            one = read_csv(spark, sorted(paths), layout)
-        assembled = one if assembled is None else assembled.unionByName(one, allowMissingColumns=True)
-    if schema is not None:
-        known = [f.name for f in schema.fields if f.name in assembled.columns]
-        assembled = assembled.select(*known, *[c for c in assembled.columns if c not in known])
-    return assembled
+            layout = T.StructType([T.StructField(c, typed.get(c, T.StringType())) for c in header])
+            parts.append(read_csv(spark, paths, layout, pathGlobFilter=file_pattern(table, fmt)))
+    whole = union_extracts(*parts)
+    known = [c for c in typed if c in whole.columns]
+    return whole.select(*known, *[c for c in whole.columns if c not in typed])
 
 
 def assemble(spark: SparkSession, root: str, tables: Sequence[str] | None = None) -> dict[str, DataFrame]:

@@ -147,12 +147,13 @@ def test_thinning_is_nested_and_complete(spark, values):
     assert abs(half.count() - 1500) < 120
 
 
-def test_thin_levels_equal_separate_copies(spark, values):
-    df = spark.range(500)
-    rate = F.explode(fragment.thin_levels(df, [0.0, 0.3, 0.6], "s", ["id"]))
-    together = df.select("id", rate.alias("rate"))
+def test_sweep_equals_separate_copies(spark, values):
+    df = spark.range(500).select("id", (F.col("id") % 7).alias("g"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("v"))
+    together = fragment.sweep(df, [0.0, 0.3, 0.6, 1.0], "s", ["id"], ["g"], ["v"])
     for r in (0.0, 0.3, 0.6):
-        assert values(together.filter(F.col("rate") == r), "id") == values(fragment.thin(df, r, "s", "id"))
+        alone = fragment.thin(df, r, "s", "id").groupBy("g").agg(F.sum("v").alias("v"))
+        assert values(together.filter(F.col("missing_rate") == r), "g", "v") == values(alone)
+    assert together.filter("missing_rate = 1").count() == 0
 
 
 def test_null_out(spark):
