@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from termweave.functions.derive import prefixed_key
 from termweave.operators.ordering import number_rows
 from termweave.operators.partials import average, key_counts, merge, partials
-from termweave.operators.skew import ROWS_PER_TASK, salted_join
+from termweave.operators.skew import ROWS_PER_TASK, heavy_keys, salted_join
 
 
 def bridge_join(
@@ -26,11 +26,14 @@ def bridge_join(
 
     The crosswalk is put on the right side first, so that the left side, the
     large one, is shuffled once, by (left_key, on), with its heavy keys salted.
-    A key the crosswalk lists twice multiplies rows, as in the plain join.
+    So are keys the crosswalk gives to very many people, and people with very
+    many keys. A key listed twice multiplies rows, as in the plain join.
     """
     pairs = crosswalk.select(left_key, right_key)
-    bridged = salted_join(right, pairs, [right_key], rows_per_task=rows_per_task)
-    return salted_join(left, bridged, [left_key, *on], rows_per_task=rows_per_task)
+    many_keys = heavy_keys(pairs, [right_key], rows_per_task)
+    many_people = heavy_keys(pairs, [left_key], rows_per_task)
+    bridged = salted_join(right, pairs, [right_key], "inner", rows_per_task, many_keys)
+    return salted_join(left, bridged, [left_key, *on], "inner", rows_per_task, many_people)
 
 
 def bridge_averages(

@@ -32,16 +32,26 @@ def so_far(person: str, ord: str) -> WindowSpec:
 
 
 def running_totals(
-    df: DataFrame, person: str, ord: str, values: Sequence[str], start: dict[str, str] | None = None
+    df: DataFrame,
+    person: str,
+    ord: str,
+    values: Sequence[str],
+    start: dict[str, str] | None = None,
+    one_row_per_term: bool = False,
 ) -> DataFrame:
     """Sum per term and running sum of each value; null counts as nothing.
 
     ``start`` maps a value to a column of ``df`` with the person's opening balance.
+    ``one_row_per_term`` promises that (person, ord) is a key of ``df``, as in an
+    enrolment extract, and saves the shuffle that would make it one.
     """
     start = start or {}
-    measures = [F.sum(v).alias(v) for v in values]
-    measures += [F.max(c).alias(f"_start_{v}") for v, c in start.items()]
-    terms = per_term(df, person, ord, *measures)
+    if one_row_per_term:
+        terms = df.select(person, ord, *values, *[F.col(c).alias(f"_start_{v}") for v, c in start.items()])
+    else:
+        measures = [F.sum(v).alias(v) for v in values]
+        measures += [F.max(c).alias(f"_start_{v}") for v, c in start.items()]
+        terms = per_term(df, person, ord, *measures)
     over = so_far(person, ord)
     columns = []
     for v in values:

@@ -1,9 +1,9 @@
 """Joins that survive a key holding a large part of all rows.
 
-The heavy keys of the big side are counted (a partial aggregate per task, so
-cheap in the shuffle) and only they are salted: a heavy key of ``n`` rows is
-spread over ``n / rows_per_task`` salts, and its partner rows are repeated once
-per salt. All other keys join as usual. The result is exact for every key.
+The heavy keys of a side are counted (a partial aggregate per task, so cheap in
+the shuffle) and only they are salted: a heavy key of ``n`` rows is spread over
+``n / rows_per_task`` salts, and its partner rows are repeated once per salt.
+All other keys join as usual. The result is exact for every key.
 """
 
 from __future__ import annotations
@@ -24,9 +24,13 @@ def heavy_keys(
     df: DataFrame, on: Sequence[str], rows_per_task: int = ROWS_PER_TASK, limit: int = MAX_HEAVY_KEYS
 ) -> DataFrame:
     """Keys with more than ``rows_per_task`` rows and the salts to spread each over."""
-    known = df.dropna(subset=list(on)).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    known = df
+    for name in on:
+        known = known.filter(F.col(name).isNotNull())
     return (
-        known.filter(F.col("_rows") > rows_per_task)
+        known.groupBy(*on)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .filter(F.col("_rows") > rows_per_task)
         .orderBy(F.desc("_rows"))
         .limit(limit)
         .select(*on, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_salts"))
@@ -39,33 +43,51 @@ def _row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{c}`") for c in plain], F.spark_partition_id())
 
 
+def _spread(df: DataFrame, heavy: DataFrame, salt: str) -> DataFrame:
+    """Each row with one of its key's salts; rows without a key match nothing and go anywhere."""
+    on = [c for c in heavy.columns if c != "_salts"]
+    no_key = F.lit(False)
+    for name in on:
+        no_key = no_key | F.col(name).isNull()
+    one_of = F.pmod(_row_hash(df), F.coalesce(F.col("_salts"), F.lit(1)).cast("bigint"))
+    placed = F.when(no_key, _row_hash(df)).otherwise(one_of)
+    return df.join(F.broadcast(heavy), on, "left").withColumn(salt, placed).drop("_salts")
+
+
+def _repeat(df: DataFrame, heavy: DataFrame, salt: str) -> DataFrame:
+    """Each row once for every salt of its key."""
+    on = [c for c in heavy.columns if c != "_salts"]
+    last = F.coalesce(F.col("_salts"), F.lit(1)).cast("bigint") - 1
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), last))
+    return df.join(F.broadcast(heavy), on, "left").withColumn(salt, every).drop("_salts")
+
+
 def salted_join(
     big: DataFrame,
     other: DataFrame,
     on: Sequence[str],
     how: str = "inner",
     rows_per_task: int = ROWS_PER_TASK,
+    other_heavy: DataFrame | None = None,
 ) -> DataFrame:
     """``big.join(other, on, how)`` with the heavy keys of ``big`` spread over tasks.
 
     ``how`` is inner, left, left_semi or left_anti. Rows of ``big`` with a null
-    key match nothing and are spread over all tasks too.
+    key match nothing and are spread over all tasks too. For an inner join
+    ``other_heavy``, from :func:`heavy_keys` on some of the key columns, spreads
+    the heavy keys of ``other`` as well.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"only joins that keep to the big side can be salted, not {how}")
+    if other_heavy is not None and how != "inner":
+        raise ValueError("the other side can be spread in an inner join only")
     on = list(on)
-    heavy = F.broadcast(heavy_keys(big, on, rows_per_task))
-    null_key = F.lit(False)
-    for name in on:
-        null_key = null_key | F.col(name).isNull()
-    salt = F.when(null_key, _row_hash(big)).otherwise(
-        F.pmod(_row_hash(big), F.coalesce(F.col("_salts"), F.lit(1)).cast("bigint"))
-    )
-    spread = big.join(heavy, on, "left").withColumn("_salt", salt).drop("_salts")
+    heavy = heavy_keys(big, on, rows_per_task)
     if how in ("left_semi", "left_anti"):
         other = other.select(*on).distinct()
-    last = F.coalesce(F.col("_salts"), F.lit(1)).cast("bigint") - 1
-    repeats = F.sequence(F.lit(0).cast("bigint"), last)
-    repeated = other.join(heavy, on, "left").withColumn("_salt", F.explode(repeats)).drop("_salts")
-    joined = spread.join(repeated, [*on, "_salt"], how)
-    return joined.drop("_salt")
+    left, right = _spread(big, heavy, "_salt"), _repeat(other, heavy, "_salt")
+    salts = ["_salt"]
+    if other_heavy is not None:
+        left, right = _repeat(left, other_heavy, "_other_salt"), _spread(right, other_heavy, "_other_salt")
+        salts.append("_other_salt")
+    return left.join(right, [*on, *salts], how).drop(*salts)

@@ -28,6 +28,15 @@ def test_salted_join_equals_join(hot, side, values, how, rows_per_task):
     assert values(skew.salted_join(hot, side, ["k"], how, rows_per_task)) == values(plain)
 
 
+def test_salted_join_of_two_heavy_sides(spark, hot, values):
+    other = spark.range(900).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 30).cast("int").alias("k"), F.col("id").alias("w"))
+    spread = skew.salted_join(hot, other, ["k"], "inner", 300, skew.heavy_keys(other, ["k"], 50))
+    plain = hot.join(other, "k")
+    assert spread.count() == plain.count() and spread.exceptAll(plain).count() == 0
+    with pytest.raises(ValueError):
+        skew.salted_join(hot, other, ["k"], "left", 300, skew.heavy_keys(other, ["k"], 50))
+
+
 def test_salted_join_spreads_identical_rows(spark):
     same = spark.range(0, 4000, 1, 8).select(F.lit(1).alias("k"), F.lit("x").alias("v"))
     other = spark.createDataFrame([(1, "a")], "k int, w string")
@@ -179,6 +188,19 @@ def test_running_totals_merge_rows_of_a_term(rows, values):
     assert values(got) == [(1, 1, 7, 17), (1, 3, None, 17), (1, 4, 5, 22), (2, 2, 1, 1)]
 
 
+def test_running_totals_of_an_extract_take_one_shuffle(rows, values):
+    import contextlib
+    import io
+
+    df = rows("p int, t int, c int", (1, 1, 3), (1, 2, None), (1, 3, 5), (2, 2, 1)).repartition(3)
+    one = longitudinal.running_totals(df, "p", "t", ["c"], one_row_per_term=True)
+    assert values(one) == values(longitudinal.running_totals(df, "p", "t", ["c"]))
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        one.explain()
+    assert text.getvalue().count("Exchange hashpartitioning") == 1
+
+
 def test_running_mean_is_null_without_weight(rows, values):
     df = rows("p int, t int, q double, c int", (1, 1, 0.0, 0), (1, 2, 40.0, 12), (1, 3, 30.0, 9))
     got = longitudinal.running_weighted_mean(df, "p", "t", "q", "c")
