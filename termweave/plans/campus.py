@@ -97,7 +97,7 @@ def loans() -> Column:
     return F.floor("l_extendedprice")
 
 
-def register_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def workload_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The four tables the example workload reads, row by row, for SQL."""
     lines = table(spark, sf_dir, "lineitem").join(
         table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")

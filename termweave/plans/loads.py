@@ -112,7 +112,7 @@ Q_COUNTS = f"""
 
 
 def _run_workload(spark, sf_dir, label, by_plan):
-    tables = campus.register_tables(spark, sf_dir)
+    tables = campus.workload_tables(spark, sf_dir)
     extracts.register(tables)
     log = fresh_path(spark, "receipts")
     try:
@@ -148,6 +148,40 @@ def receipt_summary(spark, sf_dir):
     return lines.withColumn("timed", timed).drop("runtime")
 
 
+LEVELS = {"low": {}, "med": {"lms_activity": 0.10}, "high": {"lms_activity": 0.90, "sis_enrollments": 0.50}}
+LEVEL_KEYS = {"lms_activity": ["moodle_user_key"], "sis_enrollments": ["student_id", "term_code"]}
+LEVEL_QUERIES = {
+    "active_people": """
+        SELECT student_id, count(*) AS n FROM lms_activity JOIN identity_crosswalk USING (moodle_user_key)
+        JOIN sis_enrollments USING (student_id, term_code) GROUP BY student_id""",
+    "logins_by_term": "SELECT term_code, sum(login_count) AS logins FROM lms_activity GROUP BY term_code",
+}
+
+
+@query(
+    f"""
+    WITH {sql.CROSSWALK}, {sql.LMS}, {sql.SIS},
+    levels(label, lms_rate, sis_rate) AS (VALUES ('low', 0::DOUBLE, 0::DOUBLE), ('med', 0.10::DOUBLE, 0::DOUBLE),
+                                                 ('high', 0.90::DOUBLE, 0.50::DOUBLE)),
+    l AS (SELECT label, lms.* FROM lms, levels
+          WHERE {sql.fraction('level:lms_activity', 'moodle_user_key')} >= lms_rate),
+    s AS (SELECT label, sis.* FROM sis, levels
+          WHERE {sql.fraction('level:sis_enrollments', "student_id || ':' || term_code")} >= sis_rate)
+    SELECT label AS frag_level, 'active_people' AS query_name, 3 AS source_fanout,
+           count(DISTINCT s.student_id) AS row_count
+    FROM l JOIN crosswalk cw USING (moodle_user_key)
+    JOIN s USING (label, student_id, term_code) GROUP BY label
+    UNION ALL
+    SELECT label, 'logins_by_term', 1, count(DISTINCT term_code) FROM l GROUP BY label""",
+    "Q7", "F32", "Q6",
+)
+def receipt_levels(spark, sf_dir):
+    """A workload over copies of the tables with more and more rows missing."""
+    log = fresh_path(spark, "levels")
+    receipts.run_levels(spark, campus.workload_tables(spark, sf_dir), LEVEL_QUERIES, LEVELS, LEVEL_KEYS, log)
+    return receipts.read_receipts(spark, log).select("frag_level", "query_name", "source_fanout", "row_count")
+
+
 @query(
     f"""
     SELECT (SELECT count(*) FROM customer) AS students, min(o_orderdate)::DATE AS first_day,

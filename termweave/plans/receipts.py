@@ -12,7 +12,7 @@ import io
 import json
 import re
 import time
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 
 from termweave import schemas
 from termweave.functions.sqltext import TABLE_PATTERN, NOT_TABLES, fanout, tables_in_sql
+from termweave.operators.fragment import thin
 from termweave.operators.ordering import latest_per_key
+from termweave.sources.extracts import register, unregister
 from termweave.sources.sinks import write_table
 
 __all__ = [
-    "Receipt", "append_receipts", "fanout", "plan_text", "read_receipts", "relations_of", "run",
-    "run_workload", "summary", "tables_in_sql", "tables_named",
+    "QueryFailed", "Receipt", "append_receipts", "fanout", "plan_text", "read_receipts", "relations_of", "run",
+    "run_levels", "run_workload", "summary", "tables_in_sql", "tables_named",
 ]
 
 
@@ -112,7 +114,7 @@ def run(
     wanted. A failure is receipted too, with row count 0, and raised again.
     ``by_plan`` takes the source tables from the plan instead of the text.
     """
-    receipt = Receipt(name, label, datetime.now(timezone.utc).replace(tzinfo=None), tables_named(sql), sink=sink)
+    receipt = Receipt(name, label, datetime.now(timezone.utc), tables_named(sql), sink=sink)
     started = time.perf_counter()
     try:
         df = spark.sql(sql, args=args) if args is not None else spark.sql(sql)
@@ -171,6 +173,37 @@ def run_workload(
     return receipts
 
 
+def run_levels(
+    spark: SparkSession,
+    tables: Mapping[str, DataFrame],
+    queries: Mapping[str, str],
+    levels: Mapping[str, Mapping[str, float]],
+    keys: Mapping[str, Sequence[str]],
+    log_path: str | None = None,
+    salt: str = "level",
+) -> list[Receipt]:
+    """Run a workload once per fragmentation level, each run labelled with its level.
+
+    A level names the share of rows missing per table; ``keys`` names the columns
+    that decide which rows of a table are missing. Levels are nested: what a lower
+    rate removes is also removed by a higher one.
+    """
+    receipts: list[Receipt] = []
+    for label, rates in levels.items():
+        copies = {
+            name: thin(df, rates[name], f"{salt}:{name}", *keys[name]) if rates.get(name) else df
+            for name, df in tables.items()
+        }
+        register(copies)
+        try:
+            receipts += run_workload(spark, queries, label)
+        finally:
+            unregister(spark, *copies)
+    if log_path and receipts:
+        append_receipts(spark, receipts, log_path)
+    return receipts
+
+
 def append_receipts(spark: SparkSession, receipts: list[Receipt], log_path: str) -> None:
     rows = spark.createDataFrame([r.as_row() for r in receipts], schemas.schema("receipts"))
     write_table(rows.coalesce(1), log_path, "parquet", "append")

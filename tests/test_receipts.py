@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termweave import schemas
+from termweave.functions.derive import utc_now
 from termweave.functions.sqltext import fanout, tables_in_sql
 from termweave.plans import receipts
 from termweave.plans.workload import WORKLOAD
@@ -113,6 +114,26 @@ def test_relations_from_the_plan(spark, campus):
     assert receipts.relations_of(None) is None and receipts.relations_of("nothing") is None
 
 
+def test_levels_are_nested_and_labelled(spark, tmp_path):
+    people = {"people": spark.range(1000).select(F.col("id").alias("p"))}
+    levels = {"low": {}, "med": {"people": 0.3}, "high": {"people": 0.6}}
+    log = str(tmp_path / "log")
+    receipts.run_levels(spark, people, {"all": "SELECT p FROM people"}, levels, {"people": ["p"]}, log)
+    counts = {r.frag_level: r.row_count for r in receipts.read_receipts(spark, log).collect()}
+    assert counts["low"] == 1000 and 650 < counts["med"] < 750 and 350 < counts["high"] < 450
+    assert not spark.catalog.tableExists("people")
+
+
+def test_timestamps_are_utc(spark, tmp_path):
+    from datetime import datetime, timedelta, timezone
+
+    receipts.run(spark, "now", "SELECT 1", log_path=str(tmp_path / "log"))
+    age = receipts.read_receipts(spark, str(tmp_path / "log")).select((utc_now() - F.col("timestamp")).alias("age")).first().age
+    assert timedelta(0) <= age < timedelta(minutes=5)
+    logged = receipts.read_receipts(spark, str(tmp_path / "log")).select(F.unix_seconds("timestamp")).first()[0]
+    assert abs(logged - datetime.now(timezone.utc).timestamp()) < 300
+
+
 def test_summary_takes_the_latest_receipt(spark, campus, tmp_path, values):
     log = str(tmp_path / "log")
     one = {"a": "SELECT * FROM lms_activity"}
