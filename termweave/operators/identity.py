@@ -111,22 +111,16 @@ def convention_breaks(crosswalk: DataFrame, id: str, key: str, prefix: str) -> D
 
 
 def key_ambiguity(df: DataFrame, id: str, key: str) -> DataFrame:
-    """Keys standing for several people and people with several keys."""
-    shared = (
-        df.dropna(subset=[key])
-        .groupBy(F.col(key).alias("value"))
-        .agg(F.countDistinct(id).alias("partners"))
-        .filter(F.col("partners") > 1)
-    )
-    several = (
-        df.dropna(subset=[id])
-        .groupBy(F.col(id).alias("value"))
-        .agg(F.countDistinct(key).alias("partners"))
-        .filter(F.col("partners") > 1)
-    )
-    return shared.select(F.lit("key_of_several_people").alias("kind"), "value", "partners").unionByName(
-        several.select(F.lit("person_with_several_keys").alias("kind"), "value", "partners")
-    )
+    """Keys standing for several people and people with several keys.
+
+    Both counts start from the same distinct pairs, which are shuffled once.
+    """
+    pairs = df.select(id, key).dropna().distinct()
+    kinds = []
+    for kind, column in (("key_of_several_people", key), ("person_with_several_keys", id)):
+        partners = pairs.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("partners"))
+        kinds.append(partners.filter(F.col("partners") > 1).select(F.lit(kind).alias("kind"), "value", "partners"))
+    return kinds[0].unionByName(kinds[1])
 
 
 def dedupe_suffix(

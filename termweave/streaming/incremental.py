@@ -24,8 +24,12 @@ def extract_stream(
     fmt: str = "csv",
     schema: T.StructType | None = None,
     files_per_batch: int = 1000,
+    lines: bool = False,
 ) -> DataFrame:
-    """New files of one table below ``root/terms/*`` as a stream, with their term folder."""
+    """New files of one table below ``root/terms/*`` as a stream, with their term folder.
+
+    JSON files hold an array or one object, or with ``lines`` one object per line.
+    """
     reader = (
         spark.readStream.schema(schema or schemas.schema(table))
         .option("pathGlobFilter", file_pattern(table, fmt))
@@ -36,7 +40,7 @@ def extract_stream(
         rows = reader.options(header=True, escape='"', enforceSchema=False, dateFormat="yyyy-MM-dd").csv(folders)
         rows = rows.select("*", term_folder_of(F.col("_metadata.file_path")).alias("source_term"))
         return nulls_from_text(rows)
-    rows = reader.option("multiLine", True).json(folders)
+    rows = reader.option("multiLine", not lines).json(folders)
     return flatten(rows.select("*", term_folder_of(F.col("_metadata.file_path")).alias("source_term")))
 
 
