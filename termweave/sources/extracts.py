@@ -101,12 +101,19 @@ def nulls_from_text(df: DataFrame, tokens: Sequence[str] = NULL_TEXTS) -> DataFr
     )
 
 
+def _source() -> list[Column]:
+    """Term folder and file of a row that is being read."""
+    path = F.col("_metadata.file_path")
+    return [term_folder_of(path).alias("source_term"), path.alias("source_file")]
+
+
 def read_csv(
     spark: SparkSession,
     path: str | list[str],
     schema: T.StructType | None = None,
     check_header: bool = True,
     multiline: bool = False,
+    with_source: bool = False,
     **options,
 ) -> DataFrame:
     """CSV with a header; empty cells and missing-value texts are null.
@@ -121,17 +128,24 @@ def read_csv(
         reader = reader.option("inferSchema", True)
     else:
         reader = reader.schema(schema).option("enforceSchema", not check_header)
-    return nulls_from_text(reader.csv(path))
+    rows = reader.csv(path)
+    return nulls_from_text(rows.select("*", *_source()) if with_source else rows)
 
 
 def read_json(
-    spark: SparkSession, path: str | list[str], schema: T.StructType | None = None, lines: bool = False, **options
+    spark: SparkSession,
+    path: str | list[str],
+    schema: T.StructType | None = None,
+    lines: bool = False,
+    with_source: bool = False,
+    **options,
 ) -> DataFrame:
     """JSON: an array of objects or one object per file, or one object per line."""
     reader = spark.read.options(multiLine=not lines, **options)
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.json(path)
+    rows = reader.json(path)
+    return rows.select("*", *_source()) if with_source else rows
 
 
 def flatten(df: DataFrame, separator: str = "_") -> DataFrame:
@@ -152,6 +166,26 @@ def flatten(df: DataFrame, separator: str = "_") -> DataFrame:
     return df.select(*columns)
 
 
+def _locate(spark: SparkSession, root: str) -> dict[str, list[tuple[str, str, str]]]:
+    """Per table, the term folders and formats it comes in, with the folder's path.
+
+    One listing; the result is as long as tables times terms.
+    """
+    base = root.rstrip("/")
+    found = list_extracts(spark, root).select("table_name", "term_folder", "format").distinct()
+    located: dict[str, list[tuple[str, str, str]]] = {}
+    for table, term, fmt in sorted((r[0], r[1] or "", r[2]) for r in found.collect()):
+        located.setdefault(table, []).append((term, fmt, f"{base}/terms/{term}" if term else base))
+    return located
+
+
+def _folders(spark: SparkSession, root: str, table: str) -> list[tuple[str, str, str]]:
+    folders = _locate(spark, root).get(table)
+    if not folders:
+        raise FileNotFoundError(f"no extract of {table} below {root}")
+    return folders
+
+
 def read_extracts(
     spark: SparkSession,
     root: str,
@@ -164,35 +198,19 @@ def read_extracts(
     The schema of a known table is used when none is given; for others it is
     inferred. ``with_source`` adds the term folder and the file of each row.
     """
+    return _read_folders(spark, table, _folders(spark, root, table), schema, with_source)
+
+
+def _read_folders(spark, table, folders, schema=None, with_source=False) -> DataFrame:
     if schema is None and schemas.known(table):
         schema = schemas.schema(table)
-    formats = FORMATS
-    if schema is None:
-        found = list_extracts(spark, root).filter(F.col("table_name") == table)
-        formats = [r["format"] for r in found.select("format").distinct().collect()]
-        if not formats:
-            raise FileNotFoundError(f"no extract of {table} below {root}")
-    assembled = None
-    for fmt in formats:
-        one = _read_format(spark, root, table, fmt, schema, with_source)
-        assembled = one if assembled is None else assembled.unionByName(one, allowMissingColumns=True)
-    return assembled
-
-
-def _read_format(spark, root, table, fmt, schema, with_source) -> DataFrame:
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", file_pattern(table, fmt))
-    if schema is not None:
-        reader = reader.schema(schema)
-    elif fmt == "csv":
-        reader = reader.option("inferSchema", True)
-    if fmt == "csv":
-        rows = reader.options(header=True, escape='"', enforceSchema=False, dateFormat="yyyy-MM-dd").csv(root)
-    else:
-        rows = reader.option("multiLine", True).json(root)
-    path = F.col("_metadata.file_path")
-    source = [term_folder_of(path).alias("source_term"), path.alias("source_file")] if with_source else []
-    rows = rows.filter(_in_layout(path, root)).select("*", *source)
-    return nulls_from_text(rows) if fmt == "csv" else flatten(rows)
+    parts = []
+    for fmt in sorted({fmt for _, fmt, _ in folders}):
+        paths = [path for _, f, path in folders if f == fmt]
+        read = read_csv if fmt == "csv" else read_json
+        rows = read(spark, paths, schema, pathGlobFilter=file_pattern(table, fmt), with_source=with_source)
+        parts.append(rows if fmt == "csv" else flatten(rows))
+    return union_extracts(*parts)
 
 
 def read_table(
@@ -212,16 +230,6 @@ def read_parts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(path)
 
 
-def _folders(spark: SparkSession, root: str, table: str) -> list[tuple[str, str, str]]:
-    """Term folder, format and path of each folder that holds files of a table."""
-    found = list_extracts(spark, root).filter(F.col("table_name") == table)
-    folders = [(r["term_folder"] or "", r["format"]) for r in found.select("term_folder", "format").distinct().collect()]
-    if not folders:
-        raise FileNotFoundError(f"no extract of {table} below {root}")
-    base = root.rstrip("/")
-    return [(term, fmt, f"{base}/terms/{term}" if term else base) for term, fmt in sorted(folders)]
-
-
 def part_schemas(spark: SparkSession, root: str, table: str) -> dict[str, list[tuple[str, str]]]:
     """Columns and inferred types of one table in each term folder, read folder by folder.
 
@@ -265,10 +273,11 @@ def read_drifted(spark: SparkSession, root: str, table: str, schema: T.StructTyp
 
 def assemble(spark: SparkSession, root: str, tables: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """All tables found below ``root``, or the named ones, as DataFrames by name."""
-    if tables is None:
-        listed = list_extracts(spark, root).select("table_name").distinct()
-        tables = sorted(r["table_name"] for r in listed.collect())
-    return {t: read_extracts(spark, root, t) for t in tables}
+    located = _locate(spark, root)
+    missing = sorted(set(tables or ()) - set(located))
+    if missing:
+        raise FileNotFoundError(f"no extract of {', '.join(missing)} below {root}")
+    return {t: _read_folders(spark, t, located[t]) for t in tables or located}
 
 
 def register(tables: dict[str, DataFrame]) -> None:

@@ -63,6 +63,25 @@ def test_assembling_all_terms(spark, root, values):
     assert master.birth_date == dt.date(2001, 2, 3) and master.email is None
 
 
+def test_one_table_at_top_level_in_terms_and_in_two_formats(spark, root):
+    head = ",".join(schemas.schema("advising_holds").names)
+    (root / "advising_holds.csv").write_text(head + "\nh9,2023FA,S1,housing,false,2023-08-01,2023-08-02\n")
+    (root / "terms" / "2024SP" / "advising_holds.CSV").write_text(head + "\nh8,2024SP,,housing,true,2023-08-01,\n")
+    holds = extracts.read_extracts(spark, str(root), "advising_holds", with_source=True)
+    assert holds.count() == 8
+    assert {r.hold_id: r.source_term for r in holds.filter("hold_id IN ('h9', 'h8')").collect()} == {"h9": None, "h8": "2024SP"}
+
+
+def test_reading_has_no_filter_per_row(spark, root):
+    import contextlib
+    import io
+
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        extracts.read_extracts(spark, str(root), "financial_aid").select("loans").explain()
+    assert "file_path" not in text.getvalue() and "ReadSchema: struct<loans:int>" in text.getvalue()
+
+
 def test_unknown_table_is_inferred(spark, root):
     (root / "terms" / "2023FA" / "visits.CSV").write_text("person,day,minutes\nS1,2023-09-01,5\nS2,,\n")
     (root / "terms" / "2024SP" / "visits.csv").write_text("person,day,minutes\nS3,2024-02-01,7\n")
