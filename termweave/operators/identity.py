@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from termweave.functions.derive import prefixed_key
 from termweave.operators.ordering import number_rows
-from termweave.operators.partials import average, key_counts, merge, partials
+from termweave.operators.partials import average, key_counts, merge
 from termweave.operators.skew import ROWS_PER_TASK, heavy_keys, salted_join
 
 
@@ -49,7 +49,7 @@ def bridge_averages(
 ) -> DataFrame:
     """Averages over the rows of a bridge join, without producing those rows.
 
-    ``left`` and ``right`` are tables of :func:`partials` on their own key and
+    ``left`` and ``right`` are tables of ``partials`` on their own key and
     ``on``: both have shrunk to one row per person and term before they meet. A left
     value counts once per matching right row and the other way round, so the
     averages equal those over the joined rows. ``by`` names columns of the key.
@@ -144,9 +144,3 @@ def missing_keys(expected: DataFrame, present: DataFrame, on: Sequence[str]) ->
     return both.filter((F.col("left_rows") > 0) & (F.col("right_rows") == 0)).select(
         *on, F.col("left_rows").alias("rows_without")
     )
-
-
-__all__ = [
-    "bridge_averages", "bridge_join", "convention_breaks", "dedupe_suffix", "key_ambiguity",
-    "missing_keys", "occurrences", "orphans", "partials", "swap_audit",
-]

@@ -12,25 +12,22 @@ import io
 import json
 import re
 import time
+import uuid
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from termweave import schemas
-from termweave.functions.sqltext import TABLE_PATTERN, NOT_TABLES, fanout, tables_in_sql
+from termweave.functions.sqltext import NOT_TABLES, TABLE_PATTERN
 from termweave.operators.fragment import thin
 from termweave.operators.ordering import latest_per_key
 from termweave.sources.extracts import register, unregister
 from termweave.sources.sinks import write_table
 
-__all__ = [
-    "QueryFailed", "Receipt", "append_receipts", "fanout", "plan_text", "read_receipts", "relations_of", "run",
-    "run_levels", "run_workload", "summary", "tables_in_sql", "tables_named",
-]
-
 
 @dataclass
 class Receipt:
@@ -45,7 +42,6 @@ class Receipt:
     error: str | None = None
     plan: str | None = None
     sink: str | None = None
-    parameters: dict = field(default_factory=dict)
 
     @property
     def source_fanout(self) -> int:
@@ -73,7 +69,7 @@ class Receipt:
 
 
 def tables_named(sql: str) -> list[str]:
-    """Table names in one SQL text, as :func:`tables_in_sql` finds them in a column."""
+    """Table names in one SQL text, as ``sqltext.tables_in_sql`` finds them in a column."""
     words = (w.strip(",;") for w in re.findall(TABLE_PATTERN, sql))
     return list(dict.fromkeys(w.rsplit(".", 1)[-1] for w in words if w.lower() not in NOT_TABLES))
 
@@ -209,6 +205,15 @@ def append_receipts(spark: SparkSession, receipts: list[Receipt], log_path: str)
     write_table(rows.coalesce(1), log_path, "parquet", "append")
 
 
+def ensure_log(spark: SparkSession, log_path: str) -> None:
+    """Create an empty log unless there is one."""
+    try:
+        read_receipts(spark, log_path)
+    except AnalysisException:
+        empty = spark.createDataFrame([], schemas.schema("receipts"))
+        write_table(empty.coalesce(1), log_path, "parquet", "append")
+
+
 def read_receipts(spark: SparkSession, log_path: str) -> DataFrame:
     return spark.read.schema(schemas.schema("receipts")).parquet(log_path)
 
@@ -229,6 +234,38 @@ def summary(log: DataFrame) -> DataFrame:
     )
 
 
+def result(spark: SparkSession, receipt: Receipt) -> DataFrame:
+    """The rows a query left in its sink."""
+    return spark.read.parquet(receipt.sink)
+
+
 def preview(spark: SparkSession, receipt: Receipt, n: int = 5) -> DataFrame:
     """The first rows a query left in its sink."""
-    return spark.read.parquet(receipt.sink).limit(n)
+    return result(spark, receipt).limit(n)
+
+
+class ReceiptLayer:
+    """Runs queries one at a time, with the log and the results below one folder."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
+        self.root = root.rstrip("/")
+        self.log_path = f"{self.root}/receipts"
+        ensure_log(spark, self.log_path)
+
+    def execute(
+        self, query_name: str, sql: str, frag_level: str | None = None, return_result: bool = True, args=None
+    ) -> DataFrame | None:
+        """Run a query and log it; its stored rows, or None when only the receipt is wanted.
+
+        A failing query is logged and raised as :class:`QueryFailed`.
+        """
+        sink = f"{self.root}/results/{query_name}-{uuid.uuid4().hex}" if return_result else None
+        receipt = run(self.spark, query_name, sql, frag_level, sink, args, self.log_path)
+        return result(self.spark, receipt) if return_result else None
+
+    def receipts(self) -> DataFrame:
+        return read_receipts(self.spark, self.log_path)
+
+    def summary(self) -> DataFrame:
+        return summary(self.receipts())

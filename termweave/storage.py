@@ -22,10 +22,10 @@ def _local_dir(application_id: str) -> str:
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session; a temporary one only on a single machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    context = spark.sparkContext
     if context.master.startswith("local"):
         return _local_dir(context.applicationId)
     raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")

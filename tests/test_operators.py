@@ -1,7 +1,6 @@
 from __future__ import annotations
 
-import itertools
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F

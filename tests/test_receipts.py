@@ -114,6 +114,20 @@ def test_relations_from_the_plan(spark, campus):
     assert receipts.relations_of(None) is None and receipts.relations_of("nothing") is None
 
 
+def test_receipt_layer(spark, campus, tmp_path):
+    layer = receipts.ReceiptLayer(spark, str(tmp_path))
+    assert layer.receipts().count() == 0 and layer.receipts().schema == schemas.schema("receipts")
+    rows = layer.execute("logins", "SELECT * FROM lms_activity WHERE login_count > :n", "low", args={"n": 9})
+    assert rows.count() == 3
+    assert layer.execute("logins", "SELECT * FROM lms_activity", return_result=False) is None
+    with pytest.raises(receipts.QueryFailed) as failure:
+        layer.execute("bad", "SELECT * FROM nowhere")
+    assert failure.value.receipt.row_count == 0 and "nowhere" in failure.value.receipt.error
+    again = receipts.ReceiptLayer(spark, str(tmp_path))
+    assert again.receipts().count() == 3
+    assert {r.query_name: r.row_count for r in again.summary().collect()} == {"logins": 5, "bad": 0}
+
+
 def test_levels_are_nested_and_labelled(spark, tmp_path):
     people = {"people": spark.range(1000).select(F.col("id").alias("p"))}
     levels = {"low": {}, "med": {"people": 0.3}, "high": {"people": 0.6}}
