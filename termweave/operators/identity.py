@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termweave.functions.derive import prefixed_key
-from termweave.operators.ordering import number_rows
+from termweave.operators.ordering import ROWS_PER_SLICE, number_rows
 from termweave.operators.partials import average, key_counts, merge
 from termweave.operators.skew import ROWS_PER_TASK, heavy_keys, salted_join
 
@@ -124,10 +124,10 @@ def key_ambiguity(df: DataFrame, id: str, key: str) -> DataFrame:
 
 
 def dedupe_suffix(
-    df: DataFrame, base: str, order: Sequence[str], name: str = "unique_name", slices: int | None = None
+    df: DataFrame, base: str, order: Sequence[str], name: str = "unique_name", rows_per_slice: int = ROWS_PER_SLICE
 ) -> DataFrame:
     """Make a base key unique: the first keeps it, the next get 2, 3 and so on."""
-    numbered = number_rows(df, [base], order, "_number", slices)
+    numbered = number_rows(df, [base], order, "_number", rows_per_slice)
     suffix = F.when(F.col("_number") > 1, F.col("_number").cast("string")).otherwise(F.lit(""))
     return numbered.withColumn(name, F.concat(F.col(base), suffix)).drop("_number")
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from termweave.operators.skew import MAX_HEAVY_KEYS
 from termweave.storage import materialize
 
 ROWS_PER_SLICE = 5_000_000
@@ -19,24 +20,55 @@ def number_rows(
     by: Sequence[str],
     order: Sequence[str],
     name: str = "row_number",
-    slices: int | None = None,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Exact ``row_number()`` per group in ``order``, however large a group is.
 
-    Rows are range-partitioned by group and order, so a large group spans
-    several slices of even size. Each slice numbers its own rows; a group's
-    later slices add the sizes of its earlier ones. Fewer (group, slice) pairs
-    than slices have something to add, which bounds the broadcast. The numbered
-    slices are stored once in the shared folder, because both the sizes and the
-    result read them. ``order`` must end in a unique key. Unless given, the
-    number of slices follows from a count of the rows.
+    Groups of up to ``rows_per_slice`` rows are numbered by a plain window.
+    Larger ones, found by counting first, are cut into slices by
+    :func:`_number_slices`. The list of larger groups has at most
+    ``MAX_HEAVY_KEYS`` entries; any beyond are smaller than the listed ones and
+    go through the window. ``order`` must end in a unique key. An empty ``by``
+    numbers the whole table.
     """
-    spark = df.sparkSession
     by, order = list(by), list(order)
-    if slices is None:
-        slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / rows_per_slice))
-    sliced = df.repartitionByRange(slices, *by, *order).withColumn("_slice", F.spark_partition_id())
+    if not by:
+        return _number_slices(df, by, order, name, math.ceil(df.count() / rows_per_slice))
+    window = F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("bigint")
+    large = (
+        df.groupBy(*by)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .filter(F.col("_rows") > rows_per_slice)
+        .orderBy(F.desc("_rows"))
+        .limit(MAX_HEAVY_KEYS)
+    )
+    found = large.collect()
+    if not found:
+        return df.withColumn(name, window)
+    listed = df.sparkSession.createDataFrame(found, large.schema).select(*[F.col(c).alias(f"_g_{c}") for c in by])
+    same = _null_safe(by, "_g_")
+    small = df.join(F.broadcast(listed), same, "left_anti").withColumn(name, window)
+    sliced = df.join(F.broadcast(listed), same, "left_semi")
+    slices = math.ceil(sum(r["_rows"] for r in found) / rows_per_slice)
+    return small.unionByName(_number_slices(sliced, by, order, name, slices))
+
+
+def _null_safe(columns: Sequence[str], prefix: str) -> Column:
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"{prefix}{c}"))
+    return same
+
+
+def _number_slices(df: DataFrame, by: list[str], order: list[str], name: str, slices: int) -> DataFrame:
+    """Row numbers of groups that span several range partitions of even size.
+
+    Each slice numbers its own rows; a group's later slices add the sizes of its
+    earlier ones. Fewer (group, slice) pairs than slices have something to add,
+    which bounds the broadcast. The numbered slices are stored once in the shared
+    folder, because both the sizes and the result read them.
+    """
+    sliced = df.repartitionByRange(max(slices, 1), *by, *order).withColumn("_slice", F.spark_partition_id())
     within = W.partitionBy(*by, "_slice").orderBy(*order)
     stored = materialize(sliced.withColumn("_local", F.row_number().over(within).cast("bigint")), "numbered")
     sizes = stored.groupBy(*by, "_slice").agg(F.max("_local").alias("_size"))
@@ -44,13 +76,10 @@ def number_rows(
     offsets = (
         sizes.withColumn("_offset", F.sum("_size").over(earlier))
         .filter(F.col("_offset") > 0)
-        .select(*[F.col(c).alias(f"_o_{c}") for c in by], F.col("_slice").alias("_o__slice"), "_offset")
+        .select(*[F.col(c).alias(f"_o_{c}") for c in [*by, "_slice"]], "_offset")
     )
-    same = F.lit(True)
-    for c in [*by, "_slice"]:
-        same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
     number = F.col("_local") + F.coalesce(F.col("_offset"), F.lit(0))
-    return stored.join(F.broadcast(offsets), same, "left").select(
+    return stored.join(F.broadcast(offsets), _null_safe([*by, "_slice"], "_o_"), "left").select(
         *[F.col(f"`{c}`") for c in df.columns], number.alias(name)
     )
 
