@@ -20,6 +20,7 @@ from datetime import datetime, timezone
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
 from termweave import schemas
 from termweave.functions.sqltext import NOT_TABLES, TABLE_PATTERN
@@ -42,6 +43,7 @@ class Receipt:
     error: str | None = None
     plan: str | None = None
     sink: str | None = None
+    has_result: bool = False
 
     @property
     def source_fanout(self) -> int:
@@ -94,6 +96,22 @@ def relations_of(plan: str | None) -> list[str] | None:
     return list(dict.fromkeys(n.replace("`", "").rsplit(".", 1)[-1] for n in named)) or None
 
 
+def _storable(df: DataFrame) -> DataFrame:
+    """Columns as a file can hold them: repeated names numbered, untyped nulls as text."""
+    taken: set[str] = set()
+    names = []
+    for column in df.columns:
+        name, n = column, 0
+        while name.lower() in taken:
+            n += 1
+            name = f"{column}_{n}"
+        taken.add(name.lower())
+        names.append(name)
+    typed = df.toDF(*names)
+    untyped = [f.name for f in typed.schema.fields if isinstance(f.dataType, NullType)]
+    return typed.withColumns({c: F.col(f"`{c}`").cast("string") for c in untyped}) if untyped else typed
+
+
 def run(
     spark: SparkSession,
     name: str,
@@ -107,20 +125,23 @@ def run(
     """Run one query and return its receipt.
 
     Rows go to the Parquet path ``sink``, or nowhere when only the receipt is
-    wanted. A failure is receipted too, with row count 0, and raised again.
+    wanted. A statement without a result, such as the creation of a view, has no
+    rows and leaves the sink alone. A failure is receipted too, with row count 0, and raised again.
     ``by_plan`` takes the source tables from the plan instead of the text.
     """
     receipt = Receipt(name, label, datetime.now(timezone.utc), tables_named(sql), sink=sink)
     started = time.perf_counter()
     try:
         df = spark.sql(sql, args=args) if args is not None else spark.sql(sql)
-        counted = Observation()
-        observed = df.observe(counted, F.count(F.lit(1)).alias("rows"))
-        if sink:
-            write_table(observed, sink, "parquet", "overwrite")
-        else:
-            observed.write.format("noop").mode("overwrite").save()
-        receipt.row_count = int(counted.get["rows"])
+        receipt.has_result = bool(df.columns)
+        if receipt.has_result:
+            counted = Observation()
+            observed = _storable(df).observe(counted, F.count(F.lit(1)).alias("rows"))
+            if sink:
+                write_table(observed, sink, "parquet", "overwrite")
+            else:
+                observed.write.format("noop").mode("overwrite").save()
+            receipt.row_count = int(counted.get["rows"])
         receipt.runtime_ms = (time.perf_counter() - started) * 1000.0
         receipt.plan = plan_text(df)
         if by_plan:
@@ -262,7 +283,8 @@ class ReceiptLayer:
         """
         sink = f"{self.root}/results/{query_name}-{uuid.uuid4().hex}" if return_result else None
         receipt = run(self.spark, query_name, sql, frag_level, sink, args, self.log_path)
-        return result(self.spark, receipt) if return_result else None
+        stored = return_result and receipt.has_result
+        return result(self.spark, receipt) if stored else None
 
     def receipts(self) -> DataFrame:
         return read_receipts(self.spark, self.log_path)

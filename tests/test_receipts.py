@@ -128,6 +128,16 @@ def test_receipt_layer(spark, campus, tmp_path):
     assert {r.query_name: r.row_count for r in again.summary().collect()} == {"logins": 5, "bad": 0}
 
 
+def test_any_statement_can_be_run(spark, campus, tmp_path):
+    layer = receipts.ReceiptLayer(spark, str(tmp_path))
+    twice = layer.execute("twice", "SELECT a.*, b.*, NULL AS nothing FROM lms_activity a JOIN lms_activity b USING (moodle_user_key, term_code)")
+    assert len(set(twice.columns)) == len(twice.columns) and twice.columns[-1] == "nothing"
+    assert twice.count() == 7
+    assert layer.execute("view", "CREATE OR REPLACE TEMPORARY VIEW v AS SELECT 1 AS x") is None
+    assert layer.execute("use", "SELECT * FROM v").collect() == [(1,)]
+    assert {r.query_name: r.row_count for r in layer.receipts().collect()} == {"twice": 7, "view": 0, "use": 1}
+
+
 def test_levels_are_nested_and_labelled(spark, tmp_path):
     people = {"people": spark.range(1000).select(F.col("id").alias("p"))}
     levels = {"low": {}, "med": {"people": 0.3}, "high": {"people": 0.6}}
