@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.operators.partials import key_counts
@@ -53,7 +53,7 @@ def join_cardinality(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Da
     return sizes.withColumn("growth", F.when(larger > 0, F.col("output_rows") / larger))
 
 
-def schema_drift(schemas: dict[str, list[tuple[str, str]]], spark) -> DataFrame:
+def schema_drift(spark: SparkSession, schemas: dict[str, list[tuple[str, str]]]) -> DataFrame:
     """Columns of each part of a table against the columns of all parts.
 
     ``schemas`` holds (column, type) pairs per part, as from

@@ -86,12 +86,8 @@ def incremental_load(spark, sf_dir):
     schema = campus.table(spark, sf_dir, "orders").schema
     target, checkpoint = fresh_path(spark, "stream"), fresh_path(spark, "stream-checkpoint")
     for _ in range(2):
-        arrived = (
-            spark.readStream.schema(schema)
-            .option("pathGlobFilter", "orders.parquet")
-            .option("maxFilesPerTrigger", 1000)
-            .parquet(sf_dir)
-        )
+        # The pattern matches the table as one file and as a folder of files.
+        arrived = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{sf_dir}/orders.parquet*")
         kept = arrived.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
         append_stream(kept, target, checkpoint)
     return spark.read.parquet(target)

@@ -60,12 +60,12 @@ def _bare(path: str) -> str:
     return re.sub("/+", "/", bare)
 
 
-def _in_layout(path: Column, root: str) -> Column:
-    """Whether a file lies directly in ``root`` or in a folder of its ``terms``."""
-    depth = _bare(root).count("/")
+def _term_below(path: Column, depth: int) -> Column:
+    """Term folder of a file in ``terms`` below a folder this deep, empty for one directly in it, else null."""
     steps = F.split(F.regexp_replace(path, SCHEME, ""), "/")
     below = F.size(steps) - 1 - depth
-    return (below == 1) | ((below == 3) & (F.try_element_at(steps, F.lit(depth + 2)) == "terms"))
+    in_terms = (below == 3) & (F.try_element_at(steps, F.lit(depth + 2)) == "terms")
+    return F.when(below == 1, F.lit("")).when(in_terms, F.try_element_at(steps, F.lit(depth + 3)))
 
 
 def list_extracts(spark: SparkSession, root: str) -> DataFrame:
@@ -73,6 +73,7 @@ def list_extracts(spark: SparkSession, root: str) -> DataFrame:
 
     Lists files without opening them. A missing folder is an error.
     """
+    depth = _bare(root).count("/")
     found = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
@@ -80,12 +81,13 @@ def list_extracts(spark: SparkSession, root: str) -> DataFrame:
         .load(root)
         .select("path")
     )
-    top_level_only = F.substring_index("path", "/", -1).isin(*NOT_TABLES) & term_folder_of(F.col("path")).isNull()
-    return found.filter(_in_layout(F.col("path"), root) & ~top_level_only).select(
-        "path",
-        table_of(F.col("path")).alias("table_name"),
-        format_of(F.col("path")).alias("format"),
-        term_folder_of(F.col("path")).alias("term_folder"),
+    path, term = F.col("path"), F.col("_term")
+    placed = found.withColumn("_term", _term_below(path, depth)).filter(term.isNotNull())
+    return placed.filter((term != "") | ~F.substring_index(path, "/", -1).isin(*NOT_TABLES)).select(
+        path,
+        table_of(path).alias("table_name"),
+        format_of(path).alias("format"),
+        F.nullif(term, F.lit("")).alias("term_folder"),
     )
 
 

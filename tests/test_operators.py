@@ -272,7 +272,7 @@ def test_no_python_and_no_cartesian_in_plans(spark, tmp_path):
             continue
         text = io.StringIO()
         with contextlib.redirect_stdout(text):
-            query.build(spark, "/root/testdata/sf0.001").explain("extended")
+            query.build(spark, "/root/testdata/sf0.001").explain()
         plan = text.getvalue()
         for banned in ("PythonUDF", "CartesianProduct", "BroadcastNestedLoopJoin", "MapInPandas", "FlatMapGroups"):
             assert banned not in plan, (name, banned)

@@ -45,6 +45,20 @@ def test_listing(spark, root, values):
     assert sum(t == "financial_aid" for t, _, _ in listed) == 3 and not any(t == "notes" for t, _, _ in listed)
 
 
+def test_a_delivery_may_lie_in_a_folder_named_terms(spark, tmp_path, values):
+    top = tmp_path / "terms" / "out"
+    (top / "terms" / "2023FA").mkdir(parents=True)
+    (top / "identity_crosswalk.csv").write_text("student_id,moodle_user_key,workday_person_id\nS1,m1,w1\n")
+    (top / "terms" / "2023FA" / "financial_aid.csv").write_text(AID + "WD1,2023FA,true,0,0,0,0\n")
+    for root in (str(top), f"file://{top}/", f"file:{top}"):
+        assert values(extracts.list_extracts(spark, root), "table_name", "term_folder") == [
+            ("financial_aid", "2023FA"), ("identity_crosswalk", None),
+        ]
+        assert {n: d.count() for n, d in extracts.assemble(spark, root).items()} == {"financial_aid": 1, "identity_crosswalk": 1}
+    with pytest.raises(ValueError, match="absolute"):
+        extracts.list_extracts(spark, "out")
+
+
 def test_missing_folder_is_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         extracts.list_extracts(spark, str(tmp_path / "nowhere")).count()
@@ -112,14 +126,14 @@ def test_reordered_header_is_an_error_unless_aligned(spark, root, values):
     row = aligned.filter("term_code = '2024SU'").first()
     assert (row.workday_person_id, row.loans, row.pell_amount, row.note) == ("WD00000007", 5, None, "extra")
     assert aligned.count() == 7
-    drift = quality.schema_drift(extracts.part_schemas(spark, str(root), "financial_aid"), spark)
+    drift = quality.schema_drift(spark, extracts.part_schemas(spark, str(root), "financial_aid"))
     found = {(r.part, r.column_name): r.status for r in drift.collect()}
     assert found["2024SU", "pell_amount"] == "missing" and found["2023FA", "note"] == "missing"
     assert found["2024SU", "note"] == "same" and found["2023FA", "loans"] == "same"
 
 
 def test_schema_drift_reports_types(spark):
-    drift = quality.schema_drift({"a": [("x", "int")], "b": [("x", "string")]}, spark)
+    drift = quality.schema_drift(spark, {"a": [("x", "int")], "b": [("x", "string")]})
     assert {(r.part, r.status) for r in drift.collect()} == {("a", "type_varies"), ("b", "type_varies")}
 
 
