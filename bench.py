@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR names the data (default /root/testdata/sf0.1), BENCH_CPUS the
 local threads, BENCH_QUERIES an optional comma-separated choice, BENCH_RUNS the
-timed runs per query (the best counts) after one warm-up pass.
+timed runs per query (the best counts) after one warm-up pass over all queries.
 """
 
 from __future__ import annotations
@@ -59,9 +59,9 @@ def main() -> None:
     queries = load_all()
     seconds = {}
     for name in names:
-        build = queries[name].build
-        timed(spark, build, sf_dir)
-        seconds[name] = round(min(timed(spark, build, sf_dir) for _ in range(runs)), 4)
+        timed(spark, queries[name].build, sf_dir)
+    for name in names:
+        seconds[name] = round(min(timed(spark, queries[name].build, sf_dir) for _ in range(runs)), 4)
     scale = re.search(r"sf([0-9.]+)", sf_dir)
     print(
         json.dumps(
