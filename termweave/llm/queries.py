@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from termweave.llm import op1_toxicity, op3_lines, op4_simhash, op5_language, op7_mixing, op9_quality
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from termweave.llm import op1_toxicity, op3_lines, op4_simhash, op5_language, op7_mixing, op9_quality, op10_tokens
 from termweave.llm.common import table
 
 
@@ -26,5 +29,15 @@ def op9_quality_rules(spark, sf_dir):
     return op9_quality.quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_scores, op4_simhash_components, op5_language_id, op7_source_mix, op9_quality_rules)}
+def op10_token_files(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return op10_tokens.token_files(spark, table(spark, sf_dir, "documents"), path)
+
+
+def op3_line_dedup(spark, sf_dir):
+    found = op3_lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity_scores, op4_simhash_components, op5_language_id, op7_source_mix, op9_quality_rules, op3_line_dedup, op10_token_files)}
 SQL: dict[str, str] = {}
