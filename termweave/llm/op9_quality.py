@@ -113,18 +113,12 @@ def merged(sketch: DataFrame, *keys: str) -> DataFrame:
     return sketch.groupBy(*keys, "measure", "value").agg(F.sum("n").alias("n"))
 
 
-def quantiles(sketch: DataFrame, keys: list[str], points: tuple[float, ...]) -> DataFrame:
-    """Per group: its number of documents and, by measure, the least value that a share ``p`` does not exceed."""
+def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group and measure its ``total`` and, as ``q10`` and so on, the least value that covers each share."""
     group = Window.partitionBy(*keys, "measure")
     below = sketch.withColumn("upto", F.sum("n").over(group.orderBy("value"))).withColumn("total", F.sum("n").over(group))
-    picks = [F.min(F.when(F.col("upto") >= F.col("total") * p, F.col("value"))).alias(f"q{int(p * 100)}") for p in points]
-    per_measure = below.groupBy(*keys, "measure").agg(F.first("total").alias("total"), *picks)
-    columns = [
-        F.max(F.when(F.col("measure") == m, F.col(f"q{int(p * 100)}"))).alias(f"{m}_q{int(p * 100)}")
-        for m in MEASURES
-        for p in points
-    ]
-    return per_measure.groupBy(*keys).agg(F.max("total").alias("total"), *columns)
+    picks = [F.min(F.when(F.col("upto") >= F.col("total") * p, F.col("value"))).alias(f"q{int(p * 100)}") for p in POINTS]
+    return below.groupBy(*keys, "measure").agg(F.first("total").alias("total"), *picks)
 
 
 POINTS = (0.1, 0.5, 0.9)
@@ -132,29 +126,27 @@ POINTS = (0.1, 0.5, 0.9)
 
 def limits(sketch: DataFrame, min_docs: int, factor: float) -> DataFrame:
     """``<measure>_low`` and ``<measure>_high`` per language and source."""
-    own = quantiles(sketch, ["lang", "source"], POINTS)
-    by_lang = quantiles(merged(sketch, "lang"), ["lang"], POINTS)
-    of_all = quantiles(merged(sketch), [], POINTS)
-    names = [f"{m}_q{int(p * 100)}" for m in MEASURES for p in POINTS] + ["total"]
-    lang = by_lang.select("lang", F.struct(*names).alias("of_lang"))
-    every = of_all.select(F.lit(1).alias("one"), F.struct(*names).alias("of_all"))
-    groups = own.select("lang", "source", F.lit(1).alias("one"), F.struct(*names).alias("own"))
-    groups = joined_null_safe(joined_null_safe(groups, lang, ["lang"], "left"), every, ["one"], "left")
+    names = ["total", *(f"q{int(p * 100)}" for p in POINTS)]
+    level = lambda df, keys, name: quantiles(df, keys).select(*keys, "measure", F.struct(*names).alias(name))
+    groups = level(sketch, ["lang", "source"], "own")
+    groups = joined_null_safe(groups, level(merged(sketch, "lang"), ["lang"], "of_lang"), ["lang", "measure"], "left")
+    groups = joined_null_safe(groups, level(merged(sketch), [], "of_all"), ["measure"], "left")
     use = (
         F.when(F.col("own.total") >= min_docs, F.col("own"))
         .when(F.col("of_lang.total") >= min_docs, F.col("of_lang"))
         .otherwise(F.col("of_all"))
     )
-    groups = groups.select("lang", "source", use.alias("q"))
+    groups = groups.select("lang", "source", "measure", use.alias("q"))
     found = []
     for m in MEASURES:
-        low, mid, high = (F.col(f"q.{m}_q{int(p * 100)}") for p in POINTS)
+        of = lambda c, m=m: F.max(F.when(F.col("measure") == m, c))
+        low, mid, high = (F.col(f"q.q{int(p * 100)}") for p in POINTS)
         least = F.lit(float(LEAST_SPREAD[m]))
         found += [
-            (low - factor * F.greatest(mid - low, least)).alias(f"{m}_low"),
-            (high + factor * F.greatest(high - mid, least)).alias(f"{m}_high"),
+            of(low - factor * F.greatest(mid - low, least)).alias(f"{m}_low"),
+            of(high + factor * F.greatest(high - mid, least)).alias(f"{m}_high"),
         ]
-    return groups.select("lang", "source", *found)
+    return groups.groupBy("lang", "source").agg(*found)
 
 
 def quality(docs: DataFrame, min_docs: int = 100, factor: float = 4.0) -> DataFrame:

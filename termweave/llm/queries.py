@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from termweave.llm import op1_toxicity, op3_lines, op4_simhash, op5_language, op7_mixing, op9_quality, op10_tokens
+from termweave.llm import op1_toxicity, op2_decontamination, op3_lines, op4_simhash, op5_language, op7_mixing, op9_quality, op10_tokens
 from termweave.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_toxicity_scores(spark, sf_dir):
     return op1_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_benchmark_leaks(spark, sf_dir):
+    return op2_decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_simhash_components(spark, sf_dir):
     return op4_simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,5 +43,5 @@ def op3_line_dedup(spark, sf_dir):
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_scores, op4_simhash_components, op5_language_id, op7_source_mix, op9_quality_rules, op3_line_dedup, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_scores, op4_simhash_components, op5_language_id, op7_source_mix, op9_quality_rules, op2_benchmark_leaks, op3_line_dedup, op10_token_files)}
 SQL: dict[str, str] = {}
