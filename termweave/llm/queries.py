@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from termweave.llm import op1_toxicity, op2_decontamination, op3_lines, op4_simhash, op5_language, op7_mixing, op9_quality, op10_tokens
+from termweave.llm import op1_toxicity, op2_decontamination, op3_lines, op4_simhash, op5_language, op6_substrings, op7_mixing, op9_quality, op10_tokens
 from termweave.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op5_language_id(spark, sf_dir):
     return op5_language.language(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark, sf_dir):
+    return op6_substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mix(spark, sf_dir):
     return op7_mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -43,5 +47,5 @@ def op3_line_dedup(spark, sf_dir):
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_scores, op4_simhash_components, op5_language_id, op7_source_mix, op9_quality_rules, op2_benchmark_leaks, op3_line_dedup, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_scores, op4_simhash_components, op5_language_id, op6_substring_dedup, op7_source_mix, op9_quality_rules, op2_benchmark_leaks, op3_line_dedup, op10_token_files)}
 SQL: dict[str, str] = {}
