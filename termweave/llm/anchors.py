@@ -1,20 +1,25 @@
 """Finding windows that repeat anywhere, by sending text to the place of its rarest part.
 
 A window is ``k`` consecutive units (words or bytes) of one text. Each window has
-``k - gram + 1`` runs of ``gram`` units; the run with the least hash is its anchor.
-Equal windows have equal anchors, so all windows that could be equal share the
-anchor's hash, their key. Neighbouring windows mostly have the same anchor: a text
-becomes a few segments, each a run of windows of one key, and every window lies in
-exactly one segment.
-
-1. Keys are counted, without text. Keys of one place only cannot repeat.
-2. Texts with other keys are cut into the segments of those keys. Segments are
-   grouped by their content, so copies become one segment with a count.
+``k - gram + 1`` runs of ``gram`` units; the leftmost run with the least hash is its
+anchor. Equal windows have equal anchors at the same place in them, so all windows
+that could be equal share the anchor's hash, their key. Neighbouring windows mostly
+have the same anchor: a text becomes segments, each the windows of one anchor, and
+every window lies in exactly one segment.
+
+1. An equal window also has the same units either on the right of the anchor's
+   begin, up to half a window, or on its left. Hashes of both sides of every
+   segment are counted, without text; a segment whose sides occur nowhere else
+   cannot repeat.
+2. The other segments are cut out of the texts and grouped by their content, so
+   copies become one segment with a count.
 3. The segments of a key meet in one task, where an index over them (the caller's)
    says which windows repeat. Keys with more than ``HOT_SEGMENTS`` different
    segments are not gathered: their windows are compared by 128-bit digests in an
    aggregation.
 4. What it says goes back to every place of the segment, and texts are cut.
+
+Texts are compressed before they are shuffled.
 """
 
 from __future__ import annotations
@@ -22,14 +27,16 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termweave.llm.common import joined_null_safe
-from termweave.storage import materialize
+from termweave.storage import fresh_path
 
 PLACE_BITS = 24
 CHUNK_UNITS = 1 << 20
@@ -65,56 +72,73 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass
 class Segments:
-    """Arrays, one entry per segment: text, first unit in it, windows, key, and whether the anchor occurs twice."""
+    """Arrays, one entry per segment: text, first unit in it, windows, units before the anchor, key, hashes of its sides (0: none)."""
 
     text: np.ndarray
     start: np.ndarray
     windows: np.ndarray
+    anchor: np.ndarray
     key: np.ndarray
-    twice: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+
+
+_BASE = 0x9E3779B97F4A7C15
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2 ** 64, and of its inverse."""
+    up = np.full(n, _BASE, np.uint64)
+    down = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+def _range_hashes(sums: np.ndarray, a: np.ndarray, b: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """Hashes of units a to b, 0 where not valid."""
+    a, b = np.where(valid, a, 0), np.where(valid, b, 0)
+    h = mixed((sums[b] - sums[a]) * _powers(2 * CHUNK_UNITS + 1)[1][a] + (b - a).astype(np.uint64))
+    return np.where(valid, h | np.uint64(1), np.uint64(0)).view(np.int64)
 
 
-def segments(units: np.ndarray, ends: np.ndarray, k: int, gram: int, longest: int) -> Segments:
+def segments(units: np.ndarray, ends: np.ndarray, k: int, gram: int) -> Segments:
     """Segments of neighbouring texts; ``ends``: where each text ends among the units (uint64, evenly hashed)."""
     starts = np.concatenate([[0], ends[:-1]])
     counts = np.maximum(ends - starts - k + 1, 0)
     if not counts.sum():
         none = np.zeros(0, np.int64)
-        return Segments(none, none, none, none, none.astype(bool))
+        return Segments(none, none, none, none, none, none, none)
     grams = gram_hashes(units, gram)
     low = np.uint64((1 << PLACE_BITS) - 1)
     least = sliding_least((grams & ~low) | np.arange(len(grams), dtype=np.uint64), k - gram + 1)
     text = np.repeat(np.arange(len(ends)), counts)
     within = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
     place = (least[within + starts[text]] & low).astype(np.int64)
-    key = grams[place]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
-    first = np.flatnonzero(new)
-    run = np.cumsum(new) - 1
-    # Long runs are cut, from their beginning on.
-    new |= (np.arange(len(key)) - first[run]) % longest == 0
+    new = np.ones(len(place), bool)
+    new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
     cut = np.flatnonzero(new)
-    size = np.diff(np.append(cut, len(key)))
-    last = cut + size - 1
-    # Of a run with two anchors, pieces may repeat each other.
-    ends_of_run = np.append(first[1:], len(key)) - 1
-    twice = place[first[run[cut]]] != place[ends_of_run[run[cut]]]
-    del last
-    return Segments(text[cut], within[cut], size, key[cut].view(np.int64), twice)
+    text, start, place = text[cut], within[cut], place[cut]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(units * _powers(2 * CHUNK_UNITS + 1)[0][: len(units)])])
+    half = (k + 1) // 2
+    first = place - (k - half + 1)
+    left = _range_hashes(sums, first, place + gram, first >= starts[text])
+    right = _range_hashes(sums, place, place + half, place + half <= ends[text])
+    anchor = place - starts[text] - start
+    return Segments(text, start, np.diff(np.append(cut, len(within))), anchor, grams[place].view(np.int64), left, right)
 
 
 @dataclass(frozen=True)
 class Kind:
     """What the units are.
 
-    ``units(texts)``: their hashes and the end of each text; ``content(text, a, b)``: units a to b as bytes;
-    ``split(content)``: the units of such bytes; ``finish(text, covered)``: n, removed, runs, digest of what is left.
+    ``units(texts)``: their hashes, and where each text ends; ``cutter(text)``: a function that gives units a to b as
+    bytes; ``window_bytes(content, n)``: the n windows of a segment; ``finish(text, spans)``: units, removed, runs and
+    the digest of what is left.
     """
 
     k: int
     gram: int
-    longest: int
     units: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
     cutter: Callable[[bytes], Callable[[int, int], bytes]]
     window_bytes: Callable[[bytes, int], list[bytes]]
@@ -130,15 +154,14 @@ def _parts(texts: list[bytes], kind: Kind) -> Iterator[tuple[list[int], Segments
             held += len(texts[b])
             b += 1
         units, ends = kind.units(texts[a:b])
-        if b == a + 1 and len(units) > 8 * CHUNK_UNITS:
-            step = 4 * CHUNK_UNITS
-            for c in range(0, len(units) - kind.k + 1, step):
-                piece = units[c : c + step + kind.k - 1]
-                found = segments(piece, np.array([len(piece)]), kind.k, kind.gram, kind.longest)
+        if len(units) > 2 * CHUNK_UNITS:  # one text
+            for c in range(0, len(units) - kind.k + 1, CHUNK_UNITS):
+                piece = units[c : c + CHUNK_UNITS + kind.k - 1]
+                found = segments(piece, np.array([len(piece)]), kind.k, kind.gram)
                 found.start += c
                 yield [a], found
         else:
-            yield list(range(a, b)), segments(units, ends, kind.k, kind.gram, kind.longest)
+            yield list(range(a, b)), segments(units, ends, kind.k, kind.gram)
         a = b
 
 
@@ -146,83 +169,93 @@ def _id_type(docs: DataFrame) -> str:
     return docs.schema["doc_id"].dataType.simpleString()
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = fresh_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).cast("binary").alias("text"))
 
 
-def keys(docs: DataFrame, kind: Kind) -> DataFrame:
-    """key, doc_id and weight of every segment; weight 2 where an anchor occurs twice."""
+def sides(docs: DataFrame, kind: Kind) -> DataFrame:
+    """side (a hash) and doc_id, for both sides of every segment."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for which, s in _parts(texts, kind):
-                at = pa.array(np.array(which, np.int64)[s.text])
+            for which, s in _parts(batch.column(1).to_pylist(), kind):
+                side = np.concatenate([s.left, s.right])
+                at = np.concatenate([s.text, s.text])[side != 0]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(s.key), batch.column(0).take(at), pa.array(s.twice.astype(np.int32) + 1, pa.int32())],
-                    ["key", "doc_id", "weight"],
+                    [pa.array(side[side != 0]), batch.column(0).take(pa.array(np.array(which, np.int64)[at]))], ["side", "doc_id"]
                 )
 
-    return _rows(docs).mapInArrow(found, f"key long, doc_id {_id_type(docs)}, weight int")
+    return _rows(docs).mapInArrow(found, f"side long, doc_id {_id_type(docs)}")
 
 
-FINISHED, OPEN, SEGMENT = 0, 1, 2
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, a digest ``tid`` of the text, and the compressed text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            tids = [hashlib.blake2b(t, digest_size=8).digest() for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(tids, pa.binary()), pa.array([squeeze(t) for t in texts], pa.binary())],
+                ["doc_id", "tid", "text"],
+            )
 
-def cut(docs: DataFrame, shared: DataFrame, kind: Kind) -> DataFrame:
-    """Texts without a shared key as finished rows; other texts, and their segments of shared keys.
+    return _rows(docs).mapInArrow(run, f"doc_id {_id_type(docs)}, tid binary, text binary")
 
-    ``shared``: doc_id and key.
-    """
-    id_type = _id_type(docs)
-    id_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(id_type)
-    per_doc = shared.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    rows = joined_null_safe(_rows(docs), per_doc, ["doc_id"], "left")
-    names = ["kind", "doc_id", "tid", "text", "key", "sid", "start", "windows", "content", "n", "digest"]
-    types = [pa.int8(), id_arrow, pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.string()]
+
+def cut(docs: DataFrame, shared: DataFrame, kind: Kind) -> DataFrame:
+    """The segments of which a side is shared; ``shared``: doc_id and side."""
+    per_doc = shared.groupBy("doc_id").agg(F.collect_set("side").alias("sides"))
+    rows = joined_null_safe(packed(docs), per_doc, ["doc_id"], "inner")
+    names = ["tid", "key", "sid", "start", "windows", "anchor", "content"]
+    types = [pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            ids = batch.column(0).to_pylist()
-            wanted = batch.column(2)
+            tids = batch.column(1).to_pylist()
+            texts = [expand(t) for t in batch.column(2).to_pylist()]
+            wanted = batch.column(3)
             out: list[tuple] = []
-            open_ = [i for i in range(len(texts)) if wanted[i].is_valid]
-            for i in set(range(len(texts))).difference(open_):
-                n, _, _, digest = kind.finish(texts[i], None)
-                out.append((FINISHED, ids[i], None, None, None, None, None, None, None, n, digest))
-            tids = {}
-            for i in open_:
-                tids[i] = hashlib.blake2b(texts[i], digest_size=8).digest()
-                out.append((OPEN, ids[i], tids[i], texts[i], None, None, None, None, None, None, None))
-            for which, s in _parts([texts[i] for i in open_], kind):
+            owners: list[int] = []
+
+            def flushed():
+                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners)), *columns], ["doc_id", *names])
+
+            for which, s in _parts(texts, kind):
                 bounds = np.searchsorted(s.text, np.arange(len(which) + 1))
-                for j, w in enumerate(which):
-                    i = open_[w]
+                for j, i in enumerate(which):
                     a, b = bounds[j], bounds[j + 1]
-                    keep = np.flatnonzero(np.isin(s.key[a:b], wanted[i].values.to_numpy())) + a
-                    if not len(keep):
-                        continue
-                    take = kind.cutter(texts[i])
-                    for key, start, n in zip(s.key[keep].tolist(), s.start[keep].tolist(), s.windows[keep].tolist(), strict=True):
+                    known = wanted[i].values.to_numpy()
+                    keep = np.flatnonzero(np.isin(s.left[a:b], known) | np.isin(s.right[a:b], known)) + a
+                    take = kind.cutter(texts[i]) if len(keep) else None
+                    columns = (x[keep].tolist() for x in (s.key, s.start, s.windows, s.anchor))
+                    for key, start, n, anchor in zip(*columns, strict=True):
                         content = take(start, start + n + kind.k - 1)
                         sid = hashlib.blake2b(content, digest_size=16).digest()
-                        out.append((SEGMENT, ids[i], tids[i], None, key, sid, start, n, content, None, None))
+                        out.append((tids[i], key, sid, start, n, anchor, content))
+                        owners.append(i)
                 if len(out) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-                    out = []
+                    yield flushed()
+                    out, owners = [], []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                yield flushed()
 
-    schema = (
-        f"kind tinyint, doc_id {id_type}, tid binary, text binary, key long, sid binary, start int, windows int, "
-        "content binary, n long, digest string"
-    )
-    return rows.mapInArrow(made, schema)
+    schema = f"doc_id {_id_type(docs)}, tid binary, key long, sid binary, start int, windows int, anchor int, content binary"
+    return rows.select("doc_id", "tid", "text", "sides").mapInArrow(made, schema)
 
 
-#: Of a segment: its content, windows, least id and number of places. Judged to triples: windows from, to, and a value.
-Segment = tuple[bytes, int, int | None, int]
+#: Of a segment: its content, windows, units before the anchor, least id and number of places. Judged to triples:
+#: windows from, to, and a value.
+Segment = tuple[bytes, int, int, int | None, int]
 Index = Callable[[list[list[Segment]]], list[list[list[int]]]]
 
 
@@ -274,11 +307,11 @@ def judged(distinct: DataFrame, kind: Kind, index: Index, plain: Callable[[list[
         if sids:
             yield answered(sids, runs)
 
-    rows = distinct.select("key", "sid", "content", "windows", "least", "places")
+    rows = distinct.select("key", "sid", "content", "windows", "anchor", "least", "places")
     return rows.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(run, "sid binary, runs array<long>")
 
 
-def judged_by_digest(distinct: DataFrame, kind: Kind, value: F.Column, repeats: F.Column) -> DataFrame:
+def judged_by_digest(distinct: DataFrame, kind: Kind, value: Column, repeats: Column) -> DataFrame:
     """The same for hot keys: windows of equal content are aggregated by a 128-bit digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +325,7 @@ def judged_by_digest(distinct: DataFrame, kind: Kind, value: F.Column, repeats:
 
     rows = distinct.select("sid", "content", "windows", "least", "places")
     each = rows.mapInArrow(run, "digest binary, sid binary, at long, least long, places long")
-    each = materialize(each, "hot-windows")
+    each = _stored(each, "hot-windows")
     same = each.groupBy("digest").agg(F.min("least").alias("least"), F.sum("places").alias("places"))
     back = each.select("digest", "sid", "at").join(same.where(repeats).select("digest", value.alias("value")), "digest")
     triples = F.array_sort(F.collect_list(F.struct("at", "value")))
@@ -305,58 +338,55 @@ def without_repeats(
     kind: Kind,
     index: Index,
     plain: Callable[[list[Segment]], list | None],
-    shared_key: F.Column,
-    hot_value: F.Column,
-    hot_repeats: F.Column,
+    shared_side: Column,
+    hot_value: Column,
+    hot_repeats: Column,
     removes: Callable[[int, object], bool],
     shard_bytes: int,
     hot_segments: int = HOT_SEGMENTS,
 ) -> DataFrame:
     """doc_id, n, n_removed, n_spans and kept_sha256 of every document.
 
-    ``shared_key``: a condition on a key's ``low``, ``high`` (ids) and ``weight``. ``removes(value, doc_id)``: whether
-    a judged run with that value is removed from a document.
+    ``shared_side``: a condition on ``low``, ``high`` (ids) and ``n`` (places) of a side. ``removes(value, doc_id)``:
+    whether a judged run with that value is removed from a document.
     """
-    every = keys(docs, kind)
-    known = every.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("weight").alias("weight"))
-    shared = every.select("doc_id", "key").join(known.where(shared_key).select("key"), "key", "left_semi").distinct()
-    parts = materialize(cut(docs, shared, kind), "repeat-parts")
-    segs = parts.where(F.col("kind") == SEGMENT)
-    distinct = segs.groupBy("key", "sid", "content", "windows").agg(
+    every = sides(docs, kind)
+    known = every.groupBy("side").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
+    shared = every.join(known.where(shared_side).select("side"), "side", "left_semi")
+    segs = _stored(cut(docs, shared, kind), "repeat-places")
+    distinct = segs.groupBy("key", "sid", "content", "windows", "anchor").agg(
         F.min("doc_id").cast("long").alias("least"), F.count("*").alias("places")
     )
-    distinct = materialize(distinct, "repeat-segments")
+    distinct = _stored(distinct, "repeat-segments")
     hot = distinct.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_segments).select("key")
-    hot = materialize(hot, "repeat-hot")
+    hot = _stored(hot, "repeat-hot")
     usual = judged(distinct.join(hot, "key", "left_anti"), kind, index, plain, shard_bytes)
     large = judged_by_digest(distinct.join(hot, "key", "left_semi"), kind, hot_value, hot_repeats)
-    verdicts = materialize(usual.unionAll(large).where(F.size("runs") > 0), "repeat-verdicts")
+    verdicts = _stored(usual.unionAll(large).where(F.size("runs") > 0), "repeat-verdicts")
     places = segs.select("doc_id", "tid", "sid", "start").join(verdicts, "sid")
     per_doc = places.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("start", "runs")).alias("found"))
-    opened = joined_null_safe(parts.where(F.col("kind") == OPEN).select("doc_id", "tid", "text"), per_doc, ["doc_id", "tid"], "left")
-    id_type = _id_type(docs)
+    rows = joined_null_safe(packed(docs), per_doc, ["doc_id", "tid"], "left").select("doc_id", "text", "found")
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows = []
-            for doc_id, text, found in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for doc_id, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 spans = [
                     (f["start"] + a, f["start"] + b - 1 + kind.k)
                     for f in found or ()
                     for a, b, value in zip(f["runs"][::3], f["runs"][1::3], f["runs"][2::3], strict=True)
                     if removes(value, doc_id)
                 ]
-                rows.append(kind.finish(text, np.array(spans, np.int64).reshape(-1, 2) if spans else None))
+                rows.append(kind.finish(expand(text), np.array(spans, np.int64).reshape(-1, 2) if spans else None))
             columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())],
                 ["doc_id", "n", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    done = opened.mapInArrow(finished, f"doc_id {id_type}, n long, n_removed long, n_spans long, kept_sha256 string")
-    zero = F.lit(0).cast("long")
-    rest = parts.where(F.col("kind") == FINISHED).select("doc_id", "n", zero.alias("n_removed"), zero.alias("n_spans"), F.col("digest").alias("kept_sha256"))
-    return rest.unionAll(done)
+    schema = f"doc_id {_id_type(docs)}, n long, n_removed long, n_spans long, kept_sha256 string"
+    return rows.mapInArrow(finished, schema)
 
 
 def covered(spans: np.ndarray | None, n: int) -> np.ndarray:

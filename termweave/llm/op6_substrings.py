@@ -166,7 +166,7 @@ def least_documents(groups: list[list[anchors.Segment]]) -> list[list[list[int]]
     index = FMIndex(texts, len(numbers) + 1, WINDOW)
     owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
     none = np.iinfo(np.int64).max
-    ids = np.array([none if s[2] is None else s[2] for s in flat], np.int64)[owner[index.order]]
+    ids = np.array([none if s[3] is None else s[3] for s in flat], np.int64)[owner[index.order]]
     least = np.minimum.reduceat(ids, np.flatnonzero(np.append(True, index.group[1:] != index.group[:-1])))
     found = [np.full(s[1], none, np.int64) for s in flat]
     table = np.full((len(flat), max(s[1] for s in flat)), none, np.int64)
@@ -188,11 +188,11 @@ def _plain(members: list[anchors.Segment]) -> list | None:
     """A key with one segment needs no index."""
     if len(members) > 1:
         return None
-    _, windows, least, _ = members[0]
+    _, windows, _, least, _ = members[0]
     return [[] if least is None else [0, windows, least]]
 
 
-WORDS = anchors.Kind(WINDOW, GRAM, 2 * WINDOW, word_hashes, _cutter, _windows, _finish)
+WORDS = anchors.Kind(WINDOW, GRAM, word_hashes, _cutter, _windows, _finish)
 
 
 def dedup_substrings(docs: DataFrame, hot_segments: int = anchors.HOT_SEGMENTS) -> DataFrame:
@@ -202,7 +202,7 @@ def dedup_substrings(docs: DataFrame, hot_segments: int = anchors.HOT_SEGMENTS)
         WORDS,
         least_documents,
         _plain,
-        shared_key=F.col("low") < F.col("high"),
+        shared_side=F.col("low") < F.col("high"),
         hot_value=F.col("least"),
         hot_repeats=F.col("least").isNotNull(),
         removes=lambda least, doc_id: doc_id is not None and least < doc_id,
