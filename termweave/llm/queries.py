@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from termweave.llm import op1_toxicity, op2_decontamination, op3_lines, op4_simhash, op5_language, op6_substrings, op7_mixing, op9_quality, op10_tokens
+from termweave.llm import op1_toxicity, op2_decontamination, op3_lines, op4_simhash, op5_language, op6_substrings, op7_mixing, op8_suffixes, op9_quality, op10_tokens
 from termweave.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op7_source_mix(spark, sf_dir):
     return op7_mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_byte_dedup(spark, sf_dir):
+    return op8_suffixes.dedup_bytes(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark, sf_dir):
     return op9_quality.quality(table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op3_line_dedup(spark, sf_dir):
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_scores, op4_simhash_components, op5_language_id, op6_substring_dedup, op7_source_mix, op9_quality_rules, op2_benchmark_leaks, op3_line_dedup, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_scores, op4_simhash_components, op5_language_id, op6_substring_dedup, op7_source_mix, op8_byte_dedup, op9_quality_rules, op2_benchmark_leaks, op3_line_dedup, op10_token_files)}
 SQL: dict[str, str] = {}
