@@ -42,6 +42,9 @@ SHORTEST, LONGEST = 3, 6
 #: A span of fewer n-grams is filled up with zero vectors.
 LEAST = 150
 SLICE_CHARS = 1 << 18
+BATCH = 256
+#: Least number of batches in a round of training.
+STEPS = 120
 _POWERS = np.cumprod(np.full(64, 0x100000001B3, np.uint64))
 
 
@@ -135,7 +138,7 @@ class _Trainer:
         self.seen[2] += to_bias * to_bias
         self.bias -= rate * to_bias / np.sqrt(self.seen[2])
 
-    def epoch(self, texts: list[list], labels: np.ndarray, rate: float, batch: int = 256) -> None:
+    def epoch(self, texts: list[list], labels: np.ndarray, rate: float, batch: int = BATCH) -> None:
         order = self.rng.permutation(len(texts))
         for a in range(0, len(order), batch):
             pick = order[a : a + batch]
@@ -193,7 +196,7 @@ def fit(texts: list[str], toxic: np.ndarray, toxic_rate: float, rounds: int = 4,
         pick = np.concatenate([hit, clean])
         labels = np.concatenate([np.ones(len(hit), np.int64), np.zeros(len(clean), np.int64)])
         chosen = [bags[i] for i in pick]
-        for _ in range(2):
+        for _ in range(max(2, -(-STEPS * BATCH // max(1, len(chosen))))):
             trainer.epoch(chosen, labels, 0.2)
     weights, bias = trainer.weights()
     raw = raw_scores(texts, weights, bias)

@@ -103,7 +103,7 @@ class OneVersusOne:
         for a, b in pairs:
             use = (names == classes[a]) | (names == classes[b])
             columns.append(_svm(x[use], np.where(names[use] == classes[a], 1, -1).astype(np.float32)))
-        return OneVersusOne(classes, pairs, np.array(columns, np.float32).reshape(len(pairs), -1).T)
+        return OneVersusOne(classes, pairs, np.stack(columns, 1) if pairs else np.zeros((x.shape[1] + 1, 0), np.float32))
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The winning class of each row and its least pairwise probability."""
