@@ -1,4 +1,4 @@
-"""Time the headline queries and print one JSON line.
+"""Time all registered queries of the library itself and print one JSON line.
 
 BENCH_SF_DIR names the data (default /root/testdata/sf0.1), BENCH_CPUS the
 local threads, BENCH_QUERIES an optional comma-separated choice, BENCH_RUNS the
@@ -11,6 +11,7 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -20,16 +21,6 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from termweave.plans.registry import load_all  # noqa: E402
 
-HEADLINE = [
-    "status_by_term", "activity_avg_by_person", "login_average", "two_averages_by_term", "bridge_rows",
-    "clicks_with_student", "coverage_by_term", "missing_activity", "orphan_rows", "swap_keys", "swap_audit",
-    "key_ambiguity", "join_cardinality", "reconcile", "running_totals", "running_gpa", "enrolment_history",
-    "change_events", "stopouts", "eligible_by_term", "frag_sweep", "thin_rows", "weighted_assign", "letter_grade",
-    "completion", "section_keys", "composite_split", "composite_parts", "slug_dedupe", "sql_fanout", "receipt_json",
-    "advising_holds", "latest_per_user", "csv_roundtrip", "term_folders", "incremental_load", "receipt_log",
-]
-
-
 def session(cpus: str) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -38,6 +29,8 @@ def session(cpus: str) -> SparkSession:
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="bench-warehouse-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
@@ -53,10 +46,10 @@ def timed(spark: SparkSession, build, sf_dir: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     chosen = os.environ.get("BENCH_QUERIES")
-    names = chosen.split(",") if chosen else HEADLINE
     runs = int(os.environ.get("BENCH_RUNS", "2"))
     spark = session(os.environ.get("BENCH_CPUS", "8"))
     queries = load_all()
+    names = chosen.split(",") if chosen else list(queries)
     seconds = {}
     for name in names:
         timed(spark, queries[name].build, sf_dir)

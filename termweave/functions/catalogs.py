@@ -32,6 +32,9 @@ MAJORS: dict[str, int] = {
     "East Asian Studies": 15,
 }
 
+# Year of study at admission; a few people have none.
+FIRST_YEARS: dict[str | None, int] = {"Freshman": 400, "Sophomore": 284, "Junior": 124, "Senior": 182, None: 11}
+
 SUBJECTS: tuple[str, ...] = (
     "COSI", "BIOL", "ECON", "PSYC", "NEUR", "CHEM", "MATH", "HSSP",
     "AMST", "ENVS", "POL", "ANTH", "ENG", "HIST", "PHIL", "BUS",

@@ -23,13 +23,13 @@ def bucket(value: Column, edges: Sequence[float], labels: Sequence[str]) -> Colu
 
     ``labels`` has one entry per edge, or one more in front for values below
     the first edge. Null, and values below the first edge without such a
-    label, give null.
+    label, give null; NaN is below every edge.
     """
     below = labels[0] if len(labels) == len(edges) + 1 else None
     named = list(zip(edges, labels[len(labels) - len(edges):]))
     chain = F.when(value.isNull(), F.lit(None).cast("string"))
     for edge, label in sorted(named, reverse=True):
-        chain = chain.when(value >= F.lit(edge), F.lit(label))
+        chain = chain.when((value >= F.lit(edge)) & ~F.isnan(value), F.lit(label))
     return chain.otherwise(F.lit(below))
 
 
@@ -45,8 +45,9 @@ def letter_grade(points: Column) -> Column:
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
-    """``value`` forced into [low, high]; null stays null."""
-    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(low)), F.lit(high)))
+    """``value`` forced into [low, high]; null and NaN stay what they are."""
+    within = F.least(F.greatest(value, F.lit(low)), F.lit(high))
+    return F.when(F.isnan(value), value).when(value.isNotNull(), within)
 
 
 def round2(value: Column) -> Column:
@@ -170,6 +171,12 @@ def strip_chars(text: Column, chars: str) -> Column:
     return F.btrim(text, F.lit(chars))
 
 
+def utc_timestamp_text() -> Column:
+    """Current time as ISO text in UTC, whatever the session's time zone."""
+    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    return F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def utc_now() -> Column:
     """Current time; sessions run in UTC."""
     return F.current_timestamp()

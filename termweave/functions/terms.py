@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 # Seasons in calendar order, code format, months of dated records.
 SEASONS = ("SP", "SU", "FA")
-TERM_PATTERN = r"^[0-9]{4}(SP|SU|FA)$"
+TERM_PATTERN = r"^[0-9]{4}(SP|SU|FA)\z"
 ACTIVITY_MONTH = {"SP": 4, "SU": 7, "FA": 11}
 HOLD_MONTH = {"SP": 1, "SU": 5, "FA": 8}
 

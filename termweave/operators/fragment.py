@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from termweave.functions.hashing import hash_fraction
-from termweave.operators.skew import ROWS_PER_TASK, salted_join
+from termweave.operators.ordering import running_total
+from termweave.operators.skew import ROWS_PER_TASK
 
 # Default rates of missing rows, holds placed and keys kept on holds.
 LMS_MISSING_RATE = 0.10
@@ -22,8 +23,6 @@ HOLD_RATE = 0.12
 HOLD_KEY_KEPT_RATE = 0.87
 CROSSWALK_MISMATCH_RATE = 0.01
 
-MAX_CATEGORIES = 1_000
-
 
 def _fraction(salt: str, key: Sequence[str]) -> Column:
     return hash_fraction(salt, *[F.col(k) for k in key])
@@ -81,31 +80,33 @@ def sweep(
 def swap_pairs(
     crosswalk: DataFrame, rate: float, salt: str, id: str, key: str, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """Let a share ``rate`` of the people exchange keys in disjoint pairs.
+    """Let people exchange keys in disjoint pairs: ``rate`` swaps per person, two people each.
 
     Neighbours in hash order form the pairs. The hash range is cut into as many
     buckets as the number of chosen people needs, each bucket a window of its
     own; an odd person left at the end of a bucket keeps the key. Only people
-    with a single crosswalk row take part. Doing it again with the same salt
-    gives back the original.
+    with a single crosswalk row that has a key take part. Doing it again with the
+    same salt gives back the original.
     """
+    share = min(1.0, 2 * rate)
     fraction = hash_fraction(salt, F.col(id))
-    chosen = crosswalk.filter((fraction < F.lit(rate)) & F.col(id).isNotNull())
-    kept = crosswalk.filter((fraction >= F.lit(rate)) | F.col(id).isNull())
+    takes_part = (fraction < F.lit(share)) & F.col(id).isNotNull()
+    chosen = crosswalk.filter(takes_part)
+    kept = crosswalk.filter(~F.coalesce(takes_part, F.lit(False)))
     single = (
         chosen.groupBy(id)
         .agg(F.count(F.lit(1)).alias("_n"), F.max(key).alias("_key"))
-        .filter(F.col("_n") == 1)
+        .filter((F.col("_n") == 1) & F.col("_key").isNotNull())
     )
     buckets = chosen.agg(F.ceil(F.count(F.lit(1)) / rows_per_task)).scalar()
     placed = single.select(id, "_key", fraction.alias("_at")).withColumn(
-        "_bucket", F.floor(F.col("_at") / rate * buckets)
+        "_bucket", F.floor(F.col("_at") / share * buckets)
     )
     within = W.partitionBy("_bucket").orderBy("_at", id)
     number = F.row_number().over(within)
     partner = F.when(number % 2 == 1, F.lead("_key").over(within)).otherwise(F.lag("_key").over(within))
     swapped = placed.select(id, F.coalesce(partner, F.col("_key")).alias("_new"))
-    changed = salted_join(chosen, swapped, [id], "left", rows_per_task)
+    changed = chosen.join(swapped, id, "left")
     return kept.unionByName(
         changed.withColumn(key, F.coalesce(F.col("_new"), F.col(key))).select(*crosswalk.columns)
     )
@@ -114,21 +115,33 @@ def swap_pairs(
 def weighted_assign(df: DataFrame, fraction: Column, weights: DataFrame, value: str, weight: str) -> DataFrame:
     """Give each row the category in whose share of the total weight its fraction falls.
 
-    For catalogues kept as a table (for a fixed list see ``weighted_choice``).
-    The catalogue, at most ``MAX_CATEGORIES`` long, reaches the rows as one
-    array of running weights in order of ``value``: no join with the rows. A
-    longer one is an error.
+    For catalogues kept as a table, of any length (for a fixed list see
+    ``weighted_choice``). Categories lie side by side in order of ``value``, which
+    must be unique, each as wide as its weight. The whole width is cut into as many
+    slots as there are categories; a category stands in every slot it reaches into,
+    so a row meets those of its slot only, two on average, by an equi-join with a
+    test of the range.
     """
-    weights = weights.orderBy(value).limit(MAX_CATEGORIES + 1)
-    running = weights.select(
-        F.col(value).alias("value"),
-        F.sum(weight).over(W.orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)).alias("upto"),
+    usable = weights.filter(F.col(weight) > 0).select(F.col(value), F.col(weight).cast("double").alias("_weight"))
+    ranges = running_total(usable, [], [value], "_weight", "_upto")
+    facts = ranges.agg(F.max("_upto"), F.count(F.lit(1))).first()
+    total, slots = facts[0] or 0.0, max(1, facts[1])
+
+    def slot(place: Column) -> Column:
+        # Growing with the place, so a row's slot is one of its category's.
+        return F.floor(place * F.lit(slots / total if total else 0.0))
+
+    from_ = F.col("_upto") - F.col("_weight")
+    reached = F.explode(F.sequence(slot(F.col("_from")), slot(F.col("_upto"))))
+    placed_ranges = ranges.withColumn("_from", from_).withColumn("_slot", reached)
+    # The end of one category is the same number as the begin of the next.
+    before = W.partitionBy("_slot").orderBy("_upto")
+    placed_ranges = placed_ranges.withColumn("_from", F.coalesce(F.lag("_upto").over(before), F.lit(-1.0)))
+    placed = df.withColumn("_place", fraction * F.lit(total)).withColumn("_slot", slot(F.col("_place")))
+    inside = (
+        (F.col("p._slot") == F.col("r._slot"))
+        & (F.col("p._place") >= F.col("r._from"))
+        & (F.col("p._place") < F.col("r._upto"))
     )
-    ranges = running.agg(F.array_sort(F.collect_list(F.struct("upto", "value")))).scalar()
-    place = fraction * weights.agg(F.sum(weight)).scalar()
-    placed = df.withColumn("_ranges", ranges).withColumn("_place", place)
-    hit = F.filter("_ranges", lambda r: r["upto"] > F.col("_place"))
-    checked = F.when(
-        F.size("_ranges") > MAX_CATEGORIES, F.raise_error(F.lit("catalogue too long")).cast("string")
-    ).otherwise(F.try_element_at(hit, F.lit(1))["value"])
-    return placed.withColumn(value, checked).drop("_ranges", "_place")
+    found = placed.alias("p").join(placed_ranges.alias("r"), inside, "left")
+    return found.select(*[F.col(f"p.`{c}`") for c in df.columns if c != value], F.col(f"r.`{value}`").alias(value))

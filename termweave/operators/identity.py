@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termweave.functions.derive import prefixed_key
-from termweave.operators.ordering import ROWS_PER_SLICE, number_rows
+from termweave.operators.ordering import number_rows
 from termweave.operators.partials import average, key_counts, merge
-from termweave.operators.skew import ROWS_PER_TASK, heavy_keys, salted_join
 
 
 def bridge_join(
@@ -20,20 +19,17 @@ def bridge_join(
     left_key: str,
     right_key: str,
     on: Sequence[str] = ("term_code",),
-    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Rows of two systems matched through a crosswalk and on shared columns.
 
     The crosswalk is put on the right side first, so that the left side, the
-    large one, is shuffled once, by (left_key, on), with its heavy keys salted.
-    So are keys the crosswalk gives to very many people, and people with very
-    many keys. A key listed twice multiplies rows, as in the plain join.
+    large one, is shuffled once, by (left_key, on); adaptive execution splits its
+    heavy keys. With a ``right`` side that has one row per key and ``on``, and a
+    key of one person, the result is no longer than the left side. A key listed
+    twice multiplies rows, as in the plain join.
     """
     pairs = crosswalk.select(left_key, right_key)
-    many_keys = heavy_keys(pairs, [right_key], rows_per_task)
-    many_people = heavy_keys(pairs, [left_key], rows_per_task)
-    bridged = salted_join(right, pairs, [right_key], "inner", rows_per_task, many_keys)
-    return salted_join(left, bridged, [left_key, *on], "inner", rows_per_task, many_people)
+    return left.join(right.join(pairs, right_key), [left_key, *on])
 
 
 def bridge_averages(
@@ -56,7 +52,7 @@ def bridge_averages(
     """
     on, by = list(on), list(by)
     pairs = crosswalk.select(left_key, right_key)
-    mine = merge(salted_join(pairs, left, [left_key]), [right_key, *on], left_values)
+    mine = merge(left.join(pairs, left_key), [right_key, *on], left_values)
     mine = mine.withColumnRenamed("n", "left_n")
     theirs = right.withColumnRenamed("n", "right_n")
     met = mine.join(theirs, [right_key, *on])
@@ -72,13 +68,13 @@ def bridge_averages(
     return totals.select(*by, "n", *[average(v).alias(f"avg_{v}") for v in [*left_values, *right_values]])
 
 
-def orphans(df: DataFrame, ref: DataFrame, key: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def orphans(df: DataFrame, ref: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows whose key is null or unknown to ``ref``, with the reason."""
     key = list(key)
     no_key = F.lit(False)
     for name in key:
         no_key = no_key | F.col(name).isNull()
-    lost = salted_join(df, ref, key, "left_anti", rows_per_task)
+    lost = df.join(ref.select(*key), key, "left_anti")
     return lost.withColumn("reason", F.when(no_key, F.lit("no_key")).otherwise(F.lit("unmatched")))
 
 
@@ -124,10 +120,10 @@ def key_ambiguity(df: DataFrame, id: str, key: str) -> DataFrame:
 
 
 def dedupe_suffix(
-    df: DataFrame, base: str, order: Sequence[str], name: str = "unique_name", rows_per_slice: int = ROWS_PER_SLICE
+    df: DataFrame, base: str, order: Sequence[str], name: str = "unique_name", slices: int | None = None
 ) -> DataFrame:
     """Make a base key unique: the first keeps it, the next get 2, 3 and so on."""
-    numbered = number_rows(df, [base], order, "_number", rows_per_slice)
+    numbered = number_rows(df, [base], order, "_number", slices)
     suffix = F.when(F.col("_number") > 1, F.col("_number").cast("string")).otherwise(F.lit(""))
     return numbered.withColumn(name, F.concat(F.col(base), suffix)).drop("_number")
 

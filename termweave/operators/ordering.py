@@ -2,55 +2,25 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from termweave.operators.skew import MAX_HEAVY_KEYS
 from termweave.storage import materialize
 
-ROWS_PER_SLICE = 5_000_000
-
 
 def number_rows(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Sequence[str],
-    name: str = "row_number",
-    rows_per_slice: int = ROWS_PER_SLICE,
+    df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "row_number", slices: int | None = None
 ) -> DataFrame:
     """Exact ``row_number()`` per group in ``order``, however large a group is.
 
-    Groups of up to ``rows_per_slice`` rows are numbered by a plain window.
-    Larger ones, found by counting first, are cut into slices by
-    :func:`_number_slices`. The list of larger groups has at most
-    ``MAX_HEAVY_KEYS`` entries; any beyond are smaller than the listed ones and
-    go through the window. ``order`` must end in a unique key. An empty ``by``
-    numbers the whole table.
+    ``order`` must end in a unique key. An empty ``by`` numbers the whole table.
+    See :func:`running_total` for how.
     """
-    by, order = list(by), list(order)
-    if not by:
-        return _number_slices(df, by, order, name, math.ceil(df.count() / rows_per_slice))
-    window = F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("bigint")
-    large = (
-        df.groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > rows_per_slice)
-        .orderBy(F.desc("_rows"))
-        .limit(MAX_HEAVY_KEYS)
-    )
-    found = large.collect()
-    if not found:
-        return df.withColumn(name, window)
-    listed = df.sparkSession.createDataFrame(found, large.schema).select(*[F.col(c).alias(f"_g_{c}") for c in by])
-    same = _null_safe(by, "_g_")
-    small = df.join(F.broadcast(listed), same, "left_anti").withColumn(name, window)
-    sliced = df.join(F.broadcast(listed), same, "left_semi")
-    slices = math.ceil(sum(r["_rows"] for r in found) / rows_per_slice)
-    return small.unionByName(_number_slices(sliced, by, order, name, slices))
+    one = "_one"
+    return running_total(df.withColumn(one, F.lit(1).cast("bigint")), by, order, one, name, slices).drop(one)
 
 
 def _null_safe(columns: Sequence[str], prefix: str) -> Column:
@@ -60,27 +30,34 @@ def _null_safe(columns: Sequence[str], prefix: str) -> Column:
     return same
 
 
-def _number_slices(df: DataFrame, by: list[str], order: list[str], name: str, slices: int) -> DataFrame:
-    """Row numbers of groups that span several range partitions of even size.
-
-    Each slice numbers its own rows; a group's later slices add the sizes of its
-    earlier ones. Fewer (group, slice) pairs than slices have something to add,
-    which bounds the broadcast. The numbered slices are stored once in the shared
-    folder, because both the sizes and the result read them.
+def running_total(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str, slices: int | None = None
+) -> DataFrame:
+    """Sum of ``value`` over the rows of a group up to each row in ``order``.
+
+    Rows are range-partitioned by group and order, so a large group spans several
+    slices. Each slice sums its own rows; a group's later slices add the totals of
+    its earlier ones, of which there are fewer than slices. The slices are stored
+    once in the shared folder: both the totals and the result read them, and a
+    second range partitioning could cut elsewhere. ``slices`` defaults to the
+    session's number of shuffle partitions.
     """
-    sliced = df.repartitionByRange(max(slices, 1), *by, *order).withColumn("_slice", F.spark_partition_id())
-    within = W.partitionBy(*by, "_slice").orderBy(*order)
-    stored = materialize(sliced.withColumn("_local", F.row_number().over(within).cast("bigint")), "numbered")
-    sizes = stored.groupBy(*by, "_slice").agg(F.max("_local").alias("_size"))
+    by, order = list(by), list(order)
+    keys = [*by, *order]
+    sliced = df.repartitionByRange(slices, *keys) if slices else df.repartitionByRange(*keys)
+    sliced = sliced.withColumn("_slice", F.spark_partition_id())
+    within = W.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    stored = materialize(sliced.withColumn("_local", F.sum(value).over(within)), "sliced")
+    totals = stored.groupBy(*by, "_slice").agg(F.sum(value).alias("_total"))
     earlier = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        sizes.withColumn("_offset", F.sum("_size").over(earlier))
-        .filter(F.col("_offset") > 0)
+        totals.withColumn("_offset", F.sum("_total").over(earlier))
+        .filter(F.col("_offset").isNotNull())
         .select(*[F.col(c).alias(f"_o_{c}") for c in [*by, "_slice"]], "_offset")
     )
-    number = F.col("_local") + F.coalesce(F.col("_offset"), F.lit(0))
-    return stored.join(F.broadcast(offsets), _null_safe([*by, "_slice"], "_o_"), "left").select(
-        *[F.col(f"`{c}`") for c in df.columns], number.alias(name)
+    upto = F.col("_local") + F.coalesce(F.col("_offset"), F.lit(0))
+    return stored.join(offsets, _null_safe([*by, "_slice"], "_o_"), "left").select(
+        *[F.col(f"`{c}`") for c in df.columns], upto.alias(name)
     )
 
 

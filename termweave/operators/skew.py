@@ -1,9 +1,11 @@
-"""Joins that survive a key holding a large part of all rows.
-
-The heavy keys of a side are counted (a partial aggregate per task, so cheap in
-the shuffle) and only they are salted: a heavy key of ``n`` rows is spread over
-``n / rows_per_task`` salts, and its partner rows are repeated once per salt.
-All other keys join as usual. The result is exact for every key.
+"""Joins in which a key of both sides may hold a large part of all rows.
+
+Where only one side can be heavy, a plain join is enough: adaptive execution
+splits its large partitions. Here the heavy keys of a side are counted (a partial
+aggregate per task, so cheap in the shuffle) and only they are salted: a heavy key
+of ``n`` rows is spread over ``n / rows_per_task`` salts, and its partner rows are
+repeated once per salt. All other keys join as usual. The result is exact for
+every key.
 """
 
 from __future__ import annotations
@@ -15,15 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROWS_PER_TASK = 1_000_000
-# The list of heavy keys never exceeds this, so it can be broadcast. Keys past
-# it are smaller than 1/MAX_HEAVY_KEYS of the rows and join without a salt.
-MAX_HEAVY_KEYS = 10_000
 
 
-def heavy_keys(
-    df: DataFrame, on: Sequence[str], rows_per_task: int = ROWS_PER_TASK, limit: int = MAX_HEAVY_KEYS
-) -> DataFrame:
-    """Keys with more than ``rows_per_task`` rows and the salts to spread each over."""
+def heavy_keys(df: DataFrame, on: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Keys with more than ``rows_per_task`` rows and the salts to spread each over.
+
+    There are at most as many as the rows divided by ``rows_per_task``.
+    """
     known = df
     for name in on:
         known = known.filter(F.col(name).isNotNull())
@@ -31,8 +31,6 @@ def heavy_keys(
         known.groupBy(*on)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") > rows_per_task)
-        .orderBy(F.desc("_rows"))
-        .limit(limit)
         .select(*on, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_salts"))
     )
 
@@ -51,7 +49,7 @@ def _spread(df: DataFrame, heavy: DataFrame, salt: str) -> DataFrame:
         no_key = no_key | F.col(name).isNull()
     one_of = F.pmod(_row_hash(df), F.coalesce(F.col("_salts"), F.lit(1)).cast("bigint"))
     placed = F.when(no_key, _row_hash(df)).otherwise(one_of)
-    return df.join(F.broadcast(heavy), on, "left").withColumn(salt, placed).drop("_salts")
+    return df.join(heavy, on, "left").withColumn(salt, placed).drop("_salts")
 
 
 def _repeat(df: DataFrame, heavy: DataFrame, salt: str) -> DataFrame:
@@ -59,7 +57,7 @@ def _repeat(df: DataFrame, heavy: DataFrame, salt: str) -> DataFrame:
     on = [c for c in heavy.columns if c != "_salts"]
     last = F.coalesce(F.col("_salts"), F.lit(1)).cast("bigint") - 1
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), last))
-    return df.join(F.broadcast(heavy), on, "left").withColumn(salt, every).drop("_salts")
+    return df.join(heavy, on, "left").withColumn(salt, every).drop("_salts")
 
 
 def salted_join(

@@ -118,3 +118,40 @@ def weighted_assign_table(spark, sf_dir):
     )
     people = campus.table(spark, sf_dir, "customer").select("c_custkey")
     return fragment.weighted_assign(people, hash_fraction("nation", F.col("c_custkey")), weights, "n_name", "weight")
+
+
+@query(
+    f"""
+    WITH w AS (SELECT l_partkey, count(*) AS weight FROM lineitem GROUP BY 1),
+    r AS (SELECT l_partkey, weight, sum(weight) OVER (ORDER BY l_partkey) AS upto FROM w),
+    p AS (SELECT o_orderkey, {sql.fraction('part', 'o_orderkey')} * (SELECT sum(weight) FROM w)::DOUBLE AS pos
+          FROM orders)
+    SELECT o_orderkey, l_partkey FROM p ASOF JOIN (SELECT l_partkey, upto - weight AS begin FROM r) b ON p.pos >= b.begin""",
+    "J9",
+)
+def weighted_assign_parts(spark, sf_dir):
+    """A part for every order, weighted by how often it is sold: a catalogue of thousands."""
+    weights = campus.table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("weight"))
+    orders = campus.table(spark, sf_dir, "orders").select("o_orderkey")
+    return fragment.weighted_assign(orders, hash_fraction("part", F.col("o_orderkey")), weights, "l_partkey", "weight")
+
+
+YEARS_SQL = "CASE " + " ".join(
+    f"WHEN pos < {sum(list(catalogs.FIRST_YEARS.values())[: i + 1])} THEN " + (f"'{year}'" if year else "NULL")
+    for i, year in enumerate(catalogs.FIRST_YEARS)
+) + " END"
+
+
+@query(
+    f"""
+    SELECT c_custkey, {YEARS_SQL} AS initial_year
+    FROM (SELECT c_custkey, {sql.fraction('year', 'c_custkey')} * {sum(catalogs.FIRST_YEARS.values())}::DOUBLE AS pos
+          FROM customer)""",
+    "J9", "F31",
+)
+def weighted_first_year(spark, sf_dir):
+    """A year of study at admission for every person, which a few do not have."""
+    year = weighted_choice(
+        hash_fraction("year", F.col("c_custkey")), list(catalogs.FIRST_YEARS), list(catalogs.FIRST_YEARS.values())
+    )
+    return campus.table(spark, sf_dir, "customer").select("c_custkey", year.cast("string").alias("initial_year"))

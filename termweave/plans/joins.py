@@ -93,28 +93,33 @@ def clicks_with_student(spark, sf_dir):
     """Every click with the student behind its key, heavy users spread over tasks."""
     clicks = _events(spark, sf_dir, "click", campus.moodle_key, "moodle_user_key", F.col("event_id"))
     people = campus.crosswalk(spark, sf_dir).select("moodle_user_key", "student_id")
-    joined = identity.salted_join(clicks, people, ["moodle_user_key"])
+    joined = clicks.join(people, "moodle_user_key")
     return joined.select("event_id", "student_id", "day")
 
 
 @query(
     f"""
     WITH {sql.CROSSWALK}
-    SELECT cw.student_id, c.ts::DATE AS day, c.event_id AS click_id, p.event_id AS purchase_id
+    SELECT cw.student_id, c.ts::DATE AS day, c.event_id AS click_id, p.purchases, p.first_purchase
     FROM events c
     JOIN crosswalk cw ON {sql.moodle('c.user_id')} = cw.moodle_user_key
-    JOIN events p ON {sql.student('p.user_id')} = cw.student_id AND p.ts::DATE = c.ts::DATE
-    WHERE c.event_type = 'click' AND p.event_type = 'purchase'""",
+    JOIN (SELECT user_id, ts::DATE AS day, count(*) AS purchases, min(event_id) AS first_purchase
+          FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts::DATE) p
+      ON {sql.student('p.user_id')} = cw.student_id AND p.day = c.ts::DATE
+    WHERE c.event_type = 'click'""",
     "J4", "J3",
 )
 def bridge_rows(spark, sf_dir):
-    """Clicks and purchases of the same person on the same day, matched through the crosswalk."""
+    """Every click with what the same person bought on that day, matched through the crosswalk."""
     clicks = _events(spark, sf_dir, "click", campus.moodle_key, "moodle_user_key", F.col("event_id").alias("click_id"))
-    bought = _events(spark, sf_dir, "purchase", campus.student_id, "student_id", F.col("event_id").alias("purchase_id"))
+    bought = _events(spark, sf_dir, "purchase", campus.student_id, "student_id", "event_id")
+    bought = bought.groupBy("student_id", "day").agg(
+        F.count(F.lit(1)).alias("purchases"), F.min("event_id").alias("first_purchase")
+    )
     met = identity.bridge_join(
         clicks, campus.crosswalk(spark, sf_dir), bought, "moodle_user_key", "student_id", on=["day"]
     )
-    return met.select("student_id", "day", "click_id", "purchase_id")
+    return met.select("student_id", "day", "click_id", "purchases", "first_purchase")
 
 
 ACTIVE_SQL = f"""
@@ -198,11 +203,12 @@ def orphan_rows(spark, sf_dir):
 SWAPPED_SQL = f"""
     {sql.CROSSWALK},
     chosen AS (
-        SELECT student_id, moodle_user_key, {sql.fraction('swap', 'student_id')} AS pos FROM crosswalk),
+        SELECT student_id, CASE WHEN {sql.fraction('key', 'student_id')} < 0.9::DOUBLE THEN moodle_user_key
+                           END AS moodle_user_key, {sql.fraction('swap', 'student_id')} AS pos FROM crosswalk),
     sized AS (
-        SELECT *, floor(pos / 0.1::DOUBLE * (SELECT ceil(count(*) / 1000000.0::DOUBLE) FROM chosen
-                                            WHERE pos < 0.1::DOUBLE)) AS bucket
-        FROM chosen WHERE pos < 0.1::DOUBLE),
+        SELECT *, floor(pos / 0.02::DOUBLE * (SELECT ceil(count(*) / 1000000.0::DOUBLE) FROM chosen
+                                             WHERE pos < 0.02::DOUBLE)) AS bucket
+        FROM chosen WHERE pos < 0.02::DOUBLE AND moodle_user_key IS NOT NULL),
     numbered AS (
         SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY pos, student_id) AS k FROM sized),
     swapped AS (
@@ -214,12 +220,13 @@ SWAPPED_SQL = f"""
 
 def _swapped(spark, sf_dir):
     people = campus.crosswalk(spark, sf_dir).select("student_id", "moodle_user_key")
-    return fragment.swap_pairs(people, 0.1, "swap", "student_id", "moodle_user_key")
+    people = fragment.null_out(people, "moodle_user_key", 0.9, "key", "student_id")
+    return fragment.swap_pairs(people, fragment.CROSSWALK_MISMATCH_RATE, "swap", "student_id", "moodle_user_key")
 
 
 @query(f"WITH {SWAPPED_SQL} SELECT * FROM swapped", "J8")
 def swap_keys(spark, sf_dir):
-    """The crosswalk with a tenth of the people holding each other's key."""
+    """The crosswalk, some keys missing, with one swap of keys per hundred people."""
     return _swapped(spark, sf_dir)
 
 

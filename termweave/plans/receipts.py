@@ -7,10 +7,7 @@ again. The log is a Parquet table that gets one append per workload.
 
 from __future__ import annotations
 
-import contextlib
-import io
 import json
-import re
 import time
 import uuid
 from collections.abc import Mapping, Sequence
@@ -23,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NullType
 
 from termweave import schemas
-from termweave.functions.sqltext import NOT_TABLES, TABLE_PATTERN
+from termweave.functions.sqltext import tables_in_sql
 from termweave.operators.fragment import thin
 from termweave.operators.ordering import latest_per_key
 from termweave.sources.extracts import register, unregister
@@ -70,30 +67,42 @@ class Receipt:
         )
 
 
-def tables_named(sql: str) -> list[str]:
-    """Table names in one SQL text, as ``sqltext.tables_in_sql`` finds them in a column."""
-    words = (w.strip(",;") for w in re.findall(TABLE_PATTERN, sql))
-    return list(dict.fromkeys(w.rsplit(".", 1)[-1] for w in words if w.lower() not in NOT_TABLES))
+def tables_named(spark: SparkSession, sql: str) -> list[str]:
+    """The tables that a text names, for statements that cannot be analysed."""
+    return list(spark.range(1).select(tables_in_sql(F.lit(sql))).first()[0])
 
 
 def plan_text(df: DataFrame, mode: str = "extended") -> str | None:
     """Text of a query's plans, or None where it cannot be had."""
-    text = io.StringIO()
     try:
-        with contextlib.redirect_stdout(text):
-            df.explain(mode)
+        return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode) or None
     except Exception:
         return None
-    return text.getvalue() or None
 
 
 def relations_of(plan: str | None) -> list[str] | None:
-    """Views and tables the analysed plan reads: exact where the text heuristic guesses."""
+    """The views and tables that the analysed plan reads.
+
+    A named view counts as one table: what stands below it in the plan is its own
+    matter. None without a plan; empty if files are read by their paths only.
+    """
     if not plan or "== Analyzed Logical Plan ==" not in plan:
         return None
     analysed = plan.split("== Analyzed Logical Plan ==", 1)[1].split("== Optimized Logical Plan ==", 1)[0]
-    named = re.findall(r"View \(`([^,]+)`, ", analysed) + re.findall(r"Relation ([\w.]+)\[", analysed)
-    return list(dict.fromkeys(n.replace("`", "").rsplit(".", 1)[-1] for n in named)) or None
+    names: list[str] = []
+    view_depth: int | None = None
+    for line in analysed.splitlines():
+        node = line.lstrip(" :+-!*")
+        depth = len(line) - len(node)
+        if view_depth is not None and depth > view_depth:
+            continue
+        view_depth = None
+        if node.startswith("View ("):
+            names.append(node.removeprefix("View (").split(", [", 1)[0])
+            view_depth = depth
+        elif node.startswith("Relation ") and not node.startswith("Relation ["):
+            names.append(node.removeprefix("Relation ").split("[", 1)[0])
+    return list(dict.fromkeys(n.replace("`", "").rsplit(".", 1)[-1] for n in names))
 
 
 def _storable(df: DataFrame) -> DataFrame:
@@ -120,36 +129,41 @@ def run(
     sink: str | None = None,
     args=None,
     log_path: str | None = None,
-    by_plan: bool = False,
 ) -> Receipt:
     """Run one query and return its receipt.
 
     Rows go to the Parquet path ``sink``, or nowhere when only the receipt is
     wanted. A statement without a result, such as the creation of a view, has no
-    rows and leaves the sink alone. A failure is receipted too, with row count 0, and raised again.
-    ``by_plan`` takes the source tables from the plan instead of the text.
+    rows and leaves the sink alone. A failure or an interrupt is receipted too, with its
+    error and row count 0, and raised again. Source tables come from the plan, or from
+    the text of a statement that cannot be analysed.
     """
-    receipt = Receipt(name, label, datetime.now(timezone.utc), tables_named(sql), sink=sink)
+    receipt = Receipt(name, label, datetime.now(timezone.utc), [], sink=sink, error="interrupted")
     started = time.perf_counter()
     try:
         df = spark.sql(sql, args=args) if args is not None else spark.sql(sql)
         receipt.has_result = bool(df.columns)
+        receipt.plan = plan_text(df)
+        receipt.tables = relations_of(receipt.plan) or []
         if receipt.has_result:
             counted = Observation()
             observed = _storable(df).observe(counted, F.count(F.lit(1)).alias("rows"))
+            receipt.plan = plan_text(observed)  # of what runs, not of a second planning
             if sink:
                 write_table(observed, sink, "parquet", "overwrite")
             else:
                 observed.write.format("noop").mode("overwrite").save()
             receipt.row_count = int(counted.get["rows"])
         receipt.runtime_ms = (time.perf_counter() - started) * 1000.0
-        receipt.plan = plan_text(df)
-        if by_plan:
-            receipt.tables = relations_of(receipt.plan) or receipt.tables
+        receipt.error = None
     except Exception as problem:
         receipt.runtime_ms = (time.perf_counter() - started) * 1000.0
         receipt.error = str(problem)
+        receipt.tables = receipt.tables or tables_named(spark, sql)
         raise QueryFailed(receipt) from problem
+    except BaseException:
+        receipt.runtime_ms = (time.perf_counter() - started) * 1000.0
+        raise
     finally:
         if log_path:
             append_receipts(spark, [receipt], log_path)
@@ -170,7 +184,6 @@ def run_workload(
     label: str | None = None,
     log_path: str | None = None,
     sink_root: str | None = None,
-    by_plan: bool = False,
 ) -> list[Receipt]:
     """Run named queries one after the other; a failing one does not stop the rest.
 
@@ -181,7 +194,7 @@ def run_workload(
         for name, sql in queries.items():
             sink = f"{sink_root.rstrip('/')}/{name}" if sink_root else None
             try:
-                receipts.append(run(spark, name, sql, label, sink, by_plan=by_plan))
+                receipts.append(run(spark, name, sql, label, sink))
             except QueryFailed as failure:
                 receipts.append(failure.receipt)
     finally:

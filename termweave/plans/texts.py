@@ -58,6 +58,22 @@ def composite_split(spark, sf_dir):
     return composite.split_composite(campus.table(spark, sf_dir, "orders").select("o_orderkey", key.alias("key")))
 
 
+@query(
+    """
+    SELECT unnest(range(1, len(p) + 1))::INTEGER AS part_no, count(*) AS filled
+    FROM (SELECT string_split(text, chr(10)) AS p FROM documents) GROUP BY part_no""",
+    "F22", "A5",
+)
+def composite_split_text(spark, sf_dir):
+    """Documents split into as many line columns as the longest has lines, and how often each is filled."""
+    docs = campus.table(spark, sf_dir, "documents").select("text")
+    wide = composite.split_composite(docs, "\n")
+    columns = wide.columns[1:] or ["text"]
+    counted = wide.agg(*[F.count(c).alias(c) for c in columns])
+    rows = F.array(*[F.struct(F.lit(i + 1).alias("part_no"), F.col(c).alias("filled")) for i, c in enumerate(columns)])
+    return counted.select(F.inline(rows))
+
+
 @query(
     """
     SELECT doc_id, unnest(range(1, len(p) + 1))::INTEGER AS part_no, unnest(p) AS part
@@ -113,31 +129,32 @@ def text_cleanup(spark, sf_dir):
     )
 
 
+# Logged statements and the tables each of them reads.
 TEMPLATES = {
-    "click": "SELECT * FROM clicks c JOIN app.users u ON c.u = u.id, JOIN\n  app.Users;",
-    "view": "select a from views, users where a > 1",
-    "purchase": "WITH x AS (SELECT * FROM Purchases) SELECT * FROM x Join purchases p USING (id)",
-    "signup": "SELECT * FROM (SELECT * from signups;) s",
-    "error": "select 1",
+    "click": ("SELECT * FROM clicks c JOIN app.users u ON c.u = u.id -- join ghosts\n", ["clicks", "users"]),
+    "view": ("select a from views v, users where a > (select max(x) from limits)", ["views", "users", "limits"]),
+    "purchase": (
+        'WITH recent AS (SELECT * FROM "Purchases") SELECT * FROM recent JOIN log.purchases p USING (id)',
+        ["Purchases", "purchases"],
+    ),
+    "signup": ("SELECT extract(year FROM day) /* from */ FROM (SELECT * FROM signups, `days`) s", ["signups", "days"]),
+    "error": ("select g from generate_series(1, 3) g", []),
 }
-SQL_TEXT = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TEMPLATES.items()).replace("\n", "' || chr(10) || '")
+TABLES_READ = " ".join(f"WHEN '{kind}' THEN {tables}::VARCHAR[]" for kind, (_, tables) in TEMPLATES.items())
 LOGGED = f"""
-    logged AS (SELECT event_id, (CASE event_type {SQL_TEXT} END) || ' JOIN log.u' || user_id AS sql_text FROM events),
-    words AS (SELECT event_id, list_transform(
-        regexp_extract_all(regexp_replace(sql_text, '\\s+', ' ', 'g'), '(?i)\\b(?:FROM|JOIN)\\s+(\\S+)', 1),
-        lambda w: trim(w, ',;')) AS w FROM logged),
-    named AS (SELECT event_id, list_distinct(list_transform(
-        list_filter(w, lambda x: lower(x) NOT IN ('select', 'on', 'where')),
-        lambda x: string_split(x, '.')[-1])) AS tables FROM words)"""
+    named AS (SELECT event_id, list_append(CASE event_type {TABLES_READ} END, 'u' || user_id) AS tables
+              FROM events WHERE event_type IN ({", ".join(f"'{k}'" for k in TEMPLATES)})
+              UNION ALL SELECT event_id, NULL FROM events
+              WHERE event_type NOT IN ({", ".join(f"'{k}'" for k in TEMPLATES)}) OR event_type IS NULL)"""
 
 
 def _logged(spark, sf_dir):
     text = F.lit(None).cast("string")
-    for kind, template in TEMPLATES.items():
+    for kind, (template, _) in TEMPLATES.items():
         text = F.when(F.col("event_type") == kind, F.lit(template)).otherwise(text)
     events = campus.table(spark, sf_dir, "events")
     return events.select(
-        "event_id", F.concat(text, F.lit(" JOIN log.u"), F.col("user_id").cast("string")).alias("sql_text")
+        "event_id", F.concat(text, F.lit(" UNION ALL SELECT * FROM log.u"), F.col("user_id").cast("string")).alias("sql_text")
     )
 
 
@@ -246,7 +263,7 @@ def key_drift_by_day(spark, sf_dir):
            CASE WHEN lower(path) LIKE '%.json' THEN 'json' ELSE 'csv' END AS format,
            CASE WHEN path LIKE '%/terms/%' THEN split_part(path, '/', 4) END AS term_folder, count(*) AS cnt
     FROM p GROUP BY path""",
-    "S4", "S5", "S6", "S3",
+    "S5",
 )
 def extract_paths(spark, sf_dir):
     """Table, format and term folder of a file from its path."""

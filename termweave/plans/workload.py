@@ -1,29 +1,36 @@
-"""The example workload over the campus tables, as SQL."""
+"""An example workload over the campus tables, as SQL: one, three and three tables."""
 
 from __future__ import annotations
 
 WORKLOAD: dict[str, str] = {
-    "q1_enrollment_status": """
-        SELECT term_code, enrollment_status, count(*) AS cnt
+    "status_counts": """
+        SELECT enrollment_status, term_code, count(DISTINCT student_id) AS people, avg(term_gpa) AS mean_gpa
         FROM sis_enrollments
-        GROUP BY ALL
-        ORDER BY ALL
+        GROUP BY enrollment_status, term_code
     """,
-    "q2_login_average": """
-        SELECT student_id, avg(login_count) AS avg_logins
-        FROM lms_activity
-        JOIN identity_crosswalk USING (moodle_user_key)
-        JOIN sis_enrollments USING (student_id, term_code)
-        GROUP BY student_id
-        ORDER BY student_id
-        LIMIT 10
+    "person_activity": """
+        WITH busy AS (
+            SELECT moodle_user_key, term_code, count(*) AS visits, sum(login_count) AS logins
+            FROM lms_activity
+            GROUP BY moodle_user_key, term_code
+        )
+        SELECT s.student_id, count(*) AS terms, sum(b.visits) AS visits, sum(b.logins) / sum(b.visits) AS mean_logins
+        FROM sis_enrollments s
+        JOIN identity_crosswalk i ON i.student_id = s.student_id
+        JOIN busy b ON b.moodle_user_key = i.moodle_user_key AND b.term_code = s.term_code
+        WHERE s.enrollment_status = 'enrolled'
+        GROUP BY s.student_id
     """,
-    "q3_loans_gpa": """
-        SELECT term_code, avg(loans) AS avg_loans, avg(term_gpa) AS avg_term_gpa
-        FROM financial_aid
-        JOIN identity_crosswalk USING (workday_person_id)
-        JOIN sis_enrollments USING (student_id, term_code)
-        GROUP BY term_code
-        ORDER BY term_code
+    "aid_and_grades": """
+        SELECT s.term_code, count(*) AS enrolments, count(f.loans) AS with_aid, sum(f.loans) AS loans,
+               avg(CASE WHEN f.loans IS NOT NULL THEN s.term_gpa END) AS mean_gpa_with_aid
+        FROM sis_enrollments s
+        JOIN identity_crosswalk i ON i.student_id = s.student_id
+        LEFT JOIN (
+            SELECT workday_person_id, term_code, sum(loans) AS loans
+            FROM financial_aid
+            GROUP BY workday_person_id, term_code
+        ) f ON f.workday_person_id = i.workday_person_id AND f.term_code = s.term_code
+        GROUP BY s.term_code
     """,
 }

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SEPARATOR = "|"
-MAX_COLUMNS = 50
 
 
 def text_columns(df: DataFrame) -> list[str]:
@@ -50,21 +49,21 @@ def split_composite(
     df: DataFrame,
     separator: str = SEPARATOR,
     width: dict[str, int] | None = None,
-    max_columns: int = MAX_COLUMNS,
+    as_arrays: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``<col>_1`` to ``<col>_n`` for every composite column; originals stay.
 
     Without ``width`` one aggregate over all text columns finds the number of
     parts, over the whole table, so every extract gets the same columns. Streams
-    must pass it. Rows with fewer parts get null. A column with more than
-    ``max_columns`` parts gets one array column ``<col>_parts`` with all of them.
+    must pass it. Rows with fewer parts get null. Columns named in ``as_arrays``
+    get one array column ``<col>_parts`` with all parts instead, however many.
     """
     if width is None:
         found = widths(df, separator).first()
         width = {c: n for c, n in (found.asDict() if found else {}).items() if n > 1}
     added = []
     for c, n in width.items():
-        if n > max_columns:
+        if c in as_arrays:
             added.append(parts(F.col(c), separator).alias(f"{c}_parts"))
         else:
             split = parts(F.col(c), separator)

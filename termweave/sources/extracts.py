@@ -60,7 +60,7 @@ def _bare(path: str) -> str:
     return re.sub("/+", "/", bare)
 
 
-def _term_below(path: Column, depth: int) -> Column:
+def term_below(path: Column, depth: int) -> Column:
     """Term folder of a file in ``terms`` below a folder this deep, empty for one directly in it, else null."""
     steps = F.split(F.regexp_replace(path, SCHEME, ""), "/")
     below = F.size(steps) - 1 - depth
@@ -68,12 +68,17 @@ def _term_below(path: Column, depth: int) -> Column:
     return F.when(below == 1, F.lit("")).when(in_terms, F.try_element_at(steps, F.lit(depth + 3)))
 
 
+def depth_of(root: str) -> int:
+    """How many folders deep a folder lies."""
+    return _bare(root).count("/")
+
+
 def list_extracts(spark: SparkSession, root: str) -> DataFrame:
     """Every extract below ``root``: path, table, format and term folder.
 
     Lists files without opening them. A missing folder is an error.
     """
-    depth = _bare(root).count("/")
+    depth = depth_of(root)
     found = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
@@ -82,7 +87,7 @@ def list_extracts(spark: SparkSession, root: str) -> DataFrame:
         .select("path")
     )
     path, term = F.col("path"), F.col("_term")
-    placed = found.withColumn("_term", _term_below(path, depth)).filter(term.isNotNull())
+    placed = found.withColumn("_term", term_below(path, depth)).filter(term.isNotNull())
     return placed.filter((term != "") | ~F.substring_index(path, "/", -1).isin(*NOT_TABLES)).select(
         path,
         table_of(path).alias("table_name"),
@@ -103,6 +108,35 @@ def nulls_from_text(df: DataFrame, tokens: Sequence[str] = NULL_TEXTS) -> DataFr
     )
 
 
+def typed_from_text(df: DataFrame, schema: T.StructType, on_bad: str = "error") -> DataFrame:
+    """Text columns as the types of ``schema``. A text that is no value of its type is an error.
+
+    ``on_bad``: ``error``; ``null`` to read such texts as null; or the name of an
+    array column that gets ``column=text`` for each of them.
+    """
+    made, bad = [], []
+    for f in schema.fields:
+        text = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.StringType):
+            made.append(text)
+            continue
+        value = text.try_cast(f.dataType)
+        wrong = text.isNotNull() & value.isNull()
+        if on_bad == "error":
+            message = F.concat(F.lit(f"{f.name} is no {f.dataType.simpleString()}: "), text)
+            value = F.when(wrong, F.raise_error(message).cast(f.dataType)).otherwise(value)
+        made.append(value.alias(f.name))
+        bad.append(F.when(wrong, F.concat(F.lit(f"{f.name}="), text)))
+    others = [F.col(f"`{c}`") for c in df.columns if c not in schema.names]
+    if on_bad not in ("error", "null"):
+        others.append(F.array_compact(F.array(*bad, F.lit(None).cast("string"))).alias(on_bad))
+    return df.select(*made, *others)
+
+
+def text_schema(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+
+
 def _source() -> list[Column]:
     """Term folder and file of a row that is being read."""
     path = F.col("_metadata.file_path")
@@ -116,12 +150,15 @@ def read_csv(
     check_header: bool = True,
     multiline: bool = False,
     with_source: bool = False,
+    on_bad: str = "error",
     **options,
 ) -> DataFrame:
     """CSV with a header; empty cells and missing-value texts are null.
 
     With a schema, a file whose header differs is an error rather than columns
-    read in the wrong order. Without one, types are inferred.
+    read in the wrong order, and so is a text that is no value of its column's
+    type (see :func:`typed_from_text`). Without one, types are inferred.
+    ``multiline`` allows line breaks in quoted cells; such files are not split.
     """
     reader = spark.read.options(
         header=True, escape='"', multiLine=multiline, dateFormat="yyyy-MM-dd", **options
@@ -129,9 +166,9 @@ def read_csv(
     if schema is None:
         reader = reader.option("inferSchema", True)
     else:
-        reader = reader.schema(schema).option("enforceSchema", not check_header)
-    rows = reader.csv(path)
-    return nulls_from_text(rows.select("*", *_source()) if with_source else rows)
+        reader = reader.schema(text_schema(schema)).option("enforceSchema", not check_header)
+    rows = nulls_from_text(reader.csv(path).select("*", *_source()) if with_source else reader.csv(path))
+    return rows if schema is None else typed_from_text(rows, schema, on_bad)
 
 
 def read_json(
@@ -194,34 +231,40 @@ def read_extracts(
     table: str,
     schema: T.StructType | None = None,
     with_source: bool = False,
+    multiline: bool = False,
 ) -> DataFrame:
     """One table from all term folders and the top level, in a single scan per format.
 
     The schema of a known table is used when none is given; for others it is
     inferred. ``with_source`` adds the term folder and the file of each row.
     """
-    return _read_folders(spark, table, _folders(spark, root, table), schema, with_source)
+    return _read_folders(spark, table, _folders(spark, root, table), schema, with_source, multiline)
 
 
-def _read_folders(spark, table, folders, schema=None, with_source=False) -> DataFrame:
+def _read_folders(spark, table, folders, schema=None, with_source=False, multiline=False) -> DataFrame:
     if schema is None and schemas.known(table):
         schema = schemas.schema(table)
     parts = []
     for fmt in sorted({fmt for _, fmt, _ in folders}):
         paths = [path for _, f, path in folders if f == fmt]
-        read = read_csv if fmt == "csv" else read_json
-        rows = read(spark, paths, schema, pathGlobFilter=file_pattern(table, fmt), with_source=with_source)
-        parts.append(rows if fmt == "csv" else flatten(rows))
+        found = {"pathGlobFilter": file_pattern(table, fmt), "with_source": with_source}
+        if fmt == "csv":
+            parts.append(read_csv(spark, paths, schema, multiline=multiline, **found))
+        else:
+            parts.append(flatten(read_json(spark, paths, schema, **found)))
     return union_extracts(*parts)
 
 
 def read_table(
     spark: SparkSession, root: str, table: str, fmt: str = "parquet", schema: T.StructType | None = None
 ) -> DataFrame:
-    """A table written one folder per term; the term is a partition column, so filters on it skip folders."""
+    """A table written one folder per term; the term is a partition column, so filters on it skip folders.
+
+    Cells of CSV files may hold line breaks, as the sink writes them.
+    """
     path = f"{root.rstrip('/')}/{table}"
     if fmt == "csv":
-        return read_csv(spark, path, schema, check_header=False)
+        return read_csv(spark, path, schema, check_header=False, multiline=True)
     if fmt == "json":
         return read_json(spark, path, schema, lines=True)
     return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
@@ -273,13 +316,21 @@ def read_drifted(spark: SparkSession, root: str, table: str, schema: T.StructTyp
     return whole.select(*known, *[c for c in whole.columns if c not in typed])
 
 
-def assemble(spark: SparkSession, root: str, tables: Sequence[str] | None = None) -> dict[str, DataFrame]:
+def assemble(
+    spark: SparkSession,
+    root: str,
+    tables: Sequence[str] | None = None,
+    with_source: bool = False,
+    multiline: bool = False,
+    table_schemas: dict[str, T.StructType] | None = None,
+) -> dict[str, DataFrame]:
     """All tables found below ``root``, or the named ones, as DataFrames by name."""
     located = _locate(spark, root)
     missing = sorted(set(tables or ()) - set(located))
     if missing:
         raise FileNotFoundError(f"no extract of {', '.join(missing)} below {root}")
-    return {t: _read_folders(spark, t, located[t]) for t in tables or located}
+    given = table_schemas or {}
+    return {t: _read_folders(spark, t, located[t], given.get(t), with_source, multiline) for t in tables or located}
 
 
 def register(tables: dict[str, DataFrame]) -> None:

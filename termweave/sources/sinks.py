@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from urllib.parse import unquote
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from termweave.storage import file_system
+
 WRITE_OPTIONS = {
     "csv": {"header": True, "escape": '"', "dateFormat": "yyyy-MM-dd"},
     "json": {"ignoreNullFields": False, "dateFormat": "yyyy-MM-dd"},
@@ -47,6 +52,34 @@ def write_extracts(
     return path
 
 
+def write_delivery(
+    df: DataFrame, root: str, table: str, fmt: str = "csv", by: str | None = "term_code", suffix: str | None = None
+) -> None:
+    """Files as they are delivered: ``root/terms/<term>/<table>.csv|json``, or ``root/<table>.csv|json`` without ``by``.
+
+    One file per term, as the format has it; JSON files hold one array. Spark
+    writes all files below a staging folder; then each is moved to its place.
+    """
+    staged = f"{root.rstrip('/')}/_staged-{uuid.uuid4().hex}"
+    folder = F.col(by).cast("string") if by else F.lit("")
+    rows = df.select(F.struct(*df.columns).alias("row"), folder.alias("_folder"))
+    if fmt == "json":
+        array = F.to_json(F.collect_list("row"), {"ignoreNullFields": "false", "dateFormat": "yyyy-MM-dd"})
+        rows.groupBy("_folder").agg(array.alias("value")).write.partitionBy("_folder").text(staged)
+    else:
+        flat = rows.repartition("_folder").select("row.*", "_folder")
+        flat.write.options(**WRITE_OPTIONS[fmt]).partitionBy("_folder").format(fmt).save(staged)
+    store, place = file_system(staged)
+    top = place.rsplit("/", 1)[0]
+    for found in store.get_file_info(fs.FileSelector(place, recursive=True)):
+        if found.type == fs.FileType.File and found.base_name.startswith("part-"):
+            term = unquote(found.path.split("/_folder=", 1)[1].split("/", 1)[0])
+            target = f"{top}/terms/{term}" if by else top
+            store.create_dir(target, recursive=True)
+            store.move(found.path, f"{target}/{table}.{suffix or fmt}")
+    store.delete_dir(place)
+
+
 def write_projections(df: DataFrame, root: str, projections: dict[str, Sequence[str]], fmt: str = "parquet") -> None:
     """Several extracts from one source; each scans only its own columns."""
     for name, columns in projections.items():
@@ -84,15 +117,35 @@ def append_aligned(df: DataFrame, table: str, evolve: bool = True) -> None:
 
 
 def recreate(df: DataFrame, table: str) -> None:
-    """Drop the table if it exists and write it anew."""
-    df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
-    df.write.format("parquet").mode("overwrite").saveAsTable(table)
+    """Write the table anew. The old one stays until the new rows are stored, so ``df`` may read it."""
+    spark, staged = df.sparkSession, f"{table}__{uuid.uuid4().hex}"
+    try:
+        df.write.format("parquet").saveAsTable(staged)
+    except BaseException:
+        spark.sql(f"DROP TABLE IF EXISTS {staged}")
+        raise
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    spark.sql(f"ALTER TABLE {staged} RENAME TO {table}")
 
 
 def load_tables(tables: dict[str, DataFrame], clear: bool = False) -> None:
-    """Store assembled tables: appended, or with ``clear`` every one of them recreated."""
+    """Store assembled tables; loading the same files again leaves one copy of them.
+
+    With ``clear`` every table is recreated. Otherwise rows of files that a table
+    has not loaded yet are appended: files are known by the column
+    ``source_file`` (see ``extracts.assemble(with_source=True)``), and rows
+    without it cannot be told from loaded ones and are refused.
+    """
     for name, df in tables.items():
-        recreate(df, name) if clear else append_aligned(df, name)
+        if clear:
+            recreate(df, name)
+            continue
+        if "source_file" not in df.columns:
+            raise ValueError(f"{name} has no source_file: assemble with with_source=True, or clear the table")
+        spark = df.sparkSession
+        if spark.catalog.tableExists(name) and "source_file" in spark.table(name).columns:
+            df = df.join(spark.table(name).select("source_file").distinct(), "source_file", "left_anti")
+        append_aligned(df, name)
 
 
 def write_run_metadata(spark: SparkSession, path: str, **parameters) -> None:

@@ -12,6 +12,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,17 +24,35 @@ def _local_dir(application_id: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session; a temporary one only on a single machine."""
     context = spark.sparkContext
+    one_machine = context.master.startswith("local") and not context.master.startswith("local-cluster")
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if context.master.startswith("local"):
+    if one_machine:
         return _local_dir(context.applicationId)
     raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/termweave/{name}-{uuid.uuid4().hex}"
+    return f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/termweave/{spark.sparkContext.applicationId}"
+
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path on it."""
+    return fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, when no result of it is read any more."""
+    path = _run_dir(spark)
+    store, place = file_system(path)
+    if store.get_file_info(place).type != fs.FileType.NotFound:
+        store.delete_dir(place)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

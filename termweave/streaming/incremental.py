@@ -14,34 +14,52 @@ from pyspark.sql.streaming import StreamingQuery
 
 from termweave import schemas
 from termweave.sources.composite import split_composite
-from termweave.sources.extracts import file_pattern, flatten, nulls_from_text, term_folder_of
+from termweave.sources.extracts import (
+    FORMATS,
+    depth_of,
+    file_pattern,
+    flatten,
+    nulls_from_text,
+    term_below,
+    text_schema,
+    typed_from_text,
+)
 
 
 def extract_stream(
     spark: SparkSession,
     root: str,
     table: str,
-    fmt: str = "csv",
+    fmt: str | None = None,
     schema: T.StructType | None = None,
     files_per_batch: int = 1000,
     lines: bool = False,
 ) -> DataFrame:
-    """New files of one table below ``root/terms/*`` as a stream, with their term folder.
+    """New files of one table, in ``root`` and in ``root/terms/*``, as a stream with their term folder and path.
 
-    JSON files hold an array or one object, or with ``lines`` one object per line.
+    Both formats are followed unless ``fmt`` names one. JSON files hold an array or
+    one object, or with ``lines`` one object per line.
     """
+    if fmt is None:
+        both = [extract_stream(spark, root, table, f, schema, files_per_batch, lines) for f in FORMATS]
+        return both[0].unionByName(both[1])
+    schema = schema or schemas.schema(table)
     reader = (
-        spark.readStream.schema(schema or schemas.schema(table))
+        spark.readStream.schema(text_schema(schema) if fmt == "csv" else schema)
         .option("pathGlobFilter", file_pattern(table, fmt))
+        .option("recursiveFileLookup", True)
         .option("maxFilesPerTrigger", files_per_batch)
     )
-    folders = f"{root.rstrip('/')}/terms/*"
     if fmt == "csv":
-        rows = reader.options(header=True, escape='"', enforceSchema=False, dateFormat="yyyy-MM-dd").csv(folders)
-        rows = rows.select("*", term_folder_of(F.col("_metadata.file_path")).alias("source_term"))
-        return nulls_from_text(rows)
-    rows = reader.option("multiLine", not lines).json(folders)
-    return flatten(rows.select("*", term_folder_of(F.col("_metadata.file_path")).alias("source_term")))
+        rows = reader.options(header=True, escape='"', enforceSchema=False).csv(root)
+    else:
+        rows = reader.option("multiLine", not lines).json(root)
+    path = F.col("_metadata.file_path")
+    place = term_below(path, depth_of(root))
+    rows = rows.select("*", place.alias("source_term"), path.alias("source_file")).filter(F.col("source_term").isNotNull())
+    if fmt == "csv":
+        return typed_from_text(nulls_from_text(rows), schema).withColumn("source_term", F.coalesce("source_term", F.lit("")))
+    return flatten(rows)
 
 
 def append_stream(
@@ -69,14 +87,14 @@ def load_incremental(
     table: str,
     target: str,
     checkpoint: str,
-    fmt: str = "csv",
+    fmt: str | None = None,
     schema: T.StructType | None = None,
     split_width: dict[str, int] | None = None,
 ) -> DataFrame:
     """Append the files not loaded yet and return the table as it now is.
 
-    Composite columns are split to the given widths; a stream cannot look at
-    all rows first to find them.
+    Files of the top level have the empty term. Composite columns are split to the
+    given widths; a stream cannot look at all rows first to find them.
     """
     rows = extract_stream(spark, root, table, fmt, schema)
     if split_width:

@@ -122,3 +122,21 @@ def test_catalogues(spark):
     assert catalogs.majors(spark).count() == 25 and catalogs.subjects(spark).count() == 16
     assert catalogs.hold_types(spark).count() == 6
     assert re.fullmatch("[A-Z]+", "".join(catalogs.SUBJECTS))
+
+
+def test_nan_is_below_every_cut_and_is_not_clamped(rows):
+    df = rows("x double", (float("nan"),))
+    got = df.select(derive.letter_grade(F.col("x")), derive.clamp(F.col("x"), 0.0, 4.0), derive.class_level(F.col("x"))).first()
+    assert got[0] == "F" and got[1] != got[1] and got[2] is None
+
+
+def test_utc_text_does_not_follow_the_session_zone(spark, rows):
+    from datetime import datetime, timezone
+
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        text = rows("a int", (1,)).select(derive.utc_timestamp_text()).first()[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    stamp = datetime.strptime(text, "%Y-%m-%dT%H:%M:%S.%fZ").replace(tzinfo=timezone.utc)
+    assert abs((datetime.now(timezone.utc) - stamp).total_seconds()) < 120

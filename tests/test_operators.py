@@ -49,15 +49,16 @@ def test_salted_join_rejects_joins_that_keep_the_other_side(hot, side):
         skew.salted_join(hot, side, ["k"], "right")
 
 
-def test_heavy_keys_are_bounded_and_cold_ones_still_join(hot, side, values):
-    assert skew.heavy_keys(hot, ["k"], 10, limit=3).count() == 3
+def test_heavy_keys_are_all_keys_above_the_threshold(spark, hot):
     assert skew.heavy_keys(hot, ["k"]).count() == 0
+    many = spark.range(36_000).select((F.col("id") % 12_000).alias("k"))
+    assert skew.heavy_keys(many, ["k"], 2).count() == 12_000
 
 
-@pytest.mark.parametrize("rows_per_slice", [50, 300, 1_000_000])
-def test_number_rows_equals_row_number(spark, hot, rows_per_slice):
+@pytest.mark.parametrize("slices", [1, 20, 120, None])
+def test_number_rows_equals_row_number(spark, hot, slices):
     got = defaultdict(list)
-    for r in ordering.number_rows(hot, ["k"], ["v"], "n", rows_per_slice).collect():
+    for r in ordering.number_rows(hot, ["k"], ["v"], "n", slices).collect():
         got[r.k].append((r.v, r.n))
     assert sum(map(len, got.values())) == 6000
     for numbered in got.values():
@@ -65,13 +66,13 @@ def test_number_rows_equals_row_number(spark, hot, rows_per_slice):
 
 
 def test_number_rows_over_everything(spark):
-    got = ordering.number_rows(spark.range(1000).select((F.col("id") * 7 % 1000).alias("x")), [], ["x"], "n", 150).collect()
+    got = ordering.number_rows(spark.range(1000).select((F.col("id") * 7 % 1000).alias("x")), [], ["x"], "n", 7).collect()
     assert all(r.n == r.x + 1 for r in got) and len(got) == 1000
 
 
 def test_dedupe_suffix(rows, values):
     df = rows("id int, base string", (3, "alexkim"), (1, "alexkim"), (2, "saray"), (9, "alexkim"), (4, None))
-    got = dict(values(identity.dedupe_suffix(df, "base", ["id"], "u", rows_per_slice=1), "id", "u"))
+    got = dict(values(identity.dedupe_suffix(df, "base", ["id"], "u", slices=5), "id", "u"))
     assert got == {1: "alexkim", 3: "alexkim2", 9: "alexkim3", 2: "saray", 4: None}
 
 
@@ -94,7 +95,7 @@ def test_bridge_averages_equal_the_joined_rows(spark, values):
         for g, w in zip(values(got), values(want)):
             assert g[: len(by) + 1] == w[: len(by) + 1]
             assert g[len(by) + 1:] == pytest.approx(w[len(by) + 1:])
-    rows_joined = identity.bridge_join(left, cross, right, "mk", "s", ["t"], rows_per_task=3)
+    rows_joined = identity.bridge_join(left, cross, right, "mk", "s", ["t"])
     assert values(rows_joined, "s", "t", "mk", "v", "w", "g") == values(joined, "s", "t", "mk", "v", "w", "g")
 
 
@@ -146,6 +147,23 @@ def test_swap_leaves_people_with_several_rows_alone(spark, values):
     assert values(fragment.swap_pairs(doubled, 1.0, "x", "s", "k")) == values(doubled)
 
 
+def test_swaps_leave_missing_keys_alone(spark, values):
+    some = F.when(F.col("s").endswith("5"), F.lit(None)).otherwise(F.col("k"))
+    before = crosswalk(spark, 400).withColumn("k", some)
+    after = fragment.swap_pairs(before, 0.5, "x", "s", "k")
+    old, new = dict(values(before, "s", "k")), dict(values(after, "s", "k"))
+    assert sorted(map(str, old.values())) == sorted(map(str, new.values()))
+    assert {s for s in old if old[s] is None} == {s for s in new if new[s] is None}
+    # Half a swap per person, two people each: nearly everybody with a key.
+    assert sum(old[s] != new[s] for s in old) >= 358
+
+
+def test_rate_counts_swaps(spark, values):
+    people = crosswalk(spark, 20_000)
+    after = fragment.swap_pairs(people, fragment.CROSSWALK_MISMATCH_RATE, "x", "s", "k")
+    assert identity.swap_audit(after, "s", "k", "mdl_").count() == pytest.approx(200, abs=40)
+
+
 def test_thinning_is_nested_and_complete(spark, values):
     df = spark.range(3000)
     ten, half = fragment.thin(df, 0.1, "s", "id"), fragment.thin(df, 0.5, "s", "id")
@@ -175,10 +193,18 @@ def test_weighted_assign_from_a_table(spark, rows, values):
     assert values(fragment.weighted_assign(points, F.col("x"), weights, "c", "w")) == [(0.0, "a"), (0.24, "a"), (0.25, "b"), (0.99, "b")]
 
 
-def test_weighted_assign_refuses_a_long_catalogue(spark):
-    weights = spark.range(1500).select(F.col("id").cast("string").alias("c"), F.lit(1).alias("w"))
-    with pytest.raises(Exception, match="catalogue too long"):
-        fragment.weighted_assign(spark.range(1), F.lit(0.5), weights, "c", "w").collect()
+def test_weighted_assign_from_a_long_and_uneven_catalogue(spark):
+    weights = [(i, 1 + (i * 7) % 11 + (5000 if i == 700 else 0)) for i in range(1500)]
+    catalogue = spark.createDataFrame(weights, "c long, w long")
+    points = spark.range(4000).select((F.col("id") / 4000).alias("x"))
+    got = dict(fragment.weighted_assign(points, F.col("x"), catalogue, "c", "w").select("x", "c").collect())
+    total, upto = sum(w for _, w in weights), []
+    for _, w in weights:
+        upto.append((upto[-1] if upto else 0) + w)
+    from bisect import bisect_right
+
+    assert got == {i / 4000: bisect_right(upto, i / 4000 * total) for i in range(4000)}
+    assert fragment.weighted_assign(points, F.col("x"), catalogue.where("false"), "c", "w").where("c IS NULL").count() == 4000
 
 
 def test_running_totals_merge_rows_of_a_term(rows, values):

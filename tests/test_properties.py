@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from termweave.functions import sqltext, terms
 from termweave.operators import identity, longitudinal, quality
-from termweave.plans import receipts
 from termweave.sources import composite
 
 few = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -23,7 +22,7 @@ few = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck
 @given(st.lists(st.one_of(st.none(), st.text("ab|^ \n", max_size=12)), min_size=1, max_size=30))
 def test_splitting_keeps_every_part(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, k string")
-    wide = composite.split_composite(df, max_columns=100)
+    wide = composite.split_composite(df)
     n = max([t.count("|") + 1 for t in texts if t is not None], default=1)
     assert len(wide.columns) == 2 + (n if n > 1 else 0)
     for row in wide.collect():
@@ -38,15 +37,27 @@ def test_splitting_keeps_every_part(spark, texts):
             assert "|".join(parts[i][j] for j in sorted(parts[i])) == text
 
 
+TABLE_LISTS = st.recursive(
+    st.sampled_from(["t1", "db.t2", '"t3"', "`t4`", "T5 x", "range(3) r"]).map(lambda t: (t, [t])),
+    lambda inner: st.lists(st.tuples(st.sampled_from([", ", " JOIN ", " /* from z */ CROSS JOIN "]), inner), min_size=1, max_size=3).map(
+        lambda parts: (
+            "(SELECT 'from y', f(a, b) FROM " + parts[0][1][0] + "".join(j + t for j, (t, _) in parts[1:]) + " WHERE a IN (1, 2)) s",
+            [n for _, (_, names) in parts for n in names],
+        )
+    ),
+    max_leaves=6,
+)
+
+
 @few
-@given(st.lists(st.lists(st.sampled_from(["FROM", "join", "a.b", "t1,", "(select", "x;", "WHERE", "\n", "on", ";;", "from"]), max_size=12).map(" ".join), min_size=1, max_size=20))
-def test_tables_in_sql_as_column_and_as_text(spark, texts):
-    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, s string").orderBy("i").select(sqltext.tables_in_sql(F.col("s"))).collect()]
-    want = []
-    for text in texts:
-        words = [w.strip(",;") for w in re.findall(r"\b(?:from|join)\s+(\S+)", text, re.I)]
-        want.append(list(dict.fromkeys(w.split(".")[-1] for w in words if w.lower() not in ("select", "on", "where"))))
-    assert got == want and [receipts.tables_named(t) for t in texts] == want
+@given(st.lists(TABLE_LISTS, min_size=1, max_size=20))
+def test_tables_of_nested_lists(spark, lists):
+    """Every table of a generated statement is found, whatever stands around it, in order and once."""
+    rows = [(i, f"SELECT extract(day FROM d) FROM {text} -- , ghost") for i, (text, _) in enumerate(lists)]
+    found = spark.createDataFrame(rows, "i int, s string").orderBy("i").select(sqltext.tables_in_sql(F.col("s"))).collect()
+    for (_, names), row in zip(lists, found):
+        bare = [n.split()[0].split(".")[-1].strip('"`') for n in names if not n.startswith("range")]
+        assert row[0] == list(dict.fromkeys(bare))
 
 
 def test_codes_and_positions_are_inverse(spark):

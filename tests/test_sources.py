@@ -93,7 +93,7 @@ def test_reading_has_no_filter_per_row(spark, root):
     text = io.StringIO()
     with contextlib.redirect_stdout(text):
         extracts.read_extracts(spark, str(root), "financial_aid").select("loans").explain()
-    assert "file_path" not in text.getvalue() and "ReadSchema: struct<loans:int>" in text.getvalue()
+    assert "file_path" not in text.getvalue() and "ReadSchema: struct<loans:string>" in text.getvalue()
 
 
 def test_unknown_table_is_inferred(spark, root):
@@ -171,7 +171,9 @@ def test_split_composite(spark, keys, values):
 
 
 def test_wide_composites_keep_every_part(spark, keys, values):
-    assert composite.split_composite(keys, max_columns=2).columns[-1] == "key_parts"
+    assert composite.split_composite(keys, as_arrays=["key"]).columns[-1] == "key_parts"
+    long = keys.limit(1).withColumn("key", F.array_join(F.sequence(F.lit(1), F.lit(51)), "|"))
+    assert composite.split_composite(long).columns[-51:] == [f"key_{i}" for i in range(1, 52)]
     parts = values(composite.explode_composite(keys.select("id", "key"), "key"))
     assert parts == [(1, 1, "S001"), (1, 2, "CS101"), (2, 1, "S001"), (4, 1, "a"), (4, 2, ""), (4, 3, "b"), (5, 1, "t"), (5, 2, "")]
 
@@ -234,12 +236,53 @@ def test_loading_twice_with_clear_leaves_one_copy(spark, root):
     for _ in range(2):
         sinks.load_tables(extracts.assemble(spark, str(root)), clear=True)
     assert spark.table("financial_aid").count() == 6 and spark.table("advising_holds").count() == 6
-    sinks.load_tables(extracts.assemble(spark, str(root), ["financial_aid"]))
-    assert spark.table("financial_aid").count() == 12
+    with pytest.raises(ValueError, match="source_file"):
+        sinks.load_tables(extracts.assemble(spark, str(root), ["financial_aid"]))
     for t in ("advising_holds", "financial_aid", "identity_crosswalk", "students_master"):
         spark.sql(f"DROP TABLE {t}")
 
 
+def test_appending_twice_leaves_one_copy(spark, root):
+    for _ in range(2):
+        sinks.load_tables(extracts.assemble(spark, str(root), ["financial_aid"], with_source=True))
+    assert spark.table("financial_aid").count() == 6
+    late = root / "terms" / "2025SP"
+    late.mkdir()
+    (late / "financial_aid.csv").write_text(AID + "WD00000001,2025SP,false,,0,0,NA\n")
+    sinks.load_tables(extracts.assemble(spark, str(root), ["financial_aid"], with_source=True))
+    assert spark.table("financial_aid").count() == 7
+    spark.sql("DROP TABLE financial_aid")
+
+
+def test_recreating_from_itself_and_failing(spark, rows, values):
+    sinks.recreate(rows("a int", (1,), (2,)), "t_again")
+    sinks.recreate(spark.table("t_again").filter("a > 1"), "t_again")
+    assert values(spark.table("t_again")) == [(2,)]
+    bad = rows("a int", (1,)).select(F.raise_error(F.lit("broken")).cast("int").alias("a"))
+    with pytest.raises(Exception, match="broken"):
+        sinks.recreate(bad, "t_again")
+    assert values(spark.table("t_again")) == [(2,)]
+    assert [t.name for t in spark.catalog.listTables() if t.name.startswith("t_again")] == ["t_again"]
+    spark.sql("DROP TABLE t_again")
+
+
+def test_line_breaks_in_cells(spark, rows, tmp_path, values):
+    two = rows("term_code string, a int, b string", ("2024SP", 1, 'x\ny, "z"'), ("2024SP", 2, "plain"))
+    sinks.write_extracts(two, str(tmp_path), "t", "csv")
+    schema = T.StructType.fromDDL("a INT, b STRING, term_code STRING")
+    assert values(extracts.read_table(spark, str(tmp_path), "t", "csv", schema), "a", "b") == [(1, 'x\ny, "z"'), (2, "plain")]
+
+
+def test_bad_numbers_are_errors_or_kept_aside(spark, tmp_path, values):
+    (tmp_path / "n.csv").write_text("a,b,c\n1,x,2024-01-05\n12x,y,NA\nNA,z,soon\n")
+    schema = T.StructType.fromDDL("a INT, b STRING, c DATE")
+    with pytest.raises(Exception, match="a is no int: 12x|c is no date: soon"):
+        extracts.read_csv(spark, str(tmp_path / "n.csv"), schema).collect()
+    assert values(extracts.read_csv(spark, str(tmp_path / "n.csv"), schema, on_bad="null"), "a", "b") == [(None, "y"), (None, "z"), (1, "x")]
+    aside = extracts.read_csv(spark, str(tmp_path / "n.csv"), schema, on_bad="rejected")
+    assert values(aside, "b", "rejected") == [("x", []), ("y", ["a=12x"]), ("z", ["c=soon"])]
+
+
 def test_projections_and_metadata(spark, rows, tmp_path):
     people = rows("student_id string, name string, k string", ("S1", "A", "m1"))
     sinks.write_projections(people, str(tmp_path), {"master": ["student_id", "name"], "cross": ["student_id", "k"]})
@@ -268,3 +311,14 @@ def test_incremental_json_and_split(spark, root, tmp_path):
         split_width={"hold_id": 2},
     )
     assert holds.count() == 6 and {"hold_id_1", "hold_id_2", "source_term"} <= set(holds.columns)
+
+
+def test_incremental_load_reads_both_formats_and_levels(spark, root, tmp_path, values):
+    (root / "terms" / "2023FA" / "identity_crosswalk.json").write_text(
+        '[{"student_id": "S9", "moodle_user_key": "m9", "workday_person_id": "w9"}]'
+    )
+    batch = extracts.read_extracts(spark, str(root), "identity_crosswalk")
+    loaded = load_incremental(spark, str(root), "identity_crosswalk", str(tmp_path / "t"), str(tmp_path / "c"))
+    columns = ["student_id", "moodle_user_key", "workday_person_id"]
+    assert values(loaded, *columns) == values(batch, *columns)
+    assert {r.source_term or "" for r in loaded.collect()} == {"", "2023FA"}

@@ -24,7 +24,7 @@ def test_order_and_next(spark, code, ordinal, following):
         assert one(spark, terms.term_code(F.col("n")), n=ordinal) == code
 
 
-@pytest.mark.parametrize("bad", ["2024F", "2024WI", "20X4FA", "2024fa", " 2024FA", "2024FA ", ""])
+@pytest.mark.parametrize("bad", ["2024F", "2024WI", "20X4FA", "2024fa", " 2024FA", "2024FA ", "2024FA\n", ""])
 def test_malformed_codes(spark, bad):
     assert one(spark, terms.term_ord(F.col("c"), strict=False), c=bad) is None
     assert one(spark, terms.term_year(F.col("c")), c=bad) is None
