@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from termweave.llm import op1_toxicity, op2_decontamination, op3_lines, op4_simhash, op5_language, op6_substrings, op7_mixing, op8_suffixes, op9_quality, op10_tokens
+from termweave.llm import op1_toxicity, op2_decontamination, op3_lines, op4_simhash, op5_language, op6_substrings, op7_mixing, op8_suffixes, op9_quality, op10_tokens, sql
 from termweave.llm.common import table
 
 
@@ -51,5 +51,26 @@ def op3_line_dedup(spark, sf_dir):
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_scores, op4_simhash_components, op5_language_id, op6_substring_dedup, op7_source_mix, op8_byte_dedup, op9_quality_rules, op2_benchmark_leaks, op3_line_dedup, op10_token_files)}
-SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity_scores,
+        op2_benchmark_leaks,
+        op3_line_dedup,
+        op4_simhash_components,
+        op5_language_id,
+        op6_substring_dedup,
+        op7_source_mix,
+        op8_byte_dedup,
+        op9_quality_rules,
+        op10_token_files,
+    )
+}
+
+#: The others need a trained model, a hash or bytes that SQL does not have.
+SQL: dict[str, str] = {
+    "op3_line_dedup": sql.LINES,
+    "op6_substring_dedup": sql.SUBSTRINGS,
+    "op7_source_mix": sql.MIX,
+    "op9_quality_rules": sql.QUALITY,
+}
