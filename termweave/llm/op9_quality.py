@@ -26,7 +26,7 @@ SYMBOLS = "#*$%&|<>"
 MANTISSA = 10
 MEASURES = ("word_length", "symbols", "dup_lines", "repeats")
 #: Least distance of a limit from its quantile, in units of the measure.
-LEAST_SPREAD = {"word_length": 100, "symbols": 50, "dup_lines": 100, "repeats": 50}
+LEAST_SPREAD = {"word_length": 100, "symbols": 50, "dup_lines": 100, "repeats": 100}
 
 
 def _repeat_words(df: DataFrame) -> DataFrame:
