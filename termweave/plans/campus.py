@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 
 from termweave.functions.derive import pad_key, prefixed_key
 from termweave.functions.terms import term_code, term_ord_of_date
-from termweave.operators.partials import merge, partials
+from termweave.operators.partials import partials
 from termweave.sources.sinks import write_extracts
 from termweave.storage import fresh_path
 
@@ -68,16 +68,21 @@ def enrolments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enrolment_partials(spark: SparkSession, sf_dir: str, values: Sequence[str] = ()) -> DataFrame:
-    """Enrolments per student and term as sums and counts."""
-    rows = partials(enrolments(spark, sf_dir), ["person", "term_ord"], values)
-    return with_keys(rows, student_id(F.col("person")).alias("student_id"))
+    """Enrolments per person and term as sums and counts."""
+    return partials(enrolments(spark, sf_dir), ["person", "term_ord"], values)
+
+
+def numbered_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crosswalk by the numbers its text keys are made of, for joins before the keys are needed."""
+    number = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(number.alias("system_key"), number.alias("person"))
 
 
 def line_partials(spark: SparkSession, sf_dir: str, measures: dict[str, Column]) -> DataFrame:
     """Order lines per person and term of shipping, as sums and counts of the measures.
 
-    Lines shrink to one row per order and term before they are joined to their
-    order, so an order with very many lines is no heavier than any other.
+    Lines are shuffled once to meet their order, where adaptive execution splits an
+    order with very many of them, and shrink to sums in the same tasks.
     """
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("o_orderkey"),
@@ -85,8 +90,7 @@ def line_partials(spark: SparkSession, sf_dir: str, measures: dict[str, Column])
         *[c.alias(name) for name, c in measures.items()],
     )
     owners = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("person"))
-    per_order = partials(lines, ["o_orderkey", "term_ord"], list(measures))
-    return merge(per_order.join(owners, "o_orderkey"), ["person", "term_ord"], list(measures))
+    return partials(lines.join(owners, "o_orderkey"), ["person", "term_ord"], list(measures))
 
 
 def with_keys(df: DataFrame, *keys: Column) -> DataFrame:

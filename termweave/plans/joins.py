@@ -21,20 +21,18 @@ Q2_SQL = f"""
 @query(Q2_SQL, "J1", "J3", "J4", "A2", "P1", "S7", "Q9")
 def activity_avg_by_person(spark, sf_dir):
     """Average logins per person over the terms they are enrolled in."""
-    lms = campus.with_keys(
-        campus.line_partials(spark, sf_dir, {"logins": campus.logins()}),
-        campus.moodle_key(F.col("person")).alias("moodle_user_key"),
-    )
-    return identity.bridge_averages(
-        lms,
-        campus.crosswalk(spark, sf_dir),
+    lms = campus.line_partials(spark, sf_dir, {"logins": campus.logins()})
+    averages = identity.bridge_averages(
+        lms.withColumnRenamed("person", "system_key"),
+        campus.numbered_crosswalk(spark, sf_dir),
         campus.enrolment_partials(spark, sf_dir),
-        "moodle_user_key",
-        "student_id",
-        by=["student_id"],
+        "system_key",
+        "person",
+        by=["person"],
         on=["term_ord"],
         left_values=["logins"],
     )
+    return campus.with_keys(averages, campus.student_id(F.col("person")).alias("student_id"))
 
 
 @query(
@@ -58,16 +56,13 @@ def login_average(spark, sf_dir):
 )
 def two_averages_by_term(spark, sf_dir):
     """Average loans and term averages of people who have both, per term."""
-    aid = campus.with_keys(
-        campus.line_partials(spark, sf_dir, {"loans": campus.loans()}),
-        campus.workday_id(F.col("person")).alias("workday_person_id"),
-    )
+    aid = campus.line_partials(spark, sf_dir, {"loans": campus.loans()})
     averages = identity.bridge_averages(
-        aid,
-        campus.crosswalk(spark, sf_dir),
+        aid.withColumnRenamed("person", "system_key"),
+        campus.numbered_crosswalk(spark, sf_dir),
         campus.enrolment_partials(spark, sf_dir, ["term_gpa"]),
-        "workday_person_id",
-        "student_id",
+        "system_key",
+        "person",
         by=["term_ord"],
         on=["term_ord"],
         left_values=["loans"],
