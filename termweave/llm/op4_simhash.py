@@ -130,10 +130,9 @@ def links(nodes: DataFrame, radius: int = 2, bucket: int = 16) -> DataFrame:
     shared = materialize(rows.join(sizes, ["v", "key"]), "simhash-buckets")
     small = shared.where(F.col("n") <= bucket).groupBy("v", "key").agg(F.collect_list("fp").alias("nodes"))
     found = small.select(_pairs(F.col("nodes"), radius).alias("p")).select("p.a", "p.b")
-    # Any two fingerprints two bits apart, or one, have a third that is at most one bit from both.
-    steps = -(-radius // 2)
-    if steps > 1:
+    if radius > 2:
         raise ValueError("large buckets are searched for a radius of 1 or 2")
+    # Any two fingerprints two bits apart, or one, have a third that is at most one bit from both.
     free = F.filter(F.array(*(F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(64))), lambda b: b.bitwiseAND(F.col("mask")) == 0)
     places = F.concat(F.array("fp"), F.transform(free, lambda b: b.bitwiseXOR(F.col("fp"))))
     met = shared.where(F.col("n") > bucket).select("fp", F.explode(places).alias("place")).distinct()

@@ -63,8 +63,9 @@ def features(texts: list[str]) -> np.ndarray:
     doc = np.concatenate([doc, np.full(len(points) - len(doc), max(0, len(texts) - 1))])
     total = np.zeros(len(texts) << BITS)
     for at, h in grams(points, 2, 3):
-        # The last of an n-gram's places that is not a bound may belong to the next text's space only.
-        keys = (doc[np.minimum(at + 1, len(doc) - 1)] << BITS) + (h >> np.uint32(32 - BITS))
+        # An n-gram that begins with the space before a text belongs to that text.
+        own = doc[at + (points[at] == 32)]
+        keys = (own << BITS) + (h >> np.uint32(32 - BITS))
         total += np.bincount(keys, minlength=len(total))
     x = np.sqrt(total.reshape(len(texts), 1 << BITS)).astype(np.float32)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)

@@ -527,3 +527,15 @@ def test_families_before_languages():
     assert set(model.family.classes) == {"germanic", "romance", "xx"}
     assert model.within["germanic"].classes == ("de", "en") and not model.within["xx"].pairs
     assert op5_language.fit([], []).predict(["abc"])[0] == ["und"]
+
+
+def test_features_do_not_depend_on_the_neighbours():
+    import numpy as np
+
+    texts = ["alpha beta", "", "  gamma ", "delta", "x"]
+    together = op5_language.features(texts)
+    for i, text in enumerate(texts):
+        assert np.array_equal(together[i], op5_language.features([text])[0])
+    weights = np.linspace(-1, 1, 1 << op1_toxicity.BITS).astype(np.float32)
+    alone = [op1_toxicity.raw_scores([t], weights, 0.5)[0] for t in texts]
+    assert op1_toxicity.raw_scores(texts, weights, 0.5).tolist() == alone
