@@ -5,7 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from termweave.llm import op1_toxicity, op2_decontamination, op3_lines, op4_simhash, op5_language, op6_substrings, op7_mixing, op8_suffixes, op9_quality, op10_tokens, sql
+from termweave.llm import (
+    op1_toxicity,
+    op2_decontamination,
+    op3_lines,
+    op4_simhash,
+    op5_language,
+    op6_substrings,
+    op7_mixing,
+    op8_suffixes,
+    op9_quality,
+    op10_tokens,
+    sql,
+)
 from termweave.llm.common import table
 
 
