@@ -90,15 +90,18 @@ def weighted_mean(df: DataFrame, keys: Sequence[str], value: Column, weight: Col
 
 def fill_terms(
     df: DataFrame, person: str, ord: str, blank: Sequence[str], status: str = "enrollment_status",
-    present: str = "enrolled", absent: str = "not_enrolled",
+    present: str = "enrolled", absent: str = "not_enrolled", end: str | None = None,
 ) -> DataFrame:
     """A row for every term from a person's first to last, with skipped terms filled in.
 
     ``df`` has one row per person and term. Each row is repeated for the skipped
     terms after it: columns in ``blank`` are null there, all others carry on.
-    The gap ends at the next row, so no calendar is joined.
+    The gap ends at the next row, so no calendar is joined. Column ``end``, the
+    same in all rows of a person, names the last term to fill after the last row;
+    null, or a term before it, ends with the last row.
     """
-    until = F.coalesce(F.lead(ord).over(history(person, ord)) - 1, F.col(ord))
+    last = F.greatest(F.col(ord), F.col(end)) if end else F.col(ord)
+    until = F.coalesce(F.lead(ord).over(history(person, ord)) - 1, last)
     spread = df.withColumn("_until", until).withColumn("_term", F.explode(F.sequence(ord, "_until")))
     here = F.col("_term") == F.col(ord)
     others = [c for c in df.columns if c not in (person, ord)]

@@ -238,6 +238,14 @@ def test_opening_balance_enters_the_running_mean(rows):
     assert (got.running_c, got.running_mean) == (88, 3.13)
 
 
+def test_fill_terms_up_to_an_end(rows, values):
+    df = rows("p int, t int, c int, e int", (1, 1, 5, 6), (1, 3, 6, 6), (2, 2, 7, None), (3, 4, 8, 2))
+    got = longitudinal.fill_terms(df, "p", "t", ["c"], end="e")
+    assert values(got, "p", "t", "c") == [
+        (1, 1, 5), (1, 2, None), (1, 3, 6), (1, 4, None), (1, 5, None), (1, 6, None), (2, 2, 7), (3, 4, 8),
+    ]
+
+
 def test_fill_terms(rows, values):
     df = rows("p int, t int, c int, total int", (1, 1, 3, 3), (1, 4, 5, 8), (2, 2, 1, 1))
     got = longitudinal.fill_terms(df, "p", "t", ["c"])
