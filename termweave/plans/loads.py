@@ -238,10 +238,10 @@ Q_COUNTS = f"""
 _logs: dict[tuple[str, str], str] = {}
 
 
-def _workload_log(spark, sf_dir):
-    """The log of one run of the workload; queries of a session that read it share the run."""
+def _workload_log(spark, sf_dir, anew):
+    """The log of a run of the workload: a new one, or the last one of the session if there is one."""
     run = (spark.sparkContext.applicationId, sf_dir)
-    if run not in _logs:
+    if anew or run not in _logs:
         tables = campus.stored_workload_tables(spark, sf_dir)
         extracts.register(tables)
         log = fresh_path(spark, "receipts")
@@ -261,7 +261,7 @@ def _workload_log(spark, sf_dir):
 def receipt_log(spark, sf_dir):
     """The example workload over row-level tables, and the log it leaves."""
     detail = F.from_json("receipt", "tables_used INT, error STRING, plan STRING")
-    log = _workload_log(spark, sf_dir).select("*", detail.alias("d"))
+    log = _workload_log(spark, sf_dir, anew=True).select("*", detail.alias("d"))
     return log.filter(F.col("d.plan").isNotNull() & (F.col("runtime_ms") > 0)).select(
         "query_name", "frag_level", "source_fanout", "row_count", "d.tables_used", "d.error"
     )
@@ -274,7 +274,7 @@ def receipt_log(spark, sf_dir):
 )
 def receipt_summary(spark, sf_dir):
     """One line per query from the last receipt of each."""
-    lines = receipts.summary(_workload_log(spark, sf_dir))
+    lines = receipts.summary(_workload_log(spark, sf_dir, anew=False))
     timed = F.col("runtime").rlike(r"^[0-9]+\.[0-9]{2} ms$")
     return lines.withColumn("timed", timed).drop("runtime")
 
