@@ -41,6 +41,7 @@ from termweave.storage import fresh_path
 PLACE_BITS = 24
 CHUNK_UNITS = 1 << 20
 HOT_SEGMENTS = 4096
+SMALL_ROWS = 500
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -51,12 +52,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def gram_hashes(units: np.ndarray, gram: int) -> np.ndarray:
     """A hash of every ``gram`` consecutive units (uint64)."""
-    done, step, out = 1, 1, units
+    done, out = 1, units
     # Doubling: a run of 2n is two runs of n; the last step may overlap.
     while done * 2 <= gram:
         out = out[:-done] * np.uint64(0x9E3779B97F4A7C15) + mixed(out[done:])
         done *= 2
-        step += 1
     if done < gram:
         out = out[: len(units) - gram + 1] * np.uint64(0x9E3779B97F4A7C15) + mixed(out[gram - done :])
     return mixed(out)
@@ -124,8 +124,12 @@ def segments(units: np.ndarray, ends: np.ndarray, k: int, gram: int) -> Segments
     first = place - (k - half + 1)
     left = _range_hashes(sums, first, place + gram, first >= starts[text])
     right = _range_hashes(sums, place, place + half, place + half <= ends[text])
-    anchor = place - starts[text] - start
-    return Segments(text, start, np.diff(np.append(cut, len(within))), anchor, grams[place].view(np.int64), left, right)
+    anchor, windows = place - starts[text] - start, np.diff(np.append(cut, len(within)))
+    # From the anchor's begin on, the first window has k - anchor units and the last one the most. A side is needed
+    # only for windows that are equal on that side if they are equal at all.
+    left[k - anchor >= half] = 0
+    right[k - anchor + windows - 1 < half] = 0
+    return Segments(text, start, windows, anchor, grams[place].view(np.int64), left, right)
 
 
 @dataclass(frozen=True)
@@ -175,6 +179,13 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that few of them stand in memory as Python objects."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, SMALL_ROWS):
+            yield batch.slice(i, SMALL_ROWS)
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).cast("binary").alias("text"))
 
@@ -183,7 +194,7 @@ def sides(docs: DataFrame, kind: Kind) -> DataFrame:
     """side (a hash) and doc_id, for both sides of every segment."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             for which, s in _parts(batch.column(1).to_pylist(), kind):
                 side = np.concatenate([s.left, s.right])
                 at = np.concatenate([s.text, s.text])[side != 0]
@@ -199,7 +210,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
+        for batch in _small(batches):
             texts = batch.column(1).to_pylist()
             tids = [hashlib.blake2b(t, digest_size=8).digest() for t in texts]
             yield pa.RecordBatch.from_arrays(
@@ -219,7 +230,7 @@ def cut(docs: DataFrame, shared: DataFrame, kind: Kind) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in _small(batches):
             tids = batch.column(1).to_pylist()
             texts = [expand(t) for t in batch.column(2).to_pylist()]
             wanted = batch.column(3)
@@ -272,7 +283,7 @@ def judged(distinct: DataFrame, kind: Kind, index: Index, plain: Callable[[list[
 
         def groups():
             last, members = None, []
-            for batch in batches:
+            for batch in _small(batches):
                 for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if row[0] != last and members:
                         yield members
@@ -315,7 +326,7 @@ def judged_by_digest(distinct: DataFrame, kind: Kind, value: Column, repeats: Co
     """The same for hot keys: windows of equal content are aggregated by a 128-bit digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             for sid, content, n, least, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 digests = [hashlib.blake2b(w, digest_size=16).digest() for w in kind.window_bytes(content, n)]
                 yield pa.RecordBatch.from_arrays(
@@ -369,7 +380,7 @@ def without_repeats(
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in _small(batches):
             rows = []
             for doc_id, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 spans = [
