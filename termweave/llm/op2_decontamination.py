@@ -38,8 +38,9 @@ SHINGLE = 5
 BLOCKS = 4
 NEAR = 3
 RADIUS = BLOCKS * (NEAR + 1) - 1
-#: Of the Bloom filter: one byte for each of 2 ** 20 places, whatever the size of the benchmark.
-FILTER_BITS = 20
+#: Of the Bloom filter: one byte for each place, whatever the size of the benchmark. It stands in the
+#: text of every plan that uses it, which the driver keeps.
+FILTER_BITS = 17
 FILTER_HASHES = 3
 
 
@@ -58,7 +59,8 @@ def shingle_texts(words: Column, length: Column) -> Column:
     """The different shingles of an array of words, as text."""
     n = F.size(words)
     size = F.least(length, n)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.array_join(F.slice(words, i, size), " ")))
+    at = F.sequence(F.lit(1), n - size + 1)
+    return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(words, i, size), " ")))
 
 
 def simhash(shingles: Column) -> Column:
@@ -68,17 +70,16 @@ def simhash(shingles: Column) -> Column:
 
     def add(sums: Column, x: Column) -> Column:
         # Place 64 holds the whole weight.
-        return F.transform(
-            sums,
-            lambda s, b: s + F.when((b == 64) | (F.call_function("shiftright", x["h"], b).bitwiseAND(F.lit(1)) == 1), x["n"]).otherwise(0),
-        )
+        is_set = lambda b: (b == 64) | (F.call_function("shiftright", x["h"], b).bitwiseAND(F.lit(1)) == 1)
+        return F.transform(sums, lambda s, b: s + F.when(is_set(b), x["n"]).otherwise(0))
 
     def bits(sums: Column) -> Column:
+        none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+        over_half = lambda b: 2 * F.get(sums, b) > F.get(sums, F.lit(64))
         picked = F.transform(
-            F.sequence(F.lit(0), F.lit(63)),
-            lambda b: F.when(2 * F.get(sums, b) > F.get(sums, F.lit(64)), F.call_function("shiftleft", F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint")),
+            F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(over_half(b), F.call_function("shiftleft", one, b)).otherwise(none)
         )
-        return F.aggregate(picked, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x))
+        return F.aggregate(picked, none, lambda a, x: a.bitwiseOR(x))
 
     return F.aggregate(pairs, zero, add, bits)
 
@@ -130,13 +131,21 @@ def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
         rows = texts.select("doc_id", "w", "row", near.alias("near"), number.alias("barrier"))
         rows = materialize(rows.where(F.size("near") > 0).drop("barrier"), "benchmark-near")
         at = rows.select("row", F.size("w").alias("n"), F.explode("near").alias("x")).select("row", "n", "x.h", "x.p")
-        laid = at.join(places, "h").select("row", "size", F.greatest(F.lit(0), F.least(F.col("p") - F.col("at"), F.col("n") - F.col("size"))).alias("start"))
+        start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("at"), F.col("n") - F.col("size")))
+        laid = at.join(places, "h").select("row", "size", start.alias("start"))
         laid = laid.distinct().groupBy("row").agg(F.collect_list(F.struct("size", "start")).alias("laid"))
         cut = rows.select("row", "doc_id", "w").join(laid, "row").select("doc_id", "w", F.explode("laid").alias("x"))
-        cut = cut.select("doc_id", F.col("x.start").alias("start"), F.col("x.size").alias("size"), F.lit(k).alias("k"), F.slice("w", F.col("x.start") + 1, F.col("x.size")).alias("w"))
+        cut = cut.select(
+            "doc_id",
+            F.col("x.start").alias("start"),
+            F.col("x.size").alias("size"),
+            F.lit(k).alias("k"),
+            F.slice("w", F.col("x.start") + 1, F.col("x.size")).alias("w"),
+        )
         found = cut if found is None else found.unionAll(cut)
     if found is None:
-        found = texts.where("false").select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit(0).alias("k"), "w")
+        none = [F.lit(0).alias(name) for name in ("start", "size", "k")]
+        found = texts.where("false").select("doc_id", *none, "w")
     return found
 
 
@@ -161,23 +170,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: tuple[int, int] = (4, 5)
     """
     items = prepared_items(benchmark)
     cut = windows(docs, items).withColumn("shingles", shingle_texts(F.col("w"), F.col("k")))
-    cut = cut.select("doc_id", "start", "size", F.size("w").alias("n_words"), "shingles").withColumn("fp", simhash(F.col("shingles")))
+    cut = cut.select("doc_id", "start", "size", F.size("w").alias("n_words"), "shingles")
+    cut = cut.withColumn("fp", simhash(F.col("shingles")))
     masks = F.array(*(F.lit(m).cast("bigint") for m in near_masks(64 // BLOCKS, NEAR)))
-    index = items.select("item_id", "size", F.col("fp").alias("item_fp"), F.col("shingles").alias("item_shingles"), _blocks(F.col("fp")).alias("x"))
+    index = items.select("item_id", "size", F.col("fp").alias("item_fp"), _blocks(F.col("fp")).alias("x"))
     index = index.select("item_id", "size", "item_fp", "x.block", F.col("x.value").alias("own"), F.explode(masks).alias("mask"))
-    index = index.select("item_id", "size", "item_fp", "block", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+    value = F.col("own").bitwiseXOR(F.col("mask"))
+    index = index.select("item_id", "size", "item_fp", "block", value.alias("value"))
+    # Stored, so that its size is known when the join is planned.
+    index = materialize(index, "benchmark-index")
     cut = materialize(cut.withColumn("window", F.monotonically_increasing_id()), "benchmark-windows")
     looked = cut.select("window", "size", "fp", _blocks(F.col("fp")).alias("x")).select("window", "size", "fp", "x.block", "x.value")
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     pairs = looked.join(index, ["size", "block", "value"]).where(distance <= RADIUS)
     pairs = pairs.select("window", "item_id", distance.alias("distance")).distinct()
-    both = pairs.join(cut, "window").join(items.select("item_id", F.col("size"), F.col("shingles").alias("item_shingles")), ["item_id", "size"])
+    of_items = items.select("item_id", "size", F.col("shingles").alias("item_shingles"))
+    both = pairs.join(cut, "window").join(of_items, ["item_id", "size"])
     weight = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda n, s: n + F.length(s))
     both = both.withColumn("shared", weight(F.array_intersect("shingles", "item_shingles")))
     both = both.withColumn("whole", weight(F.col("shingles")) + weight(F.col("item_shingles")) - F.col("shared"))
     alike = both.where(F.col("shared") * least[1] >= F.col("whole") * least[0])
-    best = F.max(F.struct((F.col("shared") / F.col("whole")).alias("similarity"), (-F.col("distance")).alias("near"), (-F.col("start")).alias("first"), "n_words"))
-    return alike.groupBy("doc_id", "item_id").agg(best.alias("b"), F.count("*").alias("n_windows")).select(
+    best = F.max(
+        F.struct(
+            (F.col("shared") / F.col("whole")).alias("similarity"),
+            (-F.col("distance")).alias("near"),
+            (-F.col("start")).alias("first"),
+            "n_words",
+        )
+    )
+    return alike.groupBy("doc_id", "item_id").agg(best.alias("b")).select(
         "doc_id",
         "item_id",
         (-F.col("b.first")).alias("start"),
