@@ -48,6 +48,11 @@ def text_of(docs: DataFrame) -> Column:
     return F.coalesce(docs["text"], F.lit(""))
 
 
+def digest_of(docs: DataFrame) -> Column:
+    """128 bits of the text, with the id what tells rows apart; a null text counts as empty."""
+    return F.unhex(F.md5(text_of(docs).cast("binary")))
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACES), lambda w: w != "")
 

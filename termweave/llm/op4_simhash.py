@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.common import joined_null_safe
+from termweave.llm.common import digest_of, joined_null_safe
 from termweave.llm.components import components
 from termweave.llm.subwords import slices
 from termweave.storage import materialize
@@ -83,12 +83,13 @@ def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, length: int = 3) -> DataFrame:
-    """doc_id and its fingerprint as a signed long, ``fp``."""
+def fingerprints(docs: DataFrame, length: int = 3, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns (doc_id alone unless named) and the fingerprint of the text as a signed long, ``fp``."""
+    n = len(columns)
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).to_pylist()]
+            texts = [t or b"" for t in batch.column(n).to_pylist()]
             found = []
             for a, b in slices([len(t) for t in texts], SLICE_BYTES):
                 lists = [shingle_hashes(t, length) for t in texts[a:b]]
@@ -96,10 +97,10 @@ def fingerprints(docs: DataFrame, length: int = 3) -> DataFrame:
                 flat = np.fromiter((h for x in lists for h in x), np.uint64, int(counts.sum()))
                 found.append(majority_bits(flat, counts).view(np.int64))
             fps = np.concatenate(found) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(fps)], [*columns, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", docs["text"].cast("binary").alias("text")).mapInArrow(printed, f"doc_id {kind}, fp long")
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns)
+    return docs.select(*columns, docs["text"].cast("binary").alias("text")).mapInArrow(printed, f"{kinds}, fp long")
 
 
 def masks(radius: int) -> list[int]:
@@ -141,12 +142,16 @@ def links(nodes: DataFrame, radius: int = 2, bucket: int = 16) -> DataFrame:
     return found.unionAll(more).distinct()
 
 
+def _rooted(nodes: DataFrame, radius: int) -> DataFrame:
+    """``nodes``, one row per fingerprint, with the least fingerprint of their component, ``root``."""
+    joined = components(links(nodes, radius)).withColumnsRenamed({"a": "fp", "b": "root"})
+    return nodes.join(joined, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, length: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every document."""
     printed = materialize(fingerprints(docs, length), "simhash")
-    nodes = printed.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    joined = components(links(nodes, radius)).withColumnsRenamed({"a": "fp", "b": "root"})
-    named = nodes.join(joined, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = _rooted(printed.groupBy("fp").agg(F.min("doc_id").alias("least_id")), radius)
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = named.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return printed.join(named, "fp").select(
@@ -157,10 +162,15 @@ def near_duplicates(docs: DataFrame, length: int = 3, radius: int = 2) -> DataFr
 def without_copies(docs: DataFrame, length: int = 3, radius: int = 2) -> DataFrame:
     """One document of each component, that with the smallest id, with the columns of ``docs``.
 
-    Of rows that share an id the first in the order of their columns stays.
+    Null ids come after all others. Rows are told apart by id and text: of a component's
+    rows of the smallest id that with the least digest of its text stays, and of rows
+    equal in both the first in the order of their columns.
     """
     columns = docs.columns
-    kept = near_duplicates(docs, length, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select("doc_id").distinct()
-    rows = joined_null_safe(docs, kept, ["doc_id"], "left_semi")
-    return rows.groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("doc")).select("doc.*")
+    rows = docs.withColumn("__digest", digest_of(docs))
+    printed = materialize(fingerprints(rows, length, ("doc_id", "__digest")), "simhash")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__digest")
+    named = _rooted(printed.groupBy("fp").agg(F.min(first).alias("first")), radius)
+    kept = named.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.__digest")
+    rows = joined_null_safe(rows, kept, ["doc_id", "__digest"], "left_semi")
+    return rows.groupBy("doc_id", "__digest").agg(F.min(F.struct(*columns)).alias("doc")).select("doc.*")

@@ -288,6 +288,16 @@ def test_every_pair_within_the_radius_meets_in_a_table():
             assert any(m & difference == 0 for m in masks)
 
 
+def test_rows_of_one_id_compete_only_in_their_component(spark):
+    common.send_code(spark)
+    texts = {c: " ".join(f"{c}{i}" for i in range(40)) for c in "abcdefg"}
+    rows = [(None, texts["a"]), (None, texts["b"]), (None, texts["b"]), (3, texts["c"]), (7, texts["c"]), (7, texts["d"])]
+    rows += [(8, texts["e"]), (8, texts["f"]), (None, texts["f"]), (9, texts["g"]), (9, texts["g"])]
+    kept = op4_simhash.without_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    expected = [(None, "a"), (None, "b"), (3, "c"), (7, "d"), (8, "e"), (8, "f"), (9, "g")]
+    assert sorted(map(str, map(tuple, kept))) == sorted(str((i, texts[c])) for i, c in expected)
+
+
 # Substrings
 
 
