@@ -16,7 +16,12 @@ their different shingles.
    block (RADIUS < BLOCKS * (NEAR + 1)). Each item stands in the index of each
    block at every value that is so near to its own; a window looks up its own
    four values, among items of its size. All pairs within the radius are found.
-4. Each pair is verified by its exact weighted similarity on the shingles' words.
+4. Fingerprints may differ in more bits than that at any similarity below 1. So a
+   window is also paired with each item of its size that has a rare shingle in the
+   document: the item's shingles from the least common in the benchmark on, until
+   the others weigh less than ``least`` of the item. Whatever is as similar as
+   ``least`` shares one of them, so no window that is laid is lost.
+5. Each pair is verified by its exact weighted similarity on the shingles' words.
 
 A document with fewer words than the item is one window. Null, empty and wordless
 texts and items match nothing. Repeated items are items of their own. Rows of equal
@@ -28,7 +33,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.llm.common import joined_null_safe, text_of
@@ -114,16 +119,35 @@ def _may_be_in(filter_: Column, h: Column) -> Column:
     return hit
 
 
-def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The windows of item size that line up with an item at a shared shingle: row id, start, size, words."""
+def rare_shingles(items: DataFrame, k: int, least: tuple[int, int]) -> DataFrame:
+    """item_id, size and hash ``h`` of the shingles of which a text as similar to the item as ``least`` has one.
+
+    Shingles stand from the most common one on; if all before one and itself weigh
+    less than ``least`` of the item, they cannot make up the similarity alone.
+    """
+    each = items.select("item_id", "size", "w", F.posexplode(shingle_hashes(k)).alias("at", "h"))
+    weight = F.length(F.array_join(F.slice("w", F.col("at") + 1, k), " ")).cast("bigint")
+    each = each.select("item_id", "size", "h", weight.alias("n")).distinct()
+    each = each.join(each.groupBy("h").agg(F.count("*").alias("often")), "h")
+    of_item = Window.partitionBy("item_id", "size")
+    upto = of_item.orderBy(F.desc("often"), "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.withColumn("rest", F.sum("n").over(upto)).withColumn("whole", F.sum("n").over(of_item))
+    return each.where(F.col("rest") * least[1] >= F.col("whole") * least[0]).select("item_id", "size", "h")
+
+
+def windows(docs: DataFrame, items: DataFrame, least: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """The windows of item size that line up with an item at a shared shingle: row id, start, size, words.
+
+    Also the pairs of rows and items that share a rare shingle: row, item_id, size.
+    """
     lengths = sorted(r[0] for r in items.select("k").distinct().collect())  # at most SHINGLE numbers
-    found = None
+    found = met = None
     # The ids also keep filters from being moved below the projections that make arrays,
     # where they would make them again for every element they look at.
     number = F.monotonically_increasing_id()
     texts = docs.select("doc_id", normalized_words(text_of(docs)).alias("w"), number.alias("row"))
     for k in lengths:
-        of_k = items.where(F.col("k") == k).select("size", "w")
+        of_k = items.where(F.col("k") == k).select("item_id", "size", "w")
         places = of_k.select("size", F.posexplode(shingle_hashes(k)).alias("at", "h")).distinct()
         filter_ = shingle_filter(places.select("h").distinct())
         hits = F.transform(shingle_hashes(k), lambda h, i: F.struct(h.alias("h"), i.alias("p")))
@@ -134,8 +158,9 @@ def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
         start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("at"), F.col("n") - F.col("size")))
         laid = at.join(places, "h").select("row", "size", start.alias("start"))
         laid = laid.distinct().groupBy("row").agg(F.collect_list(F.struct("size", "start")).alias("laid"))
-        cut = rows.select("row", "doc_id", "w").join(laid, "row").select("doc_id", "w", F.explode("laid").alias("x"))
+        cut = rows.select("row", "doc_id", "w").join(laid, "row").select("row", "doc_id", "w", F.explode("laid").alias("x"))
         cut = cut.select(
+            "row",
             "doc_id",
             F.col("x.start").alias("start"),
             F.col("x.size").alias("size"),
@@ -143,10 +168,14 @@ def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
             F.slice("w", F.col("x.start") + 1, F.col("x.size")).alias("w"),
         )
         found = cut if found is None else found.unionAll(cut)
+        rare = rare_shingles(of_k, k, least)
+        near_items = at.select("row", "h").distinct().join(rare, "h").select("row", "item_id", "size").distinct()
+        met = near_items if met is None else met.unionAll(near_items)
     if found is None:
         none = [F.lit(0).alias(name) for name in ("start", "size", "k")]
-        found = texts.where("false").select("doc_id", *none, "w")
-    return found
+        found = texts.where("false").select("row", "doc_id", *none, "w")
+        met = items.where("false").select(F.lit(0).cast("bigint").alias("row"), "item_id", "size")
+    return found, met
 
 
 def _block(fp: Column, b: int) -> Column:
@@ -169,8 +198,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: tuple[int, int] = (4, 5)
     ``least``: the least similarity, as a fraction.
     """
     items = prepared_items(benchmark)
-    cut = windows(docs, items).withColumn("shingles", shingle_texts(F.col("w"), F.col("k")))
-    cut = cut.select("doc_id", "start", "size", F.size("w").alias("n_words"), "shingles")
+    cut, met = windows(docs, items, least)
+    cut = cut.withColumn("shingles", shingle_texts(F.col("w"), F.col("k")))
+    cut = cut.select("row", "doc_id", "start", "size", F.size("w").alias("n_words"), "shingles")
     cut = cut.withColumn("fp", simhash(F.col("shingles")))
     masks = F.array(*(F.lit(m).cast("bigint") for m in near_masks(64 // BLOCKS, NEAR)))
     index = items.select("item_id", "size", F.col("fp").alias("item_fp"), _blocks(F.col("fp")).alias("x"))
@@ -183,9 +213,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: tuple[int, int] = (4, 5)
     looked = cut.select("window", "size", "fp", _blocks(F.col("fp")).alias("x")).select("window", "size", "fp", "x.block", "x.value")
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     pairs = looked.join(index, ["size", "block", "value"]).where(distance <= RADIUS)
-    pairs = pairs.select("window", "item_id", distance.alias("distance")).distinct()
-    of_items = items.select("item_id", "size", F.col("shingles").alias("item_shingles"))
-    both = pairs.join(cut, "window").join(of_items, ["item_id", "size"])
+    pairs = pairs.select("window", "item_id", "size")
+    more = cut.select("window", "row", "size").join(met, ["row", "size"]).select("window", "item_id", "size")
+    pairs = pairs.unionAll(more).distinct()
+    of_items = items.select("item_id", "size", F.col("fp").alias("item_fp"), F.col("shingles").alias("item_shingles"))
+    both = pairs.join(cut.drop("size"), "window").join(of_items, ["item_id", "size"]).withColumn("distance", distance)
     weight = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda n, s: n + F.length(s))
     both = both.withColumn("shared", weight(F.array_intersect("shingles", "item_shingles")))
     both = both.withColumn("whole", weight(F.col("shingles")) + weight(F.col("item_shingles")) - F.col("shared"))

@@ -205,6 +205,32 @@ def test_leaks_equal_brute_force(spark):
     assert len(expected) > 30 and all(r["distance"] <= op2_decontamination.RADIUS for r in found)
 
 
+def test_pairs_beyond_the_radius_are_found(spark):
+    """Windows of 59 words with the words changed that leave a similarity near 0.8: some fingerprints are far."""
+    from random import Random
+
+    random = Random(11)
+    say = lambda n: [f"{random.randrange(10**6)}{random.choice('abcdef') * random.randrange(1, 5)}" for _ in range(n)]
+    items, docs = [], []
+    for i in range(800):
+        words = say(59)
+        items.append((i, " ".join(words)))
+        changed = list(words)
+        changed[random.randrange(4, 55)] = "x"
+        docs.append((i, " ".join(changed)))
+    expected = {}
+    for (i, a), (_, b) in zip(items, docs, strict=True):
+        x, y = ({" ".join(t[j : j + 5]) for j in range(55)} for t in (a.split(), b.split()))
+        shared, whole = (sum(map(len, z)) for z in (x & y, x | y))
+        if shared * 5 >= whole * 4:
+            expected[i, i] = shared / whole
+    found = op2_decontamination.leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in found} == pytest.approx(expected)
+    assert any(r["distance"] > op2_decontamination.RADIUS for r in found)
+
+
 def test_multi_index_finds_all_within_the_radius():
     from random import Random
 
