@@ -24,9 +24,9 @@ their different shingles.
 5. Each pair is verified by its exact weighted similarity on the shingles' words.
 
 A document with fewer words than the item is one window. Null, empty and wordless
-texts and items match nothing. Repeated items are items of their own. Rows of equal
-id are searched separately; the best window of an id counts. Extra columns are
-ignored.
+texts and items match nothing; a null item_id is an id like any other. Repeated items
+are items of their own. Rows of equal id are searched separately; the best window of
+an id counts. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -94,6 +94,8 @@ def prepared_items(benchmark: DataFrame) -> DataFrame:
     # Equal items of one id, if any, would only repeat the result.
     items = items.distinct().withColumn("size", F.size("w")).withColumn("k", F.least(F.col("size"), F.lit(SHINGLE)))
     items = items.withColumn("shingles", shingle_texts(F.col("w"), F.col("k")))
+    # Ids may be null or repeat, so stored items have a number of their own.
+    items = items.withColumn("item", F.monotonically_increasing_id())
     return materialize(items.withColumn("fp", simhash(F.col("shingles"))), "benchmark-items")
 
 
@@ -120,25 +122,25 @@ def _may_be_in(filter_: Column, h: Column) -> Column:
 
 
 def rare_shingles(items: DataFrame, k: int, least: tuple[int, int]) -> DataFrame:
-    """item_id, size and hash ``h`` of the shingles of which a text as similar to the item as ``least`` has one.
+    """item, size and hash ``h`` of the shingles of which a text as similar to the item as ``least`` has one.
 
     Shingles stand from the most common one on; if all before one and itself weigh
     less than ``least`` of the item, they cannot make up the similarity alone.
     """
-    each = items.select("item_id", "size", "w", F.posexplode(shingle_hashes(k)).alias("at", "h"))
+    each = items.select("item", "size", "w", F.posexplode(shingle_hashes(k)).alias("at", "h"))
     weight = F.length(F.array_join(F.slice("w", F.col("at") + 1, k), " ")).cast("bigint")
-    each = each.select("item_id", "size", "h", weight.alias("n")).distinct()
+    each = each.select("item", "size", "h", weight.alias("n")).distinct()
     each = each.join(each.groupBy("h").agg(F.count("*").alias("often")), "h")
-    of_item = Window.partitionBy("item_id", "size")
+    of_item = Window.partitionBy("item", "size")
     upto = of_item.orderBy(F.desc("often"), "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     each = each.withColumn("rest", F.sum("n").over(upto)).withColumn("whole", F.sum("n").over(of_item))
-    return each.where(F.col("rest") * least[1] >= F.col("whole") * least[0]).select("item_id", "size", "h")
+    return each.where(F.col("rest") * least[1] >= F.col("whole") * least[0]).select("item", "size", "h")
 
 
 def windows(docs: DataFrame, items: DataFrame, least: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """The windows of item size that line up with an item at a shared shingle: row id, start, size, words.
 
-    Also the pairs of rows and items that share a rare shingle: row, item_id, size.
+    Also the pairs of rows and items that share a rare shingle: row, item, size.
     """
     lengths = sorted(r[0] for r in items.select("k").distinct().collect())  # at most SHINGLE numbers
     found = met = None
@@ -147,7 +149,7 @@ def windows(docs: DataFrame, items: DataFrame, least: tuple[int, int]) -> tuple[
     number = F.monotonically_increasing_id()
     texts = docs.select("doc_id", normalized_words(text_of(docs)).alias("w"), number.alias("row"))
     for k in lengths:
-        of_k = items.where(F.col("k") == k).select("item_id", "size", "w")
+        of_k = items.where(F.col("k") == k).select("item", "size", "w")
         places = of_k.select("size", F.posexplode(shingle_hashes(k)).alias("at", "h")).distinct()
         filter_ = shingle_filter(places.select("h").distinct())
         hits = F.transform(shingle_hashes(k), lambda h, i: F.struct(h.alias("h"), i.alias("p")))
@@ -169,12 +171,12 @@ def windows(docs: DataFrame, items: DataFrame, least: tuple[int, int]) -> tuple[
         )
         found = cut if found is None else found.unionAll(cut)
         rare = rare_shingles(of_k, k, least)
-        near_items = at.select("row", "h").distinct().join(rare, "h").select("row", "item_id", "size").distinct()
+        near_items = at.select("row", "h").distinct().join(rare, "h").select("row", "item", "size").distinct()
         met = near_items if met is None else met.unionAll(near_items)
     if found is None:
         none = [F.lit(0).alias(name) for name in ("start", "size", "k")]
         found = texts.where("false").select("row", "doc_id", *none, "w")
-        met = items.where("false").select(F.lit(0).cast("bigint").alias("row"), "item_id", "size")
+        met = items.where("false").select(F.lit(0).cast("bigint").alias("row"), "item", "size")
     return found, met
 
 
@@ -203,21 +205,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: tuple[int, int] = (4, 5)
     cut = cut.select("row", "doc_id", "start", "size", F.size("w").alias("n_words"), "shingles")
     cut = cut.withColumn("fp", simhash(F.col("shingles")))
     masks = F.array(*(F.lit(m).cast("bigint") for m in near_masks(64 // BLOCKS, NEAR)))
-    index = items.select("item_id", "size", F.col("fp").alias("item_fp"), _blocks(F.col("fp")).alias("x"))
-    index = index.select("item_id", "size", "item_fp", "x.block", F.col("x.value").alias("own"), F.explode(masks).alias("mask"))
+    index = items.select("item", "size", F.col("fp").alias("item_fp"), _blocks(F.col("fp")).alias("x"))
+    index = index.select("item", "size", "item_fp", "x.block", F.col("x.value").alias("own"), F.explode(masks).alias("mask"))
     value = F.col("own").bitwiseXOR(F.col("mask"))
-    index = index.select("item_id", "size", "item_fp", "block", value.alias("value"))
+    index = index.select("item", "size", "item_fp", "block", value.alias("value"))
     # Stored, so that its size is known when the join is planned.
     index = materialize(index, "benchmark-index")
     cut = materialize(cut.withColumn("window", F.monotonically_increasing_id()), "benchmark-windows")
     looked = cut.select("window", "size", "fp", _blocks(F.col("fp")).alias("x")).select("window", "size", "fp", "x.block", "x.value")
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     pairs = looked.join(index, ["size", "block", "value"]).where(distance <= RADIUS)
-    pairs = pairs.select("window", "item_id", "size")
-    more = cut.select("window", "row", "size").join(met, ["row", "size"]).select("window", "item_id", "size")
+    pairs = pairs.select("window", "item", "size")
+    more = cut.select("window", "row", "size").join(met, ["row", "size"]).select("window", "item", "size")
     pairs = pairs.unionAll(more).distinct()
-    of_items = items.select("item_id", "size", F.col("fp").alias("item_fp"), F.col("shingles").alias("item_shingles"))
-    both = pairs.join(cut.drop("size"), "window").join(of_items, ["item_id", "size"]).withColumn("distance", distance)
+    of_items = items.select("item", "item_id", F.col("fp").alias("item_fp"), F.col("shingles").alias("item_shingles"))
+    both = pairs.join(cut.drop("size"), "window").join(of_items, "item").withColumn("distance", distance)
     weight = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda n, s: n + F.length(s))
     both = both.withColumn("shared", weight(F.array_intersect("shingles", "item_shingles")))
     both = both.withColumn("whole", weight(F.col("shingles")) + weight(F.col("item_shingles")) - F.col("shared"))

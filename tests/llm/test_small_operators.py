@@ -231,6 +231,17 @@ def test_pairs_beyond_the_radius_are_found(spark):
     assert any(r["distance"] > op2_decontamination.RADIUS for r in found)
 
 
+def test_items_without_an_id_are_found(spark):
+    passages = {c: " ".join(f"{c}{i}" for i in range(20)) for c in "abc"}
+    items = [(None, passages["a"]), (None, passages["b"]), (1, passages["c"]), (None, None)]
+    docs = [(i, f"some words {passages[c]} and others") for i, c in enumerate("abcc")] + [(9, "some words and others")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["similarity"] for r in op2_decontamination.leaks(docs, items).collect()}
+    assert found == {(0, None): 1, (1, None): 1, (2, 1): 1, (3, 1): 1}
+    assert [r["doc_id"] for r in op2_decontamination.clean(docs, items).collect()] == [9]
+
+
 def test_multi_index_finds_all_within_the_radius():
     from random import Random
 
