@@ -36,7 +36,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termweave.llm.common import joined_null_safe, text_of
+from termweave.llm.common import digest_of, joined_null_safe, text_of
 from termweave.storage import materialize
 
 SHINGLE = 5
@@ -147,23 +147,25 @@ def windows(docs: DataFrame, items: DataFrame, least: tuple[int, int]) -> tuple[
     # The ids also keep filters from being moved below the projections that make arrays,
     # where they would make them again for every element they look at.
     number = F.monotonically_increasing_id()
-    texts = docs.select("doc_id", normalized_words(text_of(docs)).alias("w"), number.alias("row"))
+    texts = docs.select("doc_id", digest_of(docs).alias("digest"), normalized_words(text_of(docs)).alias("w"), number.alias("row"))
     for k in lengths:
         of_k = items.where(F.col("k") == k).select("item", "size", "w")
         places = of_k.select("size", F.posexplode(shingle_hashes(k)).alias("at", "h")).distinct()
         filter_ = shingle_filter(places.select("h").distinct())
         hits = F.transform(shingle_hashes(k), lambda h, i: F.struct(h.alias("h"), i.alias("p")))
         near = F.filter(hits, lambda x: _may_be_in(filter_, x["h"]))
-        rows = texts.select("doc_id", "w", "row", near.alias("near"), number.alias("barrier"))
+        rows = texts.select("doc_id", "digest", "w", "row", near.alias("near"), number.alias("barrier"))
         rows = materialize(rows.where(F.size("near") > 0).drop("barrier"), "benchmark-near")
         at = rows.select("row", F.size("w").alias("n"), F.explode("near").alias("x")).select("row", "n", "x.h", "x.p")
         start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("at"), F.col("n") - F.col("size")))
         laid = at.join(places, "h").select("row", "size", start.alias("start"))
         laid = laid.distinct().groupBy("row").agg(F.collect_list(F.struct("size", "start")).alias("laid"))
-        cut = rows.select("row", "doc_id", "w").join(laid, "row").select("row", "doc_id", "w", F.explode("laid").alias("x"))
+        cut = rows.select("row", "doc_id", "digest", "w").join(laid, "row")
+        cut = cut.select("row", "doc_id", "digest", "w", F.explode("laid").alias("x"))
         cut = cut.select(
             "row",
             "doc_id",
+            "digest",
             F.col("x.start").alias("start"),
             F.col("x.size").alias("size"),
             F.lit(k).alias("k"),
@@ -175,7 +177,7 @@ def windows(docs: DataFrame, items: DataFrame, least: tuple[int, int]) -> tuple[
         met = near_items if met is None else met.unionAll(near_items)
     if found is None:
         none = [F.lit(0).alias(name) for name in ("start", "size", "k")]
-        found = texts.where("false").select("row", "doc_id", *none, "w")
+        found = texts.where("false").select("row", "doc_id", "digest", *none, "w")
         met = items.where("false").select(F.lit(0).cast("bigint").alias("row"), "item", "size")
     return found, met
 
@@ -194,15 +196,12 @@ def near_masks(width: int, most: int) -> list[int]:
     return [sum(1 << i for i in c) for n in range(most + 1) for c in combinations(range(width), n)]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, least: tuple[int, int] = (4, 5)) -> DataFrame:
-    """doc_id, item_id, start, n_words, similarity and distance of the best window of each contaminated pair.
-
-    ``least``: the least similarity, as a fraction.
-    """
+def alike(docs: DataFrame, benchmark: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """All laid windows, with doc_id and ``digest`` of their text, and items that are as similar as ``least``."""
     items = prepared_items(benchmark)
     cut, met = windows(docs, items, least)
     cut = cut.withColumn("shingles", shingle_texts(F.col("w"), F.col("k")))
-    cut = cut.select("row", "doc_id", "start", "size", F.size("w").alias("n_words"), "shingles")
+    cut = cut.select("row", "doc_id", "digest", "start", "size", F.size("w").alias("n_words"), "shingles")
     cut = cut.withColumn("fp", simhash(F.col("shingles")))
     masks = F.array(*(F.lit(m).cast("bigint") for m in near_masks(64 // BLOCKS, NEAR)))
     index = items.select("item", "size", F.col("fp").alias("item_fp"), _blocks(F.col("fp")).alias("x"))
@@ -223,7 +222,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: tuple[int, int] = (4, 5)
     weight = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda n, s: n + F.length(s))
     both = both.withColumn("shared", weight(F.array_intersect("shingles", "item_shingles")))
     both = both.withColumn("whole", weight(F.col("shingles")) + weight(F.col("item_shingles")) - F.col("shared"))
-    alike = both.where(F.col("shared") * least[1] >= F.col("whole") * least[0])
+    return both.where(F.col("shared") * least[1] >= F.col("whole") * least[0])
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, least: tuple[int, int] = (4, 5)) -> DataFrame:
+    """doc_id, item_id, start, n_words, similarity and distance of the best window of each contaminated pair.
+
+    ``least``: the least similarity, as a fraction.
+    """
     best = F.max(
         F.struct(
             (F.col("shared") / F.col("whole")).alias("similarity"),
@@ -232,7 +238,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: tuple[int, int] = (4, 5)
             "n_words",
         )
     )
-    return alike.groupBy("doc_id", "item_id").agg(best.alias("b")).select(
+    return alike(docs, benchmark, least).groupBy("doc_id", "item_id").agg(best.alias("b")).select(
         "doc_id",
         "item_id",
         (-F.col("b.first")).alias("start"),
@@ -242,6 +248,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: tuple[int, int] = (4, 5)
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a benchmark passage, with the columns of ``docs``."""
-    return joined_null_safe(docs, leaks(docs, benchmark).select("doc_id").distinct(), ["doc_id"], "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, least: tuple[int, int] = (4, 5)) -> DataFrame:
+    """The documents without a benchmark passage, with the columns of ``docs``; rows of one id are told apart by text."""
+    found = alike(docs, benchmark, least).select("doc_id", F.col("digest").alias("__digest")).distinct()
+    rows = docs.withColumn("__digest", digest_of(docs))
+    return joined_null_safe(rows, found, ["doc_id", "__digest"], "left_anti").drop("__digest")

@@ -242,6 +242,15 @@ def test_items_without_an_id_are_found(spark):
     assert [r["doc_id"] for r in op2_decontamination.clean(docs, items).collect()] == [9]
 
 
+def test_clean_rows_of_a_contaminated_id_stay(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(None, f"so {passage} on"), (None, "a clean text"), (None, None), (5, passage), (5, "also clean"), (6, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    kept = op2_decontamination.clean(docs, items).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, rows[1:3] + rows[4:]))
+
+
 def test_multi_index_finds_all_within_the_radius():
     from random import Random
 
