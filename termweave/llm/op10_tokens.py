@@ -26,6 +26,7 @@ tokenizers library has it by default. Other columns of the input are ignored.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -54,6 +55,8 @@ END_ID = 2
 #: Word pieces a worker keeps between texts; forgetting them costs time only.
 CACHED_PIECES = 1_000_000
 SLICE_CHARS = 1 << 21
+#: A space beside white space, which the tokenizer may take as one run.
+SPACE_RUN = re.compile(r"\s(?: |(?<= )\s)")
 
 
 def pack_block(ids: np.ndarray) -> bytes:
@@ -178,10 +181,11 @@ class Encoder:
     """Ids of many texts by a byte-level BPE tokenizer of the tokenizers library.
 
     Its merges never cross the border before a single space that stands between
-    two other characters, so a text is the sequence of the pieces between such
-    spaces, and each different piece is encoded once. New pieces are encoded
-    together and told apart by the ids that begin with a space. Texts with runs of
-    spaces, spaces at an end or special tokens are encoded whole.
+    two characters that are not white space, so a text is the sequence of the pieces
+    between such spaces, and each different piece is encoded once. New pieces are
+    encoded together and told apart by the ids that begin with a space. Texts with a
+    space at an end or beside other white space (of Unicode, no-break spaces too),
+    and those with special tokens, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -214,7 +218,7 @@ class Encoder:
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts)])
 
     def _whole(self, text: str) -> bool:
-        return not text or "  " in text or text[0] == " " or text[-1] == " " or any(s in text for s in self.special)
+        return not text or text[0] == " " or text[-1] == " " or SPACE_RUN.search(text) is not None or any(s in text for s in self.special)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         whole = [i for i, t in enumerate(texts) if self._whole(t)]

@@ -73,6 +73,18 @@ def test_encoder_equals_the_library():
     assert [x.tolist() for x in encoder.encode(texts)] == expected  # pieces are known by now
 
 
+def test_encoder_equals_the_library_beside_any_white_space():
+    picks = random.Random(2)
+    texts = ["a \u00a0\u00a0 b", "a \u00a0 b", "x\u00a0 \u00a0y", "c \u3000\u3000d", "n\n \n m", "b\u00a0\u00a0", "\u00a0\u00a0b c"]
+    spaces = " \u00a0\u2003\u2028\u3000\u0085\x1c\n\t\u200b"
+    texts += ["".join(picks.choice(spaces + "  \u00a0\u00a0ab1'.é") for _ in range(picks.randrange(40))) for _ in range(2000)]
+    # Every character of the first plane beside a space.
+    texts += [f"a {chr(c) * 2}b {chr(c)} c{chr(c)} d" for c in range(1 << 16) if not 0xD800 <= c < 0xE000]
+    encoder = op10_tokens.Encoder(PATH)
+    expected = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in encoder.encode(texts)] == expected
+
+
 def test_token_files_of_odd_rows(spark):
     common.send_code(spark)
     rows = [(5, "five words are in here"), (1, None), (3, ""), (2, "long " * 20_000), (None, "no id"), (5, "a second five")]
