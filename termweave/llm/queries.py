@@ -16,9 +16,13 @@ from termweave.llm import (
     op8_suffixes,
     op9_quality,
     op10_tokens,
+    op11_lexical,
+    op12_counts,
+    op13_manifest,
     sql,
 )
 from termweave.llm.common import table
+from termweave.storage import fresh_path
 
 
 def op1_toxicity_scores(spark, sf_dir):
@@ -58,6 +62,19 @@ def op10_token_files(spark, sf_dir):
     return op10_tokens.token_files(spark, table(spark, sf_dir, "documents"), path)
 
 
+def op11_lexical_search(spark, sf_dir):
+    return op11_lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_counts(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return op12_counts.count_tokens(table(spark, sf_dir, "documents"), path, fresh_path(spark, "token-counts"))
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    return op13_manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark, sf_dir):
     found = op3_lines.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -76,6 +93,9 @@ QUERIES = {
         op8_byte_dedup,
         op9_quality_rules,
         op10_token_files,
+        op11_lexical_search,
+        op12_token_counts,
+        op13_merkle_manifest,
     )
 }
 
@@ -85,4 +105,6 @@ SQL: dict[str, str] = {
     "op6_substring_dedup": sql.SUBSTRINGS,
     "op7_source_mix": sql.MIX,
     "op9_quality_rules": sql.QUALITY,
+    "op11_lexical_search": sql.LEXICAL,
+    "op13_merkle_manifest": sql.MANIFEST,
 }

@@ -111,3 +111,80 @@ QUALITY = rf"""
     SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
            NOT base_failed AND coalesce(ok, false) AS kept
     FROM judged j LEFT JOIN within i ON i.doc_id = j.doc_id"""
+
+LEXICAL = r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+    i AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+    asked AS (SELECT item_id, term, count(*)::BIGINT AS times FROM i GROUP BY ALL),
+    size AS (SELECT count_if(len(terms) > 0)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS length FROM d),
+    tf AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d)
+           GROUP BY ALL),
+    w AS (SELECT term, floor(1000.0::DOUBLE * ln((2.0::DOUBLE * any_value(n_docs) + 2.0::DOUBLE) / (2.0::DOUBLE * count(*) + 1.0::DOUBLE)))::BIGINT AS w
+          FROM tf, size GROUP BY term),
+    scored AS (SELECT item_id, doc_id,
+                      sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // length))))::BIGINT AS score
+               FROM asked JOIN tf USING (term) JOIN w USING (term), size GROUP BY item_id, doc_id),
+    ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+               FROM scored WHERE score > 0)
+    SELECT * FROM ranked WHERE rank <= 20"""
+
+
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of an ASCII text, bit by bit."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c), 0, 0, 0, 0, 0, 0, 0]::BIGINT[]))"
+    step = "xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda a, b: {step}), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    fields = ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+def _levels(name: str, tree: str, levels: int) -> str:
+    """CTEs of ``levels`` levels above ``name``0 (tree, place, node, of): trees of one node stay as they are."""
+    parts = []
+    for i in range(1, levels + 1):
+        parts.append(f"""
+    {name}{i} AS (SELECT {tree}, place // 3 AS place, CASE WHEN any_value(of) = 1 THEN any_value(node)
+                         ELSE sha256(string_agg(node, '' ORDER BY place)) END AS node, (any_value(of) + 2) // 3 AS of
+                  FROM {name}{i - 1} GROUP BY {tree}, place // 3),""")
+    return "".join(parts)
+
+
+def _way(name: str, tree: str, levels: int, start: str) -> str:
+    """CTEs that carry rows (tree, place, proof, fold) of ``start`` up the levels of ``name``."""
+    parts, before = [], start
+    for i in range(levels):
+        parts.append(f"""
+    {start}_{i} AS (SELECT r.* REPLACE (r.place // 3 AS place, r.proof || coalesce(s.before, '') || coalesce(s.after, '') AS proof,
+                           CASE WHEN s.of = 1 THEN r.fold ELSE sha256(coalesce(s.before, '') || r.fold || coalesce(s.after, '')) END AS fold)
+                    FROM {before} r JOIN (
+                        SELECT a.{tree}, a.place, any_value(a.of) AS of, string_agg(b.node, '' ORDER BY b.place) FILTER (b.place < a.place) AS before,
+                               string_agg(b.node, '' ORDER BY b.place) FILTER (b.place > a.place) AS after
+                        FROM {name}{i} a JOIN {name}{i} b ON b.{tree} = a.{tree} AND b.place // 3 = a.place // 3 GROUP BY a.{tree}, a.place) s
+                    ON s.{tree} = r.{tree} AND s.place = r.place),""")
+        before = f"{start}_{i}"
+    return "".join(parts)
+
+
+#: Levels written out: sources of up to 3 ** 12 documents, and 3 ** 5 sources.
+_IN_SOURCE, _OF_SOURCES = 12, 5
+
+MANIFEST = f"""
+    WITH d AS (SELECT doc_id, coalesce('=' || source, '-') AS tree, {_leaf('text')} AS node,
+                      CASE WHEN {_crc32('doc_id::VARCHAR')} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf('text')} END AS shown
+               FROM documents),
+    n0 AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, node) - 1 AS place, count(*) OVER (PARTITION BY tree) AS of FROM d),
+    {_levels('n', 'tree', _IN_SOURCE)}
+    s0 AS (SELECT '' AS whole, tree, node, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS of FROM n{_IN_SOURCE}),
+    {_levels('s', 'whole', _OF_SOURCES)}
+    up AS (SELECT doc_id, tree, place, node AS leaf, '' AS proof, shown AS fold FROM n0),
+    {_way('n', 'tree', _IN_SOURCE, 'up')}
+    over AS (SELECT u.* REPLACE (s.place AS place), '' AS whole, s.node AS subroot FROM up_{_IN_SOURCE - 1} u JOIN s0 s ON s.tree = u.tree),
+    {_way('s', 'whole', _OF_SOURCES, 'over')}
+    root AS (SELECT node AS root FROM s{_OF_SOURCES})
+    SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified
+    FROM over_{_OF_SOURCES - 1}, root"""
