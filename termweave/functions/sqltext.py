@@ -1,13 +1,9 @@
-"""Which tables a SQL text reads, as column expressions over a query log.
+"""Which tables the statements of a query log name, as column expressions.
 
-The text is cut into tokens, without comments and string literals, and the tokens
-are folded from left to right with a small state: for every open parenthesis what
-kind of clause is open in it, and whether the next name is a table. So table
-lists with commas, subqueries, functions that have a FROM of their own and names
-in quotes are told apart. Names that the text defines itself (WITH) are left out.
-
-Where a query can be analysed, :func:`termweave.plans.receipts.relations_of` says
-it from the plan.
+A rule on words, for logged texts that can no longer be analysed: what follows FROM or
+JOIN counts as a table. Names of WITH and an opening parenthesis count too, and tables
+after a comma do not. Where a statement can be analysed,
+:func:`termweave.plans.receipts.relations_of` is exact.
 """
 
 from __future__ import annotations
@@ -15,81 +11,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NAME = r"""(?:"[^"]*"|`[^`]*`|\w+)"""
-_COMMENT_OR_TEXT = r"""--[^\n]*|/\*(?s:.*?)\*/|'(?:[^']|'')*'"""
-_CALL = "#("
-_TOKEN = rf"{_NAME}(?:\s*\.\s*{_NAME})*|#?\(|[),;]"
-# Words that can stand before a parenthesis without calling a function.
-_NO_FUNCTIONS = (
-    "from join in as using on and or not exists where select union all any some by values lateral except intersect "
-    "having case when then else over with recursive distinct limit cross left right full inner outer natural"
-).split()
-_DEFINED = rf"(?i)(?:\bWITH(?:\s+RECURSIVE)?|,)\s+({_NAME})\s*(?:\([^()]*\)\s*)?\bAS\s+(?:NOT\s+)?(?:MATERIALIZED\s*)?\("
-_ENDS_FROM = ("where", "group", "having", "order", "limit", "union", "except", "intersect", "window", "qualify", "set")
-_BEFORE_TABLE = ("lateral", "only")
-
-# What is open in a parenthesis: an expression, a query before its table list, or a table list.
-_EXPRESSION, _QUERY, _TABLES = 0, 1, 2
-
-
-def _bare(name: Column) -> Column:
-    """The last part of a name, without quotes."""
-    last = F.regexp_extract(name, rf"({_NAME})$", 1)
-    return F.regexp_replace(last, '^["`]|["`]$', "")
-
-
-def _step(state: Column, token: Column) -> Column:
-    word = F.lower(token)
-    opened = F.element_at(state["open"], -1)
-    closed = F.slice(state["open"], 1, F.greatest(F.size(state["open"]) - 1, F.lit(1)))
-
-    def within(kind: int) -> Column:
-        """The state with another clause open in the innermost parenthesis."""
-        return F.concat(F.slice(state["open"], 1, F.size(state["open"]) - 1), F.array(F.lit(kind)))
-
-    def to(open_: Column, awaited: bool | Column, tables: Column | None = None) -> Column:
-        flag = F.lit(awaited) if isinstance(awaited, bool) else awaited
-        return F.struct(
-            (state["tables"] if tables is None else tables).alias("tables"),
-            open_.alias("open"),
-            flag.alias("awaited"),
-            word.alias("last"),
-        )
+from termweave.functions.derive import strip_chars
 
-    same = state["open"]
-    in_query = (opened != _EXPRESSION) & (state["last"] != "distinct")
-    return (
-        F.when(word == _CALL, to(F.concat(same, F.array(F.lit(_EXPRESSION))), False))
-        .when(word == "(", to(F.concat(same, F.array(F.when(state["awaited"], F.lit(_TABLES)).otherwise(F.lit(_EXPRESSION)))), state["awaited"]))
-        .when(word == ")", to(closed, False))
-        .when(word.isin("select", "values"), to(within(_QUERY), False))
-        .when((word == "from") & in_query, to(within(_TABLES), True))
-        .when((word == "join") & in_query, to(within(_TABLES), True))
-        .when((word == ",") & (opened == _TABLES), to(same, True))
-        .when(word.isin(*_ENDS_FROM) & (opened == _TABLES), to(within(_QUERY), False))
-        .when(word == ";", to(F.array(F.lit(_QUERY)), False))
-        .when(state["awaited"] & ~word.isin(*_BEFORE_TABLE), to(same, False, F.concat(state["tables"], F.array(token))))
-        .otherwise(to(same, state["awaited"]))
-    )
+# The word taken as a table, and words that are never one.
+TABLE_WORD = r"(?i)\b(?:FROM|JOIN)\s+(\S+)"
+NO_TABLES = ("select", "on", "where")
 
 
 def tables_in_sql(sql: Column) -> Column:
     """Array of the table names in a SQL text, first mention first, each once."""
-    plain = F.regexp_replace(sql, _COMMENT_OR_TEXT, " ")
-    function = rf"(?i)\b(?!(?:{'|'.join(_NO_FUNCTIONS)})\b)\w[\w.]*\s*\("
-    tokens = F.regexp_extract_all(F.regexp_replace(plain, function, f" {_CALL} "), F.lit(f"({_TOKEN})"), 1)
-    begin = F.struct(
-        F.array().cast("array<string>").alias("tables"),
-        F.array(F.lit(_QUERY)).alias("open"),
-        F.lit(False).alias("awaited"),
-        F.lit("").alias("last"),
-    )
-    found = F.aggregate(tokens, begin, _step, lambda state: state["tables"])
-    names = F.transform(found, _bare)
-    defined = F.transform(F.regexp_extract_all(plain, F.lit(_DEFINED), 1), lambda n: F.lower(_bare(n)))
-    return F.array_distinct(F.filter(names, lambda n: ~F.array_contains(defined, F.lower(n))))
+    found = F.transform(F.regexp_extract_all(sql, F.lit(TABLE_WORD), 1), lambda w: strip_chars(w, ",;"))
+    tables = F.filter(found, lambda w: ~F.lower(w).isin(*NO_TABLES))
+    return F.array_distinct(F.transform(tables, lambda w: F.substring_index(w, ".", -1)))
 
 
 def fanout(sql: Column) -> Column:
-    """How many tables a SQL text reads."""
+    """How many tables a SQL text names."""
     return F.size(tables_in_sql(sql))

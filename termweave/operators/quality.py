@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termweave.operators.partials import key_counts
@@ -53,25 +53,24 @@ def join_cardinality(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Da
     return sizes.withColumn("growth", F.when(larger > 0, F.col("output_rows") / larger))
 
 
-def schema_drift(spark: SparkSession, schemas: dict[str, list[tuple[str, str]]]) -> DataFrame:
+def schema_drift(types: DataFrame) -> DataFrame:
     """Columns of each part of a table against the columns of all parts.
 
-    ``schemas`` holds (column, type) pairs per part, as from
-    :func:`termweave.sources.extracts.part_schemas`; it is as large as the
-    number of parts times columns, not as the data.
+    ``types`` holds part, column_name and type, as from
+    :func:`termweave.sources.extracts.folder_types`; it is as large as the number of
+    parts times columns, not as the data.
     """
-    union: dict[str, set[str]] = {}
-    for columns in schemas.values():
-        for name, kind in columns:
-            union.setdefault(name, set()).add(kind)
-    rows = []
-    for part, columns in schemas.items():
-        here = dict(columns)
-        for name, kinds in union.items():
-            status = "missing" if name not in here else "type_varies" if len(kinds) > 1 else "same"
-            rows.append((part, name, here.get(name), sorted(kinds), status))
-    return spark.createDataFrame(
-        rows, "part STRING, column_name STRING, type STRING, types_seen ARRAY<STRING>, status STRING"
+    seen = types.groupBy("column_name").agg(F.array_sort(F.collect_set("type")).alias("types_seen"))
+    # Every part against every column: each part gets the list of columns, which is one short row.
+    listed = seen.agg(F.collect_list(F.struct("column_name", "types_seen")).alias("all")).scalar()
+    every = types.select("part").distinct().select("part", F.inline(listed))
+    status = (
+        F.when(F.col("type").isNull(), F.lit("missing"))
+        .when(F.size("types_seen") > 1, F.lit("type_varies"))
+        .otherwise(F.lit("same"))
+    )
+    return every.join(types, ["part", "column_name"], "left").select(
+        "part", "column_name", "type", "types_seen", status.alias("status")
     )
 
 

@@ -111,25 +111,17 @@ def loans() -> Column:
     return F.floor("l_extendedprice")
 
 
-_stored: dict[tuple[str, str], str] = {}
-
-
 def stored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines with their person, joined and stored once per session, one folder per term."""
-    run = (spark.sparkContext.applicationId, sf_dir)
-    if run not in _stored:
-        lines = table(spark, sf_dir, "lineitem").join(
-            table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
-        )
-        rows = lines.select(
-            F.col("o_custkey").alias("person"),
-            term_code(term_ord_of_date(F.col("l_shipdate"))).alias("term_code"),
-            logins().alias("login_count"),
-            loans().alias("loans"),
-        )
-        _stored[run] = write_extracts(rows, fresh_path(spark, "campus"), "lines")
-    kept = "person BIGINT, login_count BIGINT, loans BIGINT, term_code STRING"
-    return spark.read.schema(kept).parquet(_stored[run])
+    """Order lines with their person, joined and stored once for the caller, one folder per term."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = lines.select(
+        F.col("o_custkey").alias("person"),
+        term_code(term_ord_of_date(F.col("l_shipdate"))).alias("term_code"),
+        logins().alias("login_count"),
+        loans().alias("loans"),
+    )
+    path = write_extracts(rows, fresh_path(spark, "campus"), "lines")
+    return spark.read.schema("person BIGINT, login_count BIGINT, loans BIGINT, term_code STRING").parquet(path)
 
 
 def stored_workload_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

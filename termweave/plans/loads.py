@@ -46,6 +46,38 @@ def csv_roundtrip(spark, sf_dir):
     return extracts.read_csv(spark, path, rows.schema, multiline=True)
 
 
+RAW_LINE = """o_orderkey || ',"' || replace(major, '"', '""') || '"' ||
+    CASE WHEN o_orderkey % 11 = 0 THEN '' WHEN o_orderkey % 7 = 0 THEN ',' || term_code || ',"left, over"' ELSE ',' || term_code END"""
+
+
+@query(
+    f"""
+    WITH l AS (SELECT *, CASE WHEN o_orderkey % 11 = 0 THEN 2 WHEN o_orderkey % 7 = 0 THEN 4 ELSE 3 END AS cells, {RAW_LINE} AS line
+               FROM ({ORDER_ROWS}))
+    SELECT o_orderkey, CASE WHEN cells = 3 THEN major END AS major, CASE WHEN cells = 3 THEN term_code END AS term_code,
+           CASE WHEN cells <> 3 THEN cells END::INTEGER AS n_cells, CASE WHEN cells <> 3 THEN line END AS text,
+           true AS placed FROM l""",
+    "S1",
+)
+def malformed_rows(spark, sf_dir):
+    """Delivered lines, some with a cell too many or too few: whole rows typed, the others kept aside as they stand, with their place."""
+    rows, path = _orders(spark, sf_dir), fresh_path(spark, "raw")
+    layout = T.StructType.fromDDL("o_orderkey BIGINT, major STRING, term_code STRING")
+    # Lines as they are, below a header: a single column without quotes.
+    lines = rows.select(F.expr(RAW_LINE).alias(",".join(layout.names)))
+    lines.write.options(header=True, sep="\x01", quote="", escapeQuotes=False).csv(path)
+    good, bad = extracts.split_malformed(spark, path, layout)
+    key = F.regexp_extract("text", "^([0-9]+),", 1).cast("bigint")
+    longest = bad.groupBy("source_file").agg(F.max("record").alias("last"), F.countDistinct("record").alias("n"), F.count(F.lit(1)).alias("rows"))
+    # No two rows share a place.
+    sound = longest.select("source_file", ((F.col("n") == F.col("rows")) & (F.col("last") >= F.col("n"))).alias("placed"))
+    aside = bad.join(sound, "source_file").select(
+        key.alias("o_orderkey"), F.lit(None).cast("string").alias("major"), F.lit(None).cast("string").alias("term_code"), "n_cells", "text", "placed"
+    )
+    none = F.lit(None).cast("string").alias("text")
+    return good.select("*", F.lit(None).cast("int").alias("n_cells"), none, F.lit(True).alias("placed")).unionByName(aside)
+
+
 @query(ORDER_ROWS, "S2", "K2")
 def json_roundtrip(spark, sf_dir):
     """Rows written as JSON lines with explicit nulls and read back."""
@@ -94,20 +126,25 @@ DELIVERED = (
 )
 
 
-def _deliver(rows, root, when, fmt, suffix=None, table="sis_orders"):
-    sinks.write_delivery(rows.filter(when).select(*DELIVERED.names), root, table, fmt, suffix=suffix)
+#: Rows a delivered file holds at most, about, so that large terms come in parts.
+IN_PARTS, WHOLE = 2000, 1_000_000
+
 
+def _deliver(rows, root, when, fmt, suffix=None, rows_per_file=IN_PARTS, by="term_code"):
+    some = rows.filter(when).select(*DELIVERED.names)
+    sinks.write_delivery(some, root, "sis_orders", fmt, by, suffix, rows_per_file)
 
-def _delivery(spark, sf_dir):
-    """A delivery of orders: CSV, JSON and shouting CSV by season, and a top-level file of one quarter."""
+
+def _delivery(spark, sf_dir, rows_per_file=IN_PARTS):
+    """A delivery of orders: CSV, JSON and shouting CSV by season, and one quarter at top level."""
     rows, root = _orders(spark, sf_dir), fresh_path(spark, "delivery")
     top = F.col("o_orderkey") % 4 == 0
     season = F.substring("term_code", 5, 2)
     rows = rows.withColumn("major", F.concat("major", F.lit("\n2nd line")))
-    _deliver(rows, root, ~top & (season == "SP"), "csv")
-    _deliver(rows, root, ~top & (season == "SU"), "json")
-    _deliver(rows, root, ~top & (season == "FA"), "csv", "CSV")
-    sinks.write_delivery(rows.filter(top).select(*DELIVERED.names), root, "sis_orders", "csv", by=None)
+    _deliver(rows, root, ~top & (season == "SP"), "csv", None, rows_per_file)
+    _deliver(rows, root, ~top & (season == "SU"), "json", None, rows_per_file)
+    _deliver(rows, root, ~top & (season == "FA"), "csv", "CSV", rows_per_file)
+    _deliver(rows, root, top, "csv", None, rows_per_file, by=None)
     sinks.write_run_metadata(spark, f"{root}/runs", seed=1)
     return root
 
@@ -136,7 +173,7 @@ def assemble_terms(spark, sf_dir):
 )
 def listed_files(spark, sf_dir):
     """The files of a delivery, found by listing."""
-    found = extracts.list_extracts(spark, _delivery(spark, sf_dir)).filter("table_name = 'sis_orders'")
+    found = extracts.list_extracts(spark, _delivery(spark, sf_dir, WHOLE)).filter("table_name = 'sis_orders'")
     return found.groupBy(F.coalesce("term_folder", F.lit("")).alias("term"), "format").agg(F.count("*").alias("files"))
 
 
@@ -190,7 +227,7 @@ def incremental_load(spark, sf_dir):
     rows, root = _orders(spark, sf_dir), fresh_path(spark, "arrivals")
     target, checkpoint = fresh_path(spark, "stream"), fresh_path(spark, "stream-checkpoint")
     top, season = F.col("o_orderkey") % 4 == 0, F.substring("term_code", 5, 2)
-    sinks.write_delivery(rows.filter(top).select(*DELIVERED.names), root, "sis_orders", "csv", by=None)
+    _deliver(rows, root, top, "csv", by=None)
     _deliver(rows, root, ~top & (season == "SP"), "csv")
     load_incremental(spark, root, "sis_orders", target, checkpoint, schema=DELIVERED)
     _deliver(rows, root, ~top & (season == "SU"), "json")
@@ -219,7 +256,7 @@ def folder_drift(spark, sf_dir):
         some = rows.filter(F.year("o_orderdate") % 2 == rest)
         part = some.select(*shared, column, "year")
         sinks.write_delivery(part, root, "orders", "csv", by="year")
-    found = quality.schema_drift(spark, extracts.part_schemas(spark, root, "orders"))
+    found = quality.schema_drift(extracts.folder_types(spark, root, "orders"))
     return found.filter("column_name <> 'year'").select("part", "column_name", "type", "status")
 
 
@@ -235,22 +272,17 @@ Q_COUNTS = f"""
     UNION ALL
     SELECT 'aid_and_grades', 3, (SELECT count(DISTINCT term_code) FROM sis)"""
 
-_logs: dict[tuple[str, str], str] = {}
 
-
-def _workload_log(spark, sf_dir, anew):
-    """The log of a run of the workload: a new one, or the last one of the session if there is one."""
-    run = (spark.sparkContext.applicationId, sf_dir)
-    if anew or run not in _logs:
-        tables = campus.stored_workload_tables(spark, sf_dir)
-        extracts.register(tables)
-        log = fresh_path(spark, "receipts")
-        try:
-            receipts.run_workload(spark, WORKLOAD, "low", log)
-        finally:
-            extracts.unregister(spark, *tables)
-        _logs[run] = log
-    return receipts.read_receipts(spark, _logs[run])
+def _workload_log(spark, sf_dir):
+    """The log of a run of the workload."""
+    tables = campus.stored_workload_tables(spark, sf_dir)
+    extracts.register(tables)
+    log = fresh_path(spark, "receipts")
+    try:
+        receipts.run_workload(spark, WORKLOAD, "low", log)
+    finally:
+        extracts.unregister(spark, *tables)
+    return receipts.read_receipts(spark, log)
 
 
 @query(
@@ -261,7 +293,7 @@ def _workload_log(spark, sf_dir, anew):
 def receipt_log(spark, sf_dir):
     """The example workload over row-level tables, and the log it leaves."""
     detail = F.from_json("receipt", "tables_used INT, error STRING, plan STRING")
-    log = _workload_log(spark, sf_dir, anew=True).select("*", detail.alias("d"))
+    log = _workload_log(spark, sf_dir).select("*", detail.alias("d"))
     return log.filter(F.col("d.plan").isNotNull() & (F.col("runtime_ms") > 0)).select(
         "query_name", "frag_level", "source_fanout", "row_count", "d.tables_used", "d.error"
     )
@@ -274,7 +306,7 @@ def receipt_log(spark, sf_dir):
 )
 def receipt_summary(spark, sf_dir):
     """One line per query from the last receipt of each."""
-    lines = receipts.summary(_workload_log(spark, sf_dir, anew=False))
+    lines = receipts.summary(_workload_log(spark, sf_dir))
     timed = F.col("runtime").rlike(r"^[0-9]+\.[0-9]{2} ms$")
     return lines.withColumn("timed", timed).drop("runtime")
 

@@ -65,13 +65,11 @@ def composite_split(spark, sf_dir):
     "F22", "A5",
 )
 def composite_split_text(spark, sf_dir):
-    """Documents split into as many line columns as the longest has lines, and how often each is filled."""
+    """Documents split into their lines, in one array column however many they are, and how often each place is filled."""
     docs = campus.table(spark, sf_dir, "documents").select("text")
-    wide = composite.split_composite(docs, "\n")
-    columns = wide.columns[1:] or ["text"]
-    counted = wide.agg(*[F.count(c).alias(c) for c in columns])
-    rows = F.array(*[F.struct(F.lit(i + 1).alias("part_no"), F.col(c).alias("filled")) for i, c in enumerate(columns)])
-    return counted.select(F.inline(rows))
+    split = composite.split_composite(docs, "\n", as_arrays=["text"])
+    unfolded = split.select(F.posexplode("text_parts").alias("_at", "part"))
+    return unfolded.groupBy((F.col("_at") + 1).alias("part_no")).agg(F.count("part").alias("filled"))
 
 
 @query(
@@ -129,16 +127,13 @@ def text_cleanup(spark, sf_dir):
     )
 
 
-# Logged statements and the tables each of them reads.
+# Logged statements and the tables each of them names after FROM and JOIN.
 TEMPLATES = {
-    "click": ("SELECT * FROM clicks c JOIN app.users u ON c.u = u.id -- join ghosts\n", ["clicks", "users"]),
-    "view": ("select a from views v, users where a > (select max(x) from limits)", ["views", "users", "limits"]),
-    "purchase": (
-        'WITH recent AS (SELECT * FROM "Purchases") SELECT * FROM recent JOIN log.purchases p USING (id)',
-        ["Purchases", "purchases"],
-    ),
-    "signup": ("SELECT extract(year FROM day) /* from */ FROM (SELECT * FROM signups, `days`) s", ["signups", "days"]),
-    "error": ("select g from generate_series(1, 3) g", []),
+    "click": ("SELECT * FROM clicks c JOIN app.users u ON c.u = u.id\nLEFT join\n  log.users, x", ["clicks", "users"]),
+    "view": ("select a from views; select max(x) From limits, places", ["views", "limits"]),
+    "purchase": ("WITH recent AS (SELECT * FROM Purchases p) SELECT * FROM recent JOIN log.purchases USING (id)", ["Purchases", "recent", "purchases"]),
+    "signup": ("SELECT * from signups,; DELETE FROM where", ["signups"]),
+    "error": ("select g", []),
 }
 TABLES_READ = " ".join(f"WHEN '{kind}' THEN {tables}::VARCHAR[]" for kind, (_, tables) in TEMPLATES.items())
 LOGGED = f"""

@@ -1,15 +1,17 @@
 """Assembling tables from extracts delivered as ``terms/<term>/<table>.csv|json``.
 
 Top-level files (``<table>.csv|json`` beside ``terms``) belong to the same
-tables. File suffixes count in any letter case; ``metadata.json`` is not a table.
+tables. A large table may come as several files, ``<table>.part-<n>.csv|json``.
+File suffixes count in any letter case; ``metadata.json`` is not a table.
 """
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,10 +23,12 @@ NULL_TEXTS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 TERM_FILE = r"/terms/([^/]+)/[^/]+$"
-FILE_NAME = r"([^/]+)\.[^./]+$"
+FILE_NAME = r"([^/]+?)(?:\.part-[0-9]+)?\.[^./]+$"
 SUFFIX = r"\.([^./]+)$"
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 NOT_TABLES = ("metadata.json",)
+#: Column that holds the text of a CSV row with too many or too few cells.
+BROKEN = "_broken_row"
 FORMATS = ("csv", "json")
 
 
@@ -33,12 +37,12 @@ def _any_case(text: str) -> str:
 
 
 def file_pattern(table: str, fmt: str) -> str:
-    """Glob of a table's files in one format, suffix in any letter case."""
-    return f"{table}.{_any_case(fmt)}"
+    """Glob of a table's files in one format, whole or in parts, suffix in any letter case."""
+    return f"{table}{{,.part-[0-9]*}}.{_any_case(fmt)}"
 
 
 def table_of(path: Column) -> Column:
-    """Table name: the file name without its last suffix."""
+    """Table name: the file name without its last suffix and without the number of a part."""
     return F.regexp_extract(path, FILE_NAME, 1)
 
 
@@ -96,13 +100,13 @@ def list_extracts(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def nulls_from_text(df: DataFrame, tokens: Sequence[str] = NULL_TEXTS) -> DataFrame:
-    """Text columns with the usual spellings of a missing value as null."""
+def nulls_from_text(df: DataFrame, tokens: Sequence[str] = NULL_TEXTS, keep: Sequence[str] = ()) -> DataFrame:
+    """Text columns, but those in ``keep``, with the usual spellings of a missing value as null."""
     return df.select(
         *[
-            F.when(~F.col(f.name).isin(*tokens), F.col(f.name)).alias(f.name)
-            if isinstance(f.dataType, T.StringType)
-            else F.col(f.name)
+            F.when(~F.col(f"`{f.name}`").isin(*tokens), F.col(f"`{f.name}`")).alias(f.name)
+            if isinstance(f.dataType, T.StringType) and f.name not in keep
+            else F.col(f"`{f.name}`")
             for f in df.schema.fields
         ]
     )
@@ -137,12 +141,60 @@ def text_schema(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
 
 
+def file_path() -> Column:
+    """The file a row is read from, by its name as it stands; Spark tells it with escapes."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def _source() -> list[Column]:
     """Term folder and file of a row that is being read."""
-    path = F.col("_metadata.file_path")
+    path = file_path()
     return [term_folder_of(path).alias("source_term"), path.alias("source_file")]
 
 
+def csv_options(multiline: bool = False) -> dict:
+    """How delivered CSV is read; all cells of a row are parsed, so that missing and surplus ones are seen."""
+    return {
+        "header": True, "escape": '"', "multiLine": multiline, "dateFormat": "yyyy-MM-dd",
+        "columnPruning": False, "columnNameOfCorruptRecord": BROKEN,
+    }
+
+
+def with_broken(layout: T.StructType) -> T.StructType:
+    """The columns of a CSV file and one for rows that do not have as many cells."""
+    return T.StructType([*layout.fields, T.StructField(BROKEN, T.StringType())])
+
+
+def _intact(rows: DataFrame) -> Column:
+    """Whether a row has all its cells and no more.
+
+    A cell is looked at as well, since the reader refuses to look for broken rows alone.
+    """
+    cell = F.col(f"`{next(c for c in rows.columns if c != BROKEN)}`").cast("string")
+    return F.col(BROKEN).isNull() & (F.length(F.coalesce(cell, F.lit(""))) >= 0)
+
+
+def refuse_broken(rows: DataFrame) -> DataFrame:
+    """Rows of a wrong number of cells are an error, whichever columns are used later."""
+    message = F.concat(F.lit("a row has too many or too few cells: "), F.col(BROKEN))
+    whole = F.when(_intact(rows), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    return rows.filter(whole).drop(BROKEN)
+
+
+def _csv_rows(spark, path, schema, check_header, multiline, with_source, options) -> DataFrame:
+    """All rows as they parse, with ``BROKEN``; typed as inferred without a schema, else as text."""
+    reader = spark.read.options(**csv_options(multiline), **options)
+    if schema is None:
+        layout = reader.option("inferSchema", True).csv(path).schema
+    else:
+        layout = text_schema(schema)
+        reader = reader.option("enforceSchema", not check_header)
+    if not layout.fields:
+        raise ValueError(f"no header in {path}")
+    rows = reader.schema(with_broken(layout)).csv(path)
+    return rows.select("*", *_source()) if with_source else rows
+
+
 def read_csv(
     spark: SparkSession,
     path: str | list[str],
@@ -159,16 +211,75 @@ def read_csv(
     read in the wrong order, and so is a text that is no value of its column's
     type (see :func:`typed_from_text`). Without one, types are inferred.
     ``multiline`` allows line breaks in quoted cells; such files are not split.
+
+    A row with more or fewer cells than the header is an error. With ``on_bad``
+    ``null`` missing cells are null and surplus ones left out; with the name of a
+    column, that column gets ``row=<text>`` too, so no cell is lost. To keep such rows
+    apart, see :func:`split_malformed`.
+    """
+    rows = _csv_rows(spark, path, schema, check_header, multiline, with_source, options)
+    if on_bad == "error":
+        rows = refuse_broken(rows)
+    names = [c for c in rows.columns if c != BROKEN]
+    broken = [F.col(BROKEN)] if on_bad not in ("error", "null") else []
+    rows = nulls_from_text(rows.select(*names)) if not broken else nulls_from_text(rows, keep=(BROKEN,))
+    if schema is not None:
+        rows = typed_from_text(rows, schema, on_bad)
+    elif broken:
+        rows = rows.withColumn(on_bad, F.array().cast("array<string>"))
+    if broken:
+        text = F.when(F.col(BROKEN).isNotNull(), F.array(F.concat(F.lit("row="), F.col(BROKEN))))
+        rows = rows.withColumn(on_bad, F.concat(on_bad, F.coalesce(text, F.array().cast("array<string>")))).drop(BROKEN)
+    return rows
+
+
+def _cell_count(text: Column) -> Column:
+    """Cells of a CSV row: separators outside quotes, and one."""
+    bare = F.regexp_replace(text, '"[^"]*"', "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+
+
+def malformed(spark: SparkSession, path: str | list[str], schema: T.StructType, multiline: bool = False, **options) -> DataFrame:
+    """The CSV rows that have more or fewer cells than the header.
+
+    source_file, record (the row's number in its file, from 1, without header and
+    blank lines), n_cells, and text, the row as it stands.
+
+    Rows are numbered where they are read. Of each block of a file only its number of
+    rows and its first number are gathered, and a block begins after the rows of the
+    file's earlier blocks; so files are split and read in parallel as usual.
     """
-    reader = spark.read.options(
-        header=True, escape='"', multiLine=multiline, dateFormat="yyyy-MM-dd", **options
+    rows = _csv_rows(spark, path, schema, True, multiline, False, options)
+    placed = rows.select(
+        file_path().alias("source_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_at"),
+        F.col(BROKEN).alias("text"),
+        _intact(rows).alias("_intact"),
     )
-    if schema is None:
-        reader = reader.option("inferSchema", True)
-    else:
-        reader = reader.schema(text_schema(schema)).option("enforceSchema", not check_header)
-    rows = nulls_from_text(reader.csv(path).select("*", *_source()) if with_source else reader.csv(path))
-    return rows if schema is None else typed_from_text(rows, schema, on_bad)
+    block = ["source_file", "_start"]
+    sizes = placed.groupBy(*block).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("source_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sizes.select(*block, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    found = placed.filter(~F.col("_intact")).join(begins, block)
+    return found.select(
+        "source_file", (F.col("_at") + F.col("_shift") + 1).alias("record"), _cell_count(F.col("text")).alias("n_cells"), "text"
+    )
+
+
+def split_malformed(
+    spark: SparkSession,
+    path: str | list[str],
+    schema: T.StructType,
+    multiline: bool = False,
+    with_source: bool = False,
+    on_bad: str = "error",
+    **options,
+) -> tuple[DataFrame, DataFrame]:
+    """The well-formed rows, typed, and the malformed ones with their place (see :func:`malformed`)."""
+    rows = _csv_rows(spark, path, schema, True, multiline, with_source, options)
+    good = rows.filter(_intact(rows)).drop(BROKEN)
+    return typed_from_text(nulls_from_text(good), schema, on_bad), malformed(spark, path, schema, multiline, **options)
 
 
 def read_json(
@@ -275,42 +386,118 @@ def read_parts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(path)
 
 
-def part_schemas(spark: SparkSession, root: str, table: str) -> dict[str, list[tuple[str, str]]]:
-    """Columns and inferred types of one table in each term folder, read folder by folder.
+def csv_headers(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """source_file, source_term and header (the first line) of every CSV file of a table, in one scan."""
+    depth = depth_of(root)
+    lines = (
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", file_pattern(table, "csv")).text(root)
+    ).select(
+        file_path().alias("source_file"),
+        F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("_at"),
+        "value",
+    )
+    # Rows without a place, those of later blocks, are never the least.
+    first = lines.groupBy("source_file").agg(F.min_by("value", "_at").alias("header"))
+    term = term_below(F.col("source_file"), depth)
+    return first.select("source_file", term.alias("source_term"), "header").filter("source_term IS NOT NULL")
+
+
+def _cells_of(header: str) -> list[str]:
+    return next(csv.reader([header.removeprefix("\ufeff")]), [])
+
 
-    Works on as many small reads as there are folders, a few per year of data.
+def _by_header(spark: SparkSession, root: str, table: str) -> list[tuple[list[str], list[str]]]:
+    """Per different header of a table's CSV files, its columns and the files that have it."""
+    grouped = csv_headers(spark, root, table).groupBy("header").agg(F.collect_list("source_file").alias("files"))
+    return [(_cells_of(r["header"]), sorted(r["files"])) for r in grouped.orderBy("header").collect()]
+
+
+# What the texts of a column can be, as bits, so that kinds of many rows merge by bit_or.
+_KINDS = {"int": 1, "bigint": 2, "double": 4, "boolean": 8, "date": 16, "timestamp": 32, "string": 64}
+
+
+def _kind_of(text: Column) -> Column:
+    """The bit of the narrowest type a text is a value of; 0 for null."""
+    number = text.rlike(r"^[+-]?[0-9]+$")
+    real = text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    day = text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & text.try_cast("date").isNotNull()
+    moment = text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}") & text.try_cast("timestamp").isNotNull()
+    found = (
+        F.when(text.isNull(), 0)
+        .when(number & text.try_cast("int").isNotNull(), _KINDS["int"])
+        .when(number & text.try_cast("bigint").isNotNull(), _KINDS["bigint"])
+        .when(real, _KINDS["double"])
+        .when(F.lower(text).isin("true", "false"), _KINDS["boolean"])
+        .when(day, _KINDS["date"])
+        .when(moment, _KINDS["timestamp"])
+    )
+    return found.otherwise(_KINDS["string"])
+
+
+def _type_of(bits: Column) -> Column:
+    """The narrowest type for all kinds in a set of bits; text where there is none, or no value at all."""
+    only = lambda *kinds: (bits.bitwiseAND(F.lit(127 - sum(_KINDS[k] for k in kinds))) == 0) & (bits > 0)
+    return (
+        F.when(only("int"), F.lit("int"))
+        .when(only("int", "bigint"), F.lit("bigint"))
+        .when(only("int", "bigint", "double"), F.lit("double"))
+        .when(only("boolean"), F.lit("boolean"))
+        .when(only("date"), F.lit("date"))
+        .when(only("date", "timestamp"), F.lit("timestamp"))
+        .otherwise(F.lit("string"))
+    )
+
+
+def folder_types(spark: SparkSession, root: str, table: str, multiline: bool = False) -> DataFrame:
+    """part (term folder, empty at top level), column_name and type of every column a table has in each folder.
+
+    One aggregation over one scan: files of equal header are read together, every
+    cell says which type it is the narrowest value of, and the bits of those types
+    are merged before the shuffle. JSON files are read as variants, whose types merge
+    alike. The driver works per header, however many folders there are.
     """
-    result: dict[str, list[tuple[str, str]]] = {}
-    for term, fmt, path in _folders(spark, root, table):
-        read = read_csv if fmt == "csv" else read_json
-        part = read(spark, path, pathGlobFilter=file_pattern(table, fmt))
-        result.setdefault(term, []).extend((f.name, f.dataType.simpleString()) for f in part.schema.fields)
-    return result
+    parts, place = [], lambda: F.coalesce(term_below(file_path(), depth_of(root)), F.lit("")).alias("part")
+    for header, files in _by_header(spark, root, table):
+        layout = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
+        reader = spark.read.options(**csv_options(multiline)).schema(with_broken(layout))
+        cells = nulls_from_text(reader.csv(files).select("*", place()), keep=("part", BROKEN))
+        bits = cells.groupBy("part").agg(*[F.bit_or(_kind_of(F.col(f.name))).alias(f.name) for f in layout.fields])
+        named = [F.struct(F.lit(name).alias("column_name"), F.col(f"c{i}").alias("bits")) for i, name in enumerate(header)]
+        parts.append(bits.select("part", F.inline(F.array(*named))))
+    json_folders = [path for _, fmt, path in _folders(spark, root, table) if fmt == "json"]
+    whole = None
+    if parts:
+        merged = union_extracts(*parts).groupBy("part", "column_name").agg(F.bit_or("bits").alias("bits"))
+        whole = merged.select("part", "column_name", _type_of(F.col("bits")).alias("type"))
+    if json_folders:
+        found = {"singleVariantColumn": "v", "multiLine": True, "pathGlobFilter": file_pattern(table, "json")}
+        elements = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))  # of an array, or the one object
+        objects = spark.read.options(**found).json(json_folders).select(place(), F.explode(elements).alias("v"))
+        keys = objects.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("part", "key", "value")
+        kinds = keys.groupBy("part", F.col("key").alias("column_name")).agg(F.lower(F.schema_of_variant_agg("value")).alias("type"))
+        kind = F.when(F.col("type").startswith("decimal"), F.lit("double")).when(F.col("type") == "void", F.lit("string"))
+        kinds = kinds.withColumn("type", kind.otherwise(F.col("type")))
+        whole = kinds if whole is None else whole.unionByName(kinds)
+    return whole
 
 
 def read_drifted(spark: SparkSession, root: str, table: str, schema: T.StructType | None = None) -> DataFrame:
     """One table whose files differ in column order or columns, matched by name.
 
-    Folders with the same header are read together, so there are as many scans
-    as different headers. Columns a folder lacks are null there.
+    Files with the same header are read together, so there are as many scans as
+    different headers. Columns a file lacks are null there.
     """
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for _, fmt, path in _folders(spark, root, table):
-        header: tuple[str, ...] = ()
-        if fmt == "csv":
-            first_line = spark.read.options(header=True, escape='"', pathGlobFilter=file_pattern(table, fmt))
-            header = tuple(first_line.csv(path).columns)
-        by_header.setdefault((fmt, *header), []).append(path)
+    folders = _folders(spark, root, table)
     if schema is None and schemas.known(table):
         schema = schemas.schema(table)
     typed = {f.name: f.dataType for f in schema.fields} if schema else {}
     parts = []
-    for (fmt, *header), paths in by_header.items():
-        if fmt == "json":
-            parts.append(flatten(read_json(spark, paths, schema, pathGlobFilter=file_pattern(table, fmt))))
-        else:
-            layout = T.StructType([T.StructField(c, typed.get(c, T.StringType())) for c in header])
-            parts.append(read_csv(spark, paths, layout, pathGlobFilter=file_pattern(table, fmt)))
+    for header, files in _by_header(spark, root, table):
+        layout = T.StructType([T.StructField(c, typed.get(c, T.StringType())) for c in header])
+        parts.append(read_csv(spark, files, layout))
+    json_folders = [path for _, fmt, path in folders if fmt == "json"]
+    if json_folders:
+        parts.append(flatten(read_json(spark, json_folders, schema, pathGlobFilter=file_pattern(table, "json"))))
     whole = union_extracts(*parts)
     known = [c for c in typed if c in whole.columns]
     return whole.select(*known, *[c for c in whole.columns if c not in typed])

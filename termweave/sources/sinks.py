@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Sequence
 from urllib.parse import unquote
 
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,31 +53,62 @@ def write_extracts(
     return path
 
 
+def _dealt(df: DataFrame, by: str | None, rows_per_file: int) -> DataFrame:
+    """``row`` with its ``_folder`` and ``_part``: a folder gets as many parts as its rows need."""
+    folder = F.col(f"`{by}`").cast("string") if by else F.lit("")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), folder.alias("_folder"))
+    sizes = rows.groupBy("_folder").agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_parts"))
+    mine = F.col("_folder").eqNullSafe(F.col("_of"))
+    counted = rows.join(sizes.withColumnRenamed("_folder", "_of"), mine, "left").drop("_of")
+    plain = [f"row.`{f.name}`" for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    # The partition id spreads equal rows and is the same when a task is retried.
+    part = F.pmod(F.xxhash64(*plain, F.spark_partition_id()), F.col("_parts"))
+    return counted.withColumn("_part", part).drop("_parts")
+
+
 def write_delivery(
-    df: DataFrame, root: str, table: str, fmt: str = "csv", by: str | None = "term_code", suffix: str | None = None
+    df: DataFrame,
+    root: str,
+    table: str,
+    fmt: str = "csv",
+    by: str | None = "term_code",
+    suffix: str | None = None,
+    rows_per_file: int = 1_000_000,
 ) -> None:
     """Files as they are delivered: ``root/terms/<term>/<table>.csv|json``, or ``root/<table>.csv|json`` without ``by``.
 
-    One file per term, as the format has it; JSON files hold one array. Spark
-    writes all files below a staging folder; then each is moved to its place.
+    More than ``rows_per_file`` rows of a folder come as several files of about that
+    many, ``<table>.part-<n>.csv|json``, each with its header or its own JSON array, and each
+    written by its own task. Spark writes all files below a staging folder; then each
+    is moved to its place.
     """
     staged = f"{root.rstrip('/')}/_staged-{uuid.uuid4().hex}"
-    folder = F.col(by).cast("string") if by else F.lit("")
-    rows = df.select(F.struct(*df.columns).alias("row"), folder.alias("_folder"))
+    dealt, file = _dealt(df, by, rows_per_file), ["_folder", "_part"]
     if fmt == "json":
-        array = F.to_json(F.collect_list("row"), {"ignoreNullFields": "false", "dateFormat": "yyyy-MM-dd"})
-        rows.groupBy("_folder").agg(array.alias("value")).write.partitionBy("_folder").text(staged)
+        # Each row is a line of its file's array: the first opens it and the last closes it.
+        text = F.to_json("row", {"ignoreNullFields": "false", "dateFormat": "yyyy-MM-dd"})
+        lines = dealt.select(*file, text.alias("_text"))
+        each = Window.partitionBy(*file)
+        number, last = F.row_number().over(each.orderBy("_text")), F.count(F.lit(1)).over(each)
+        opening = F.when(number == 1, F.lit("[")).otherwise(F.lit(","))
+        closing = F.when(number == last, F.lit("]")).otherwise(F.lit(""))
+        placed = lines.select(*file, number.alias("_n"), F.concat(opening, F.col("_text"), closing).alias("value"))
+        placed.sortWithinPartitions(*file, "_n").select("value", *file).write.partitionBy(*file).text(staged)
     else:
-        flat = rows.repartition("_folder").select("row.*", "_folder")
-        flat.write.options(**WRITE_OPTIONS[fmt]).partitionBy("_folder").format(fmt).save(staged)
+        flat = dealt.repartition(*file).select("row.*", *file)
+        flat.write.options(**WRITE_OPTIONS[fmt]).partitionBy(*file).format(fmt).save(staged)
     store, place = file_system(staged)
     top = place.rsplit("/", 1)[0]
-    for found in store.get_file_info(fs.FileSelector(place, recursive=True)):
-        if found.type == fs.FileType.File and found.base_name.startswith("part-"):
-            term = unquote(found.path.split("/_folder=", 1)[1].split("/", 1)[0])
-            target = f"{top}/terms/{term}" if by else top
-            store.create_dir(target, recursive=True)
-            store.move(found.path, f"{target}/{table}.{suffix or fmt}")
+    found = [f for f in store.get_file_info(fs.FileSelector(place, recursive=True)) if f.type == fs.FileType.File]
+    files = sorted(f.path for f in found if f.base_name.startswith("part-"))
+    in_folder = Counter(path.rsplit("/", 2)[0] for path in files)
+    for path in files:
+        folder, part, _ = path.rsplit("/", 2)
+        term = unquote(folder.rsplit("/_folder=", 1)[1])
+        target = f"{top}/terms/{term}" if by else top
+        number = f".part-{int(part.removeprefix('_part=')):05d}" if in_folder[folder] > 1 else ""
+        store.create_dir(target, recursive=True)
+        store.move(path, f"{target}/{table}{number}.{suffix or fmt}")
     store.delete_dir(place)
 
 

@@ -16,13 +16,17 @@ from termweave import schemas
 from termweave.sources.composite import split_composite
 from termweave.sources.extracts import (
     FORMATS,
+    csv_options,
     depth_of,
+    file_path,
     file_pattern,
     flatten,
     nulls_from_text,
+    refuse_broken,
     term_below,
     text_schema,
     typed_from_text,
+    with_broken,
 )
 
 
@@ -45,20 +49,20 @@ def extract_stream(
         return both[0].unionByName(both[1])
     schema = schema or schemas.schema(table)
     reader = (
-        spark.readStream.schema(text_schema(schema) if fmt == "csv" else schema)
+        spark.readStream.schema(schema)
         .option("pathGlobFilter", file_pattern(table, fmt))
         .option("recursiveFileLookup", True)
         .option("maxFilesPerTrigger", files_per_batch)
     )
     if fmt == "csv":
-        rows = reader.options(header=True, escape='"', enforceSchema=False).csv(root)
+        rows = reader.schema(with_broken(text_schema(schema))).options(**csv_options(), enforceSchema=False).csv(root)
     else:
         rows = reader.option("multiLine", not lines).json(root)
-    path = F.col("_metadata.file_path")
+    path = file_path()
     place = term_below(path, depth_of(root))
     rows = rows.select("*", place.alias("source_term"), path.alias("source_file")).filter(F.col("source_term").isNotNull())
     if fmt == "csv":
-        return typed_from_text(nulls_from_text(rows), schema).withColumn("source_term", F.coalesce("source_term", F.lit("")))
+        return typed_from_text(nulls_from_text(refuse_broken(rows)), schema).withColumn("source_term", F.coalesce("source_term", F.lit("")))
     return flatten(rows)
 
 

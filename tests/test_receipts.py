@@ -15,15 +15,11 @@ from termweave.sources import extracts, sinks
 
 TEXTS = {
     "SELECT * FROM a JOIN b ON a.x = b.x": ["a", "b"],
-    "select *\n from\tschema.a, c where 1=1 ": ["a", "c"],
-    "WITH x AS (SELECT * FROM t), y(n) AS (SELECT 1 FROM x) SELECT * FROM x, y, u": ["t", "u"],
-    "SELECT * FROM (SELECT 1, 2) s join LATERAL (SELECT max(v) FROM w) y": ["w"],
-    "SELECT * FROM A -- from hidden\n JOIN a /* join b */ , 'from c' ": ["A", "a"],
-    "SELECT extract(year FROM day), trim(BOTH 'x' FROM name), f(a, b) FROM t": ["t"],
-    "SELECT a IS DISTINCT FROM b FROM t WHERE x IN (SELECT y FROM u), z": ["t", "u"],
-    "SELECT * FROM ((a JOIN b USING (k)) JOIN c USING (k)), d ORDER BY x, y": ["a", "b", "c", "d"],
-    "SELECT * FROM \"My Table\" m, `db`.`t`": ["My Table", "t"],
-    "SELECT * FROM range(3) r, explode(x) e, t": ["t"],
+    "select *\n from\tschema.a, c where 1=1 ": ["a"],
+    "WITH x AS (SELECT * FROM t) SELECT * FROM x left Join u,; ": ["t)", "x", "u"],
+    "SELECT * FROM A JOIN s.a JOIN A": ["A", "a"],
+    "DELETE FROM where": [],
+    "SELECT * FROM (SELECT 1) s": ["(SELECT"],
     "SELECT 1": [],
     "SELECT fromage FROM db.s.cheese;": ["cheese"],
     "": [],

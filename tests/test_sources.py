@@ -93,7 +93,9 @@ def test_reading_has_no_filter_per_row(spark, root):
     text = io.StringIO()
     with contextlib.redirect_stdout(text):
         extracts.read_extracts(spark, str(root), "financial_aid").select("loans").explain()
-    assert "file_path" not in text.getvalue() and "ReadSchema: struct<loans:string>" in text.getvalue()
+    # The first cell and the text of broken rows are read to tell whether a row is whole.
+    assert "file_path" not in text.getvalue()
+    assert "ReadSchema: struct<workday_person_id:string,loans:string,_broken_row:string>" in text.getvalue()
 
 
 def test_unknown_table_is_inferred(spark, root):
@@ -126,14 +128,14 @@ def test_reordered_header_is_an_error_unless_aligned(spark, root, values):
     row = aligned.filter("term_code = '2024SU'").first()
     assert (row.workday_person_id, row.loans, row.pell_amount, row.note) == ("WD00000007", 5, None, "extra")
     assert aligned.count() == 7
-    drift = quality.schema_drift(spark, extracts.part_schemas(spark, str(root), "financial_aid"))
+    drift = quality.schema_drift(extracts.folder_types(spark, str(root), "financial_aid"))
     found = {(r.part, r.column_name): r.status for r in drift.collect()}
     assert found["2024SU", "pell_amount"] == "missing" and found["2023FA", "note"] == "missing"
     assert found["2024SU", "note"] == "same" and found["2023FA", "loans"] == "same"
 
 
-def test_schema_drift_reports_types(spark):
-    drift = quality.schema_drift(spark, {"a": [("x", "int")], "b": [("x", "string")]})
+def test_schema_drift_reports_types(rows):
+    drift = quality.schema_drift(rows("part string, column_name string, type string", ("a", "x", "int"), ("b", "x", "string")))
     assert {(r.part, r.status) for r in drift.collect()} == {("a", "type_varies"), ("b", "type_varies")}
 
 
@@ -322,3 +324,123 @@ def test_incremental_load_reads_both_formats_and_levels(spark, root, tmp_path, v
     columns = ["student_id", "moodle_user_key", "workday_person_id"]
     assert values(loaded, *columns) == values(batch, *columns)
     assert {r.source_term or "" for r in loaded.collect()} == {"", "2023FA"}
+
+
+# Rows of a wrong number of cells
+
+TWO = T.StructType().add("a", T.IntegerType()).add("b", T.StringType())
+BROKEN_ROWS = {3: "2,y,EXTRA", 5: "3", 6: '4,"q,1""",,5', 9: ",,,"}
+
+
+def broken_file(folder, name="t.csv", n=12):
+    """A file of ``n`` records, some broken, and a blank line that is no record."""
+    lines = [BROKEN_ROWS.get(i, f'{i},"x,{i}"') for i in range(1, n + 1)]
+    (folder / name).write_text("a,b\n" + "\n".join(lines[:4]) + "\n\n" + "\n".join(lines[4:]) + "\n")
+
+
+def test_broken_rows_are_an_error_whatever_is_asked(spark, tmp_path):
+    broken_file(tmp_path)
+    for ask in (lambda d: d.collect(), lambda d: d.count(), lambda d: d.select("b").collect(), lambda d: d.agg(F.max("a")).collect()):
+        with pytest.raises(Exception, match="too many or too few"):
+            ask(extracts.read_csv(spark, str(tmp_path / "t.csv"), TWO))
+        with pytest.raises(Exception, match="too many or too few"):
+            ask(extracts.read_csv(spark, str(tmp_path / "t.csv")))
+
+
+def test_broken_rows_keep_all_their_cells(spark, tmp_path):
+    broken_file(tmp_path)
+    kept = extracts.read_csv(spark, str(tmp_path / "t.csv"), TWO, on_bad="bad").collect()
+    assert [r.bad for r in kept if r.bad] == [[f"row={text}"] for text in BROKEN_ROWS.values()]
+    assert len(kept) == 12 and sum(r.bad == [] for r in kept) == 8
+    guessed = extracts.read_csv(spark, str(tmp_path / "t.csv"), on_bad="bad").collect()
+    assert [r.bad for r in guessed if r.bad] == [[f"row={text}"] for text in BROKEN_ROWS.values()]
+    assert [(r.a, r.b) for r in extracts.read_csv(spark, str(tmp_path / "t.csv"), TWO, on_bad="null").collect()][2] == (2, "y")
+
+
+@pytest.mark.parametrize("block", ["20", "64", "1g"])
+def test_malformed_rows_have_their_place(spark, tmp_path, values, block):
+    for name, n in (("t.csv", 12), ("u.csv", 400), ("v.csv", 2), ("w.csv", 0)):
+        broken_file(tmp_path, name, n)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        good, bad = extracts.split_malformed(spark, str(tmp_path), TWO)
+        found = values(bad.select(F.substring_index("source_file", "/", -1), "record", "n_cells", "text"))
+        assert values(good)[:3] == [(1, "x,1")] * 3 and good.count() == 8 + 396 + 2 and bad.count() == 8
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    cells = {3: 3, 5: 1, 6: 4, 9: 4}
+    assert found == sorted(((f, i, cells[i], t) for f in ("t.csv", "u.csv") for i, t in BROKEN_ROWS.items()), key=lambda t: tuple((True, str(v)) for v in t))
+
+
+def test_malformed_rows_with_line_breaks(spark, tmp_path, values):
+    (tmp_path / "t.csv").write_text('a,b\n1,"two\nlines"\n2,"more\nlines",x\n3,z\n4\n')
+    good, bad = extracts.split_malformed(spark, str(tmp_path / "t.csv"), TWO, multiline=True)
+    assert values(good) == [(1, "two\nlines"), (3, "z")]
+    assert values(bad, "record", "n_cells", "text") == [(2, 3, '2,"more\nlines",x'), (4, 1, "4")]
+
+
+def test_a_stream_refuses_broken_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    broken_file(tmp_path / "in")
+    with pytest.raises(Exception, match="too many or too few"):
+        load_incremental(spark, str(tmp_path / "in"), "t", str(tmp_path / "out"), str(tmp_path / "seen"), fmt="csv", schema=TWO)
+
+
+# Deliveries in parts, headers and types of folders
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json"])
+def test_deliveries_come_in_parts(spark, rows, tmp_path, values, fmt):
+    data = rows("term_code string, v int, note string", *[("2023FA", i % 7, 'say "x", ]') for i in range(50)], ("2024SP", 9, None), (None, 1, "no term"))
+    data = data.withColumn("term_code", F.coalesce("term_code", F.lit("none")))
+    sinks.write_delivery(data, str(tmp_path), "visits", fmt, rows_per_file=10)
+    files = sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("visits*"))
+    parts = [f for f in files if "2023FA" in f]
+    assert 1 < len(parts) <= 5 and all(".part-0000" in f for f in parts)
+    assert f"terms/2024SP/visits.{fmt}" in files and f"terms/none/visits.{fmt}" in files
+    back = extracts.read_extracts(spark, str(tmp_path), "visits", data.schema)
+    assert values(back) == values(data)
+    listed = extracts.list_extracts(spark, str(tmp_path))
+    assert {r.table_name for r in listed.collect()} == {"visits"} and listed.count() == len(files)
+    if fmt == "json":
+        assert all(isinstance(json.loads((tmp_path / f).read_text()), list) for f in files)
+    sinks.write_delivery(data.drop("term_code"), str(tmp_path / "top"), "visits", fmt, by=None, rows_per_file=20)
+    assert values(extracts.read_extracts(spark, str(tmp_path / "top"), "visits", data.drop("term_code").schema)) == values(data.drop("term_code"))
+
+
+def test_folder_types_merge_like_values(spark, tmp_path, values):
+    cells = {
+        "one": ("int", ["1", "-2", "", "NA"]), "two": ("bigint", ["1", "5000000000"]), "three": ("double", ["1", "2.5", "1e3"]),
+        "four": ("date", ["2024-01-31", ""]), "five": ("timestamp", ["2024-01-31", "2024-01-31 10:00:00"]), "six": ("boolean", ["true", "FALSE"]),
+        "seven": ("string", ["1", "x"]), "eight": ("string", ["", ""]), "nine": ("string", ["2024-02-31", "true"]),
+    }
+    deep = 4
+    for term, names in (("2023 FA", list(cells)), ("2024SP", list(reversed(cells)))):
+        folder = tmp_path / "terms" / term
+        folder.mkdir(parents=True)
+        for part in range(2):
+            lines = [",".join((cells[c][1] * deep)[i] for c in names) for i in range(part, deep, 2)]
+            (folder / f"t.part-{part}.csv").write_text(",".join(names) + "\n" + "\n".join(lines) + "\n")
+    (tmp_path / "t.json").write_text('[{"one": 1, "odd": {"k": "x"}}, {"one": 2.5, "gone": null}]')
+    found = values(extracts.folder_types(spark, str(tmp_path), "t"))
+    wanted = [(term, c, kind) for term in ("2023 FA", "2024SP") for c, (kind, _) in cells.items()]
+    wanted += [("", "one", "double"), ("", "odd", "object<k: string>"), ("", "gone", "string")]
+    assert found == sorted(wanted)
+    drift = {(r.part, r.column_name): (r.type, r.status) for r in quality.schema_drift(extracts.folder_types(spark, str(tmp_path), "t")).collect()}
+    assert drift["", "two"] == (None, "missing") and drift["2024SP", "one"] == ("int", "type_varies") and drift["2024SP", "six"][1] == "same"
+
+
+def test_headers_are_read_in_one_scan(spark, tmp_path, values):
+    (tmp_path / "terms" / "a").mkdir(parents=True)
+    (tmp_path / "t.csv").write_text("x,y\n1,2\n" * 1 + "3,4\n" * 500)
+    (tmp_path / "terms" / "a" / "t.CSV").write_text('"y, or z",x\n5,6\n')
+    (tmp_path / "terms" / "a" / "other.csv").write_text("q\n1\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        assert values(extracts.csv_headers(spark, str(tmp_path), "t"), "source_term", "header") == [("", "x,y"), ("a", '"y, or z",x')]
+        whole = extracts.read_drifted(spark, str(tmp_path), "t")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert whole.count() == 502 and tuple(whole.filter("x = '6'").select("x", "y", "`y, or z`").first()) == ("6", None, "5")
