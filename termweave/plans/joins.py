@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from termweave.operators import fragment, identity, quality
+from termweave.functions.hashing import hash_fraction
+from termweave.operators import entities, fragment, identity, quality
 from termweave.operators.ordering import top
 from termweave.plans import campus, sql
 from termweave.plans.registry import query
+from termweave.storage import materialize
 
 Q2_SQL = f"""
     WITH {sql.CROSSWALK}, {sql.LMS}, {sql.SIS}
@@ -239,6 +242,87 @@ def swap_audit(spark, sf_dir):
     return identity.swap_audit(_swapped(spark, sf_dir), "student_id", "moodle_user_key", "mdl_")
 
 
+ROTATED_SQL = f"""
+    rotated AS (
+        SELECT c_custkey, {sql.student('c_custkey')} AS student_id, c_custkey // 10 AS g,
+               coalesce(lead(c_custkey) OVER (PARTITION BY c_custkey // 10 ORDER BY c_custkey),
+                        first_value(c_custkey) OVER (PARTITION BY c_custkey // 10 ORDER BY c_custkey)) AS held
+        FROM customer WHERE {sql.fraction('turn', 'c_custkey')} < 0.4::DOUBLE)"""
+
+
+@query(
+    f"""
+    WITH {ROTATED_SQL}
+    SELECT student_id, {sql.student('min(c_custkey) OVER (PARTITION BY g)')} AS cycle, count(*) OVER (PARTITION BY g) AS length,
+           {sql.moodle('c_custkey')} AS own_key, {sql.student('holder')} AS holder
+    FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n,
+                 coalesce(lag(c_custkey) OVER (PARTITION BY g ORDER BY c_custkey),
+                          last_value(c_custkey) OVER (PARTITION BY g ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS holder
+          FROM rotated) WHERE n > 1""",
+    "J7", "X3",
+)
+def swap_cycles(spark, sf_dir):
+    """Circles of people who hold each other's keys, of any length: some people of each ten hand theirs on to the next."""
+    person = F.col("c_custkey")
+    people = fragment.keep(campus.table(spark, sf_dir, "customer").select("c_custkey"), 0.4, "turn", "c_custkey")
+    ten = Window.partitionBy(F.floor(person / 10)).orderBy("c_custkey")
+    held = F.coalesce(F.lead("c_custkey").over(ten), F.first("c_custkey").over(ten))
+    turned = people.select(campus.student_id(person).alias("student_id"), campus.moodle_key(held).alias("moodle_user_key"))
+    others = fragment.thin(campus.table(spark, sf_dir, "customer").select("c_custkey"), 0.4, "turn", "c_custkey")
+    rest = others.select(campus.student_id(person).alias("student_id"), campus.moodle_key(person).alias("moodle_user_key"))
+    return entities.swap_cycles(turned.unionByName(rest), "student_id", "moodle_user_key", "mdl_")
+
+
+LINKED_SQL = f"""
+    links AS (
+        SELECT c_custkey AS person, 'registration' AS system, 'R' || c_custkey AS key FROM customer
+        UNION ALL SELECT c_custkey, 'lms', 'L' || CASE WHEN {sql.fraction('lms', 'c_custkey')} < 0.2::DOUBLE THEN c_custkey + 1 ELSE c_custkey END
+        FROM customer WHERE {sql.fraction('none', 'c_custkey')} >= 0.05::DOUBLE
+        UNION ALL SELECT c_custkey, 'finance', 'F' || CASE WHEN {sql.fraction('fin', 'c_custkey')} < 0.1::DOUBLE THEN c_custkey + 7 ELSE c_custkey END
+        FROM customer
+        UNION ALL SELECT c_custkey, 'housing', CASE WHEN c_custkey % 20 = 0 THEN 'unknown' END FROM customer)"""
+
+
+@query(
+    f"""
+    WITH RECURSIVE {LINKED_SQL},
+    pairs AS (SELECT DISTINCT a.person AS p, b.person AS q
+              FROM (SELECT * FROM links WHERE system <> 'housing') a JOIN (SELECT * FROM links WHERE system <> 'housing') b USING (system, key)
+              UNION SELECT person, (SELECT min(person) FROM links WHERE key = 'unknown') FROM links WHERE key = 'unknown'
+              UNION SELECT (SELECT min(person) FROM links WHERE key = 'unknown'), person FROM links WHERE key = 'unknown'),
+    -- The least person of a neighbour is handed on until nothing changes.
+    label(step, p, m) AS (
+        SELECT 0, p, p FROM (SELECT DISTINCT person AS p FROM links)
+        UNION ALL SELECT step + 1, pairs.p, min(label.m) FROM label JOIN pairs ON pairs.q = label.p WHERE step < 30 GROUP BY step, pairs.p),
+    members AS (SELECT p AS person, m AS entity FROM label WHERE step = (SELECT max(step) FROM label)),
+    per_system AS (SELECT entity, system, count(DISTINCT key) AS n FROM links JOIN members USING (person) GROUP BY entity, system)
+    SELECT entity, (SELECT count(*) FROM members m WHERE m.entity = s.entity) AS people, sum(n)::BIGINT AS keys, count_if(n > 0)::BIGINT AS systems,
+           count_if(n > 1)::BIGINT AS conflicts
+    FROM per_system s GROUP BY entity""",
+    "X3",
+)
+def entity_components(spark, sf_dir):
+    """People who share a key in any of four systems, directly or through others, one of the keys being very common."""
+    customers, person = campus.table(spark, sf_dir, "customer"), F.col("c_custkey")
+
+    def keys(system, rows, letter, number):
+        key = F.concat(F.lit(letter), number.cast("string"))
+        return rows.select(person.alias("person"), F.lit(system).alias("system"), key.alias("key"))
+
+    with_lms = fragment.thin(customers, 0.05, "none", "c_custkey")
+    late, other = hash_fraction("lms", person) < 0.2, hash_fraction("fin", person) < 0.1
+    unknown = F.when(person % 20 == 0, F.lit("unknown")).alias("key")
+    links = (
+        keys("registration", customers, "R", person)
+        .unionByName(keys("lms", with_lms, "L", F.when(late, person + 1).otherwise(person)))
+        .unionByName(keys("finance", customers, "F", F.when(other, person + 7).otherwise(person)))
+        .unionByName(customers.select(person.alias("person"), F.lit("housing").alias("system"), unknown))
+    )
+    links = materialize(links, "links")
+    members = materialize(entities.entities(links, "person", "system", "key"), "members")
+    return entities.entity_summary(links, members, "person", "system", "key")
+
+
 @query(
     f"""
     WITH {SWAPPED_SQL}

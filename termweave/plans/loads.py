@@ -13,8 +13,9 @@ from termweave.operators import fragment, quality
 from termweave.plans import campus, receipts, sql
 from termweave.plans.registry import query
 from termweave.plans.workload import WORKLOAD
-from termweave.sources import extracts, sinks
+from termweave.sources import extracts, sinks, versions
 from termweave.storage import fresh_path, materialize
+from termweave.streaming import redelivery
 from termweave.streaming.incremental import load_incremental
 
 UTC_FORM = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z$"
@@ -237,6 +238,58 @@ def incremental_load(spark, sf_dir):
     return loaded.select(*DELIVERED.names, F.nullif("source_term", F.lit("")).alias("source_term"))
 
 
+@query(
+    f"""
+    SELECT o_orderkey, term_code, CASE WHEN term_code LIKE '%SU' THEN amount * 2 ELSE amount END AS amount, active
+    FROM ({ORDER_ROWS}) WHERE term_code NOT LIKE '%FA' OR o_orderkey % 2 = 0""",
+    "T1", "K5", "S4",
+)
+def redelivered_files(spark, sf_dir):
+    """A delivery of which some files come again, corrected, under their old paths; then nothing new, and the last batch once more."""
+    rows, root, target = _orders(spark, sf_dir), fresh_path(spark, "redelivery"), fresh_path(spark, "versions")
+    rows = rows.select("o_orderkey", "term_code", "amount", "active")
+    season, schema = F.substring("term_code", 5, 2), rows.schema
+
+    def deliver(some, fmt):
+        sinks.write_delivery(some, root, "ledger", fmt)
+
+    def load():
+        return redelivery.load_versions(spark, root, "ledger", target, schema)
+
+    deliver(rows.filter(season == "SP"), "csv")
+    deliver(rows.filter(season == "SU"), "json")
+    load()
+    deliver(rows.filter(season == "SU").withColumn("amount", F.col("amount") * 2), "json")
+    deliver(rows.filter(season == "FA"), "csv")
+    load()
+    deliver(rows.filter((season == "FA") & (F.col("o_orderkey") % 2 == 0)), "csv")
+    for _ in range(2):
+        load()
+    last = materialize(spark.read.parquet(f"{target}/files").filter("batch = 2"), "last")
+    redelivery.store_batch(spark, last.drop("batch"), 2, target, schema, False)
+    return redelivery.current(spark, target, schema).select(*schema.names)
+
+
+@query(
+    f"""
+    SELECT o_orderkey, amount, version FROM (
+        SELECT o_orderkey, amount, 'table' AS version FROM ({ORDER_ROWS}) WHERE active AND amount >= 1000
+        UNION ALL SELECT o_orderkey, amount, 'begun' FROM ({ORDER_ROWS}) WHERE active)""",
+    "K6", "K4",
+)
+def replaced_table(spark, sf_dir):
+    """A table replaced from its own rows, with one version never published, beside a reader who began before."""
+    rows, root = _orders(spark, sf_dir).select("o_orderkey", "amount", "active"), fresh_path(spark, "replaced")
+    versions.replace(rows, root)
+    versions.replace(versions.read(spark, root).filter("active"), root)
+    begun = versions.read(spark, root)
+    versions.stage(rows.limit(0), root)  # what a run leaves that ends before it publishes
+    versions.replace(versions.read(spark, root).filter("amount >= 1000"), root)
+    seen = [(versions.read(spark, root), "table"), (begun, "begun")]
+    parts = [df.select("o_orderkey", "amount", F.lit(name).alias("version")) for df, name in seen]
+    return parts[0].unionByName(parts[1])
+
+
 @query(
     """
     WITH parts AS (SELECT DISTINCT year(o_orderdate)::VARCHAR AS part, year(o_orderdate) % 2 = 1 AS odd FROM orders),

@@ -77,18 +77,19 @@ def depth_of(root: str) -> int:
     return _bare(root).count("/")
 
 
-def list_extracts(spark: SparkSession, root: str) -> DataFrame:
-    """Every extract below ``root``: path, table, format and term folder.
+def list_extracts(spark: SparkSession, root: str, with_version: bool = False) -> DataFrame:
+    """Every extract below ``root``: path, table, format and term folder, on request when it was modified and its size.
 
     Lists files without opening them. A missing folder is an error.
     """
     depth = depth_of(root)
+    version = [F.col("modificationTime").alias("modified"), F.col("length").alias("size")] if with_version else []
     found = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.{" + ",".join(_any_case(f) for f in FORMATS) + "}")
         .load(root)
-        .select("path")
+        .select("path", *version)
     )
     path, term = F.col("path"), F.col("_term")
     placed = found.withColumn("_term", term_below(path, depth)).filter(term.isNotNull())
@@ -97,6 +98,7 @@ def list_extracts(spark: SparkSession, root: str) -> DataFrame:
         table_of(path).alias("table_name"),
         format_of(path).alias("format"),
         F.nullif(term, F.lit("")).alias("term_folder"),
+        *(["modified", "size"] if with_version else []),
     )
 
 

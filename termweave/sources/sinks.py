@@ -149,15 +149,45 @@ def append_aligned(df: DataFrame, table: str, evolve: bool = True) -> None:
 
 
 def recreate(df: DataFrame, table: str) -> None:
-    """Write the table anew. The old one stays until the new rows are stored, so ``df`` may read it."""
-    spark, staged = df.sparkSession, f"{table}__{uuid.uuid4().hex}"
+    """Write the table anew. The old one stays until the new rows are stored, so ``df`` may read it.
+
+    Every version has a folder of its own. A table made here before, with the same
+    columns, is switched to the new folder by one change in the catalog: readers, and a
+    crash at any point, find the old rows or the new ones. Any other table is
+    dropped first, with a moment in between; see :mod:`termweave.sources.versions` for
+    tables that are always there. The folder before the last is kept for its readers.
+    """
+    spark = df.sparkSession
+    home = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_versions/{table.replace('`', '')}"
+    new = f"{home}/{uuid.uuid4().hex}"
     try:
-        df.write.format("parquet").saveAsTable(staged)
+        df.write.parquet(new)
     except BaseException:
-        spark.sql(f"DROP TABLE IF EXISTS {staged}")
+        _delete(new)
         raise
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    spark.sql(f"ALTER TABLE {staged} RENAME TO {table}")
+    old = _location(spark, table) if spark.catalog.tableExists(table) else None
+    if old and f"/_versions/{home.rsplit('/', 1)[1]}/" in old and spark.table(table).schema == spark.read.parquet(new).schema:
+        spark.sql(f"ALTER TABLE {table} SET LOCATION '{new}'")
+        spark.catalog.refreshTable(table)
+    else:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        spark.sql(f"CREATE TABLE {table} USING parquet LOCATION '{new}'")
+    kept = {new.rsplit("/", 1)[1], (old or "").rsplit("/", 1)[-1]}
+    store, place = file_system(home)
+    for found in store.get_file_info(fs.FileSelector(place)):
+        if found.base_name not in kept:
+            store.delete_dir(found.path)
+
+
+def _delete(folder: str) -> None:
+    store, place = file_system(folder)
+    if store.get_file_info(place).type != fs.FileType.NotFound:
+        store.delete_dir(place)
+
+
+def _location(spark: SparkSession, table: str) -> str:
+    """The folder of a table of the catalog."""
+    return spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter("col_name = 'Location'").first()["data_type"]
 
 
 def load_tables(tables: dict[str, DataFrame], clear: bool = False) -> None:

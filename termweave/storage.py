@@ -11,6 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from functools import lru_cache
+from urllib.parse import quote
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -44,7 +45,9 @@ def _run_dir(spark: SparkSession) -> str:
 
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or URI, and the path on it."""
-    return fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path if ":" in path.split("/", 1)[0] else f"file://{quote(path)}")
 
 
 def clear(spark: SparkSession) -> None:
