@@ -53,7 +53,7 @@ FOOTER = struct.Struct("<QQQQ4s")
 END_ID = 2
 
 #: Word pieces a worker keeps between texts; forgetting them costs time only.
-CACHED_PIECES = 1_000_000
+CACHED_PIECES = 400_000
 SLICE_CHARS = 1 << 21
 #: A space beside white space, which the tokenizer may take as one run.
 SPACE_RUN = re.compile(r"\s(?: |(?<= )\s)")

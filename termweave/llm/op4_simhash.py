@@ -166,11 +166,10 @@ def without_copies(docs: DataFrame, length: int = 3, radius: int = 2) -> DataFra
     rows of the smallest id that with the least digest of its text stays, and of rows
     equal in both the first in the order of their columns.
     """
-    columns = docs.columns
-    rows = docs.withColumn("__digest", digest_of(docs))
-    printed = materialize(fingerprints(rows, length, ("doc_id", "__digest")), "simhash")
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__digest")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), docs["doc_id"], digest_of(docs).alias("digest"), docs["text"])
+    printed = materialize(fingerprints(rows, length, ("doc_id", "digest")), "simhash")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
     named = _rooted(printed.groupBy("fp").agg(F.min(first).alias("first")), radius)
-    kept = named.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.__digest")
-    rows = joined_null_safe(rows, kept, ["doc_id", "__digest"], "left_semi")
-    return rows.groupBy("doc_id", "__digest").agg(F.min(F.struct(*columns)).alias("doc")).select("doc.*")
+    kept = named.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.digest")
+    rows = joined_null_safe(rows.drop("text"), kept, ["doc_id", "digest"], "left_semi")
+    return rows.groupBy("doc_id", "digest").agg(F.min("doc").alias("doc")).select("doc.*")

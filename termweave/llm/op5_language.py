@@ -186,13 +186,17 @@ def train(docs: DataFrame, max_docs: int = 4000, max_chars: int = 20_000) -> Mod
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
-def _texts(batch: pa.RecordBatch, column: int) -> list[str]:
-    return [(b or b"").decode("utf-8", "replace") for b in batch.column(column).to_pylist()]
-
-
-def _predict(model: Model, texts: list[str], letters: np.ndarray) -> tuple[list[str], np.ndarray]:
-    names, scores = model.predict(texts)
-    return [n if ok else UNKNOWN for n, ok in zip(names, letters, strict=True)], np.where(letters, scores, 0.0)
+def _predict(model: Model, texts: pa.Array, letters: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Languages and scores of a batch, a slice of whose texts at a time stands in memory as Python objects."""
+    plain = texts.cast(pa.binary())  # decoded here, as a text may hold bytes that are no UTF-8
+    names, scores = [], []
+    for at in range(0, len(plain), SLICE_DOCS):
+        n, s = model.predict([(t or b"").decode("utf-8", "replace") for t in plain.slice(at, SLICE_DOCS).to_pylist()])
+        names += n
+        scores.append(s)
+    known = np.asarray(letters.to_numpy(zero_copy_only=False), bool)
+    found = np.concatenate(scores) if scores else np.zeros(0)
+    return [n if ok else UNKNOWN for n, ok in zip(names, known, strict=True)], np.where(known, found, 0.0)
 
 
 def _has_letter(docs: DataFrame):
@@ -205,8 +209,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def identified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            letters = np.asarray(batch.column(3).to_numpy(zero_copy_only=False), bool)
-            names, scores = _predict(shared.value, _texts(batch, 2), letters)
+            names, scores = _predict(shared.value, batch.column(2), batch.column(3))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                 ["doc_id", "held_out", "lang_pred", "score"],
@@ -226,21 +229,22 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.25) -> DataFrame:
     """The documents that are in a learned language, with the columns of ``docs``.
 
     Rejected are ``und`` and texts whose score is below ``least``, the score of two
-    even choices: a text in two languages stays. Nothing is shuffled.
+    even choices: a text in two languages stays. As a winner has at least that much, only ``und``
+    is rejected unless ``least`` is raised. Nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = docs.columns
+    text = docs.columns.index("text")
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = len(columns)
-            letters = np.asarray(batch.column(n + 1).to_numpy(zero_copy_only=False), bool)
-            names, scores = _predict(shared.value, _texts(batch, n), letters)
+            columns = batch.column(0).flatten()
+            names, scores = _predict(shared.value, columns[text], batch.column(1))
             keep = pa.array([name != UNKNOWN and s >= least for name, s in zip(names, scores, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays(batch.columns[:n], columns).filter(keep)
+            yield pa.RecordBatch.from_arrays(columns, docs_names).filter(keep)
 
-    rows = docs.select(*columns, docs["text"].cast("binary").alias("__text"), _has_letter(docs).alias("__letters"))
-    return rows.mapInArrow(chosen, docs.schema)
+    docs_names, schema = docs.columns, docs.schema
+    # A row travels as one value, so that its columns may have any names, and its text once.
+    return docs.select(F.struct(*docs_names).alias("doc"), _has_letter(docs).alias("letters")).mapInArrow(chosen, schema)
 
 
 def language(docs: DataFrame) -> DataFrame:
