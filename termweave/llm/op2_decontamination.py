@@ -15,32 +15,32 @@ their different shingles.
    blocks of bits, two such fingerprints differ in at most ``NEAR`` bits of some
    block (RADIUS < BLOCKS * (NEAR + 1)). Each item stands in the index of each
    block at every value that is so near to its own; a window looks up its own
-   four values, among items of its size. All pairs within the radius are found.
-4. Fingerprints may differ in more bits than that at any similarity below 1. So a
-   window is also paired with each item of its size that has a rare shingle in the
-   document: the item's shingles from the least common in the benchmark on, until
-   the others weigh less than ``least`` of the item. Whatever is as similar as
-   ``least`` shares one of them, so no window that is laid is lost.
-5. Each pair is verified by its exact weighted similarity on the shingles' words.
-
-A document with fewer words than the item is one window. Null, empty and wordless
-texts and items match nothing; a null item_id is an id like any other. Repeated items
-are items of their own. Rows of equal id are searched separately; the best window of
-an id counts. Extra columns are ignored.
+   values, among items of its size. All pairs within the radius are found. At a
+   similarity of 0.8 fingerprints differ in some 10 bits with a deviation below 3, so
+   a pair beyond ``RADIUS`` is not to be expected at any size.
+4. Each pair is verified by its exact weighted similarity on the shingles' words.
+
+A document with fewer words than the item is one window; an item of one word is
+found wherever the word stands. Null, empty and wordless texts and items match nothing;
+a null item_id is an id like any other. Repeated items are items of their own. Rows of
+equal id are searched separately; the best window of an id counts, of equally similar
+ones that of the nearer fingerprint and then the first. Without documents or items
+there are no leaks and all documents are clean. Extra columns, whatever their names,
+are ignored by ``leaks`` and kept by ``clean``.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termweave.llm.common import digest_of, joined_null_safe, text_of
 from termweave.storage import materialize
 
 SHINGLE = 5
-BLOCKS = 4
+BLOCKS = 6
 NEAR = 3
 RADIUS = BLOCKS * (NEAR + 1) - 1
 #: Of the Bloom filter: one byte for each place, whatever the size of the benchmark. It stands in the
@@ -121,29 +121,10 @@ def _may_be_in(filter_: Column, h: Column) -> Column:
     return hit
 
 
-def rare_shingles(items: DataFrame, k: int, least: tuple[int, int]) -> DataFrame:
-    """item, size and hash ``h`` of the shingles of which a text as similar to the item as ``least`` has one.
-
-    Shingles stand from the most common one on; if all before one and itself weigh
-    less than ``least`` of the item, they cannot make up the similarity alone.
-    """
-    each = items.select("item", "size", "w", F.posexplode(shingle_hashes(k)).alias("at", "h"))
-    weight = F.length(F.array_join(F.slice("w", F.col("at") + 1, k), " ")).cast("bigint")
-    each = each.select("item", "size", "h", weight.alias("n")).distinct()
-    each = each.join(each.groupBy("h").agg(F.count("*").alias("often")), "h")
-    of_item = Window.partitionBy("item", "size")
-    upto = of_item.orderBy(F.desc("often"), "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    each = each.withColumn("rest", F.sum("n").over(upto)).withColumn("whole", F.sum("n").over(of_item))
-    return each.where(F.col("rest") * least[1] >= F.col("whole") * least[0]).select("item", "size", "h")
-
-
-def windows(docs: DataFrame, items: DataFrame, least: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """The windows of item size that line up with an item at a shared shingle: row id, start, size, words.
-
-    Also the pairs of rows and items that share a rare shingle: row, item, size.
-    """
+def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The windows of item size that line up with an item at a shared shingle: row id, start, size, words."""
     lengths = sorted(r[0] for r in items.select("k").distinct().collect())  # at most SHINGLE numbers
-    found = met = None
+    found = None
     # The ids also keep filters from being moved below the projections that make arrays,
     # where they would make them again for every element they look at.
     number = F.monotonically_increasing_id()
@@ -160,6 +141,8 @@ def windows(docs: DataFrame, items: DataFrame, least: tuple[int, int]) -> tuple[
         start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("at"), F.col("n") - F.col("size")))
         laid = at.join(places, "h").select("row", "size", start.alias("start"))
         laid = laid.distinct().groupBy("row").agg(F.collect_list(F.struct("size", "start")).alias("laid"))
+        # Stored, so that its size is known when words are joined to it: few rows are sent to the words.
+        laid = materialize(laid, "benchmark-laid")
         cut = rows.select("row", "doc_id", "digest", "w").join(laid, "row")
         cut = cut.select("row", "doc_id", "digest", "w", F.explode("laid").alias("x"))
         cut = cut.select(
@@ -172,25 +155,37 @@ def windows(docs: DataFrame, items: DataFrame, least: tuple[int, int]) -> tuple[
             F.slice("w", F.col("x.start") + 1, F.col("x.size")).alias("w"),
         )
         found = cut if found is None else found.unionAll(cut)
-        rare = rare_shingles(of_k, k, least)
-        near_items = at.select("row", "h").distinct().join(rare, "h").select("row", "item", "size").distinct()
-        met = near_items if met is None else met.unionAll(near_items)
     if found is None:
         none = [F.lit(0).alias(name) for name in ("start", "size", "k")]
         found = texts.where("false").select("row", "doc_id", "digest", *none, "w")
-        met = items.where("false").select(F.lit(0).cast("bigint").alias("row"), "item", "size")
-    return found, met
+    return found
+
+
+def block_bounds(b: int) -> tuple[int, int]:
+    """First bit and number of bits of a block; 64 bits in blocks as even as they can be."""
+    first = 64 * b // BLOCKS
+    return first, 64 * (b + 1) // BLOCKS - first
 
 
 def _block(fp: Column, b: int) -> Column:
-    width = 64 // BLOCKS
-    return F.call_function("shiftrightunsigned", fp, F.lit(b * width)).bitwiseAND(F.lit((1 << width) - 1))
+    first, width = block_bounds(b)
+    return F.call_function("shiftrightunsigned", fp, F.lit(first)).bitwiseAND(F.lit((1 << width) - 1))
 
 
 def _blocks(fp: Column) -> Column:
     return F.explode(F.array(*(F.struct(F.lit(b).alias("block"), _block(fp, b).alias("value")) for b in range(BLOCKS))))
 
 
+def _near_blocks(fp: Column) -> Column:
+    """Each block with every value that differs in at most ``NEAR`` bits."""
+
+    def entries(b: int) -> Column:
+        masks = F.array(*(F.lit(m).cast("bigint") for m in near_masks(block_bounds(b)[1], NEAR)))
+        return F.transform(masks, lambda m: F.struct(F.lit(b).alias("block"), _block(fp, b).bitwiseXOR(m).alias("value")))
+
+    return F.explode(F.flatten(F.array(*(entries(b) for b in range(BLOCKS)))))
+
+
 def near_masks(width: int, most: int) -> list[int]:
     """All masks of ``width`` bits with at most ``most`` bits set."""
     return [sum(1 << i for i in c) for n in range(most + 1) for c in combinations(range(width), n)]
@@ -199,26 +194,18 @@ def near_masks(width: int, most: int) -> list[int]:
 def alike(docs: DataFrame, benchmark: DataFrame, least: tuple[int, int]) -> DataFrame:
     """All laid windows, with doc_id and ``digest`` of their text, and items that are as similar as ``least``."""
     items = prepared_items(benchmark)
-    cut, met = windows(docs, items, least)
-    cut = cut.withColumn("shingles", shingle_texts(F.col("w"), F.col("k")))
+    cut = windows(docs, items).withColumn("shingles", shingle_texts(F.col("w"), F.col("k")))
     cut = cut.select("row", "doc_id", "digest", "start", "size", F.size("w").alias("n_words"), "shingles")
     cut = cut.withColumn("fp", simhash(F.col("shingles")))
-    masks = F.array(*(F.lit(m).cast("bigint") for m in near_masks(64 // BLOCKS, NEAR)))
-    index = items.select("item", "size", F.col("fp").alias("item_fp"), _blocks(F.col("fp")).alias("x"))
-    index = index.select("item", "size", "item_fp", "x.block", F.col("x.value").alias("own"), F.explode(masks).alias("mask"))
-    value = F.col("own").bitwiseXOR(F.col("mask"))
-    index = index.select("item", "size", "item_fp", "block", value.alias("value"))
+    index = items.select("item", "size", F.col("fp").alias("item_fp"), _near_blocks(F.col("fp")).alias("x"))
     # Stored, so that its size is known when the join is planned.
-    index = materialize(index, "benchmark-index")
+    index = materialize(index.select("item", "size", "item_fp", "x.block", "x.value"), "benchmark-index")
     cut = materialize(cut.withColumn("window", F.monotonically_increasing_id()), "benchmark-windows")
     looked = cut.select("window", "size", "fp", _blocks(F.col("fp")).alias("x")).select("window", "size", "fp", "x.block", "x.value")
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    pairs = looked.join(index, ["size", "block", "value"]).where(distance <= RADIUS)
-    pairs = pairs.select("window", "item", "size")
-    more = cut.select("window", "row", "size").join(met, ["row", "size"]).select("window", "item", "size")
-    pairs = pairs.unionAll(more).distinct()
+    pairs = looked.join(index, ["size", "block", "value"]).where(distance <= RADIUS).select("window", "item").distinct()
     of_items = items.select("item", "item_id", F.col("fp").alias("item_fp"), F.col("shingles").alias("item_shingles"))
-    both = pairs.join(cut.drop("size"), "window").join(of_items, "item").withColumn("distance", distance)
+    both = pairs.join(cut, "window").join(of_items, "item").withColumn("distance", distance)
     weight = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda n, s: n + F.length(s))
     both = both.withColumn("shared", weight(F.array_intersect("shingles", "item_shingles")))
     both = both.withColumn("whole", weight(F.col("shingles")) + weight(F.col("item_shingles")) - F.col("shared"))
@@ -250,6 +237,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: tuple[int, int] = (4, 5)
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: tuple[int, int] = (4, 5)) -> DataFrame:
     """The documents without a benchmark passage, with the columns of ``docs``; rows of one id are told apart by text."""
-    found = alike(docs, benchmark, least).select("doc_id", F.col("digest").alias("__digest")).distinct()
-    rows = docs.withColumn("__digest", digest_of(docs))
-    return joined_null_safe(rows, found, ["doc_id", "__digest"], "left_anti").drop("__digest")
+    found = alike(docs, benchmark, least).select("doc_id", "digest").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), docs["doc_id"], digest_of(docs).alias("digest"))
+    return joined_null_safe(rows, found, ["doc_id", "digest"], "left_anti").select("doc.*")
