@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from termweave.functions.hashing import hash_fraction
 from termweave.functions.terms import term_code, term_ord_of_date
+from termweave.operators import balances
 from termweave.operators import longitudinal as history
 from termweave.plans import campus, sql
 from termweave.plans.registry import query
+from termweave.storage import fresh_path
 
 ENROLLED = f"""enrolled AS (
     SELECT o_orderkey, o_custkey AS person, {sql.ord_('o_orderdate')} AS term_ord, o_orderstatus, o_orderpriority,
@@ -47,6 +49,27 @@ def running_totals(spark, sf_dir):
     return campus.coded(history.running_totals(rows, "person", "term_ord", ["credits", "cents"], {"credits": "opening"}))
 
 
+@query(
+    f"""
+    WITH {ENROLLED},
+    t AS (SELECT person, term_ord, sum(credits)::BIGINT AS credits, sum(cents)::BIGINT AS cents
+          FROM enrolled GROUP BY person, term_ord)
+    SELECT person, {sql.code('term_ord')} AS term_code, credits, cents,
+           (sum(credits) OVER w)::BIGINT AS total_credits, (sum(cents) OVER w)::BIGINT AS total_cents
+    FROM t WINDOW w AS (PARTITION BY person ORDER BY term_ord)""",
+    "W1", "W3", "T1",
+)
+def appended_totals(spark, sf_dir):
+    """Totals kept up to date over loads: most terms in order, then some that are late, of which one load comes twice."""
+    rows, state = _enrolled(spark, sf_dir), fresh_path(spark, "balances")
+    year, late = F.floor(F.col("term_ord") / 3), F.col("o_orderkey") % 5 == 0
+    loads = [rows.filter((year <= 1994) & ~late), rows.filter((year > 1994) & ~late), rows.filter(late & (year > 1993)), rows.filter(late & (year <= 1993))]
+    for number, part in enumerate(loads):
+        for _ in range(2 if number == 2 else 1):
+            found = balances.add_load(part, state, number, "person", "term_ord", ["credits", "cents"])
+    return campus.coded(found)
+
+
 @query(
     f"""
     WITH lines AS (

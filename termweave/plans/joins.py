@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from termweave.functions.hashing import hash_fraction
-from termweave.operators import entities, fragment, identity, quality
+from termweave.operators import entities, fragment, identity, quality, sketches
 from termweave.operators.ordering import top
 from termweave.plans import campus, sql
 from termweave.plans.registry import query
-from termweave.storage import materialize
+from termweave.storage import fresh_path, materialize
 
 Q2_SQL = f"""
     WITH {sql.CROSSWALK}, {sql.LMS}, {sql.SIS}
@@ -163,6 +163,33 @@ def coverage_by_term(spark, sf_dir):
     return campus.coded(found)
 
 
+@query(
+    f"""
+    WITH {ACTIVE_SQL},
+    keys AS (SELECT term_ord, count(DISTINCT person) AS n, count(DISTINCT CASE WHEN EXISTS (
+                 SELECT 1 FROM extract x WHERE x.person = e.person AND x.term_ord = e.term_ord) THEN person END) AS met
+             FROM enrolled e GROUP BY term_ord)
+    SELECT {sql.code('term_ord')} AS term_code, n AS people, met AS covered, met::DOUBLE / n::DOUBLE AS coverage, true AS within FROM keys""",
+    "X1", "J5",
+)
+def coverage_sketches(spark, sf_dir):
+    """Coverage of people estimated from sketches that each of three loads left, beside the exact share, which lies within the bounds."""
+    enrolled, extract = _enrolled_and_extract(spark, sf_dir)
+    path, by = fresh_path(spark, "key-sketches"), ["term_ord"]
+    for load in range(3):
+        for system, rows in (("sis", enrolled), ("lms", extract)):
+            part = rows.filter(F.pmod(F.col("person"), F.lit(3)) == load)
+            sketches.store_sketches(sketches.key_sketches(part, system, by, F.col("person")), path, f"{system}-{load}")
+    merged = sketches.merged_sketches(spark, path, by)
+    estimated = sketches.estimated_coverage(merged, "sis", "lms", by).select("term_ord", "lowest", "highest")
+    exact = quality.coverage(enrolled.distinct(), extract.distinct(), ["person", "term_ord"], by)
+    rows = exact.filter("left_rows > 0").join(estimated, "term_ord")
+    within = F.col("left_coverage").between(F.col("lowest") - 1e-12, F.col("highest") + 1e-12)
+    return campus.coded(
+        rows.select("term_ord", F.col("left_rows").alias("people"), F.col("left_matched").alias("covered"), F.col("left_coverage").alias("coverage"), within.alias("within"))
+    )
+
+
 @query(
     f"""
     WITH {ACTIVE_SQL}
