@@ -21,6 +21,8 @@ file) gives each file's first id; the files are read back block by block.
 Null and empty texts have only the end id. Rows of equal id are ordered by text;
 null ids come first. The text of a special token becomes that token, as the
 tokenizers library has it by default. Other columns of the input are ignored.
+
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -20,6 +20,8 @@ two softmax rows), a few MB at any input size.
 A null or empty text has no span and gets the score of an average of zero. With no
 label of one class, all scores are 0. Repeated rows get equal scores. Other columns
 of the input are ignored.
+
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

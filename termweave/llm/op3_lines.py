@@ -9,6 +9,8 @@ Margin 0.1 is six standard errors of a sketch with 2 ** 12 registers.
 Lines without a word are never removed. A null text has no lines, a null site is a
 site of its own. Rows of equal id and text are cut alike. Other columns of the
 input are ignored.
+
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -18,6 +18,8 @@ more than a constant per node.
 Null and empty texts have no word and the fingerprint zero, which links like any
 other. Repeated rows share their fingerprint. A component without any id has a null
 component_id. Other columns of the input are ignored.
+
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -15,6 +15,8 @@ whole on the executors.
 language was learned. With one learned language all other texts get it, with score
 1. Null languages are not learned from. Repeated rows get equal results. Other
 columns of the input are ignored.
+
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -12,6 +12,8 @@ Words are runs of other than the six white-space bytes, unchanged. Null, empty a
 short texts lose nothing. Rows of equal id do not remove each other's words; a null
 id is neither smaller nor larger than any other, so such rows stay whole. Other
 columns of the input are ignored.
+
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

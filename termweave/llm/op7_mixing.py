@@ -14,6 +14,8 @@ The place of the cut is found from two levels of per-source histograms of the
 rank, so a source of any size is never sorted in one task. Rows with equal ids are
 taken or left together. A null text has size 0, empty sources have target 0. Other
 columns of the input are ignored.
+
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -12,6 +12,8 @@ sketch of its language, and that of all documents if its language is as small.
 A null text is empty and fails the base rules. Null languages and sources are
 groups of their own. Repeated rows count as often as they occur. Other columns of
 the input are ignored.
+
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
