@@ -53,7 +53,7 @@ BLOCK_HEAD = struct.Struct("<III")
 FOOTER = struct.Struct("<QQQQ4s")
 END_ID = 2
 
-#: Word pieces a worker keeps between texts; forgetting them costs time only.
+#: Word pieces a worker keeps between texts; beyond them those used least are forgotten, which costs time only.
 CACHED_PIECES = 600_000
 SLICE_CHARS = 1 << 21
 #: White space, which the tokenizer may take as one run with a space beside it.
@@ -65,9 +65,10 @@ def pack_block(ids: np.ndarray) -> bytes:
     least = int(ids.min())
     rest = (ids - np.uint32(least)).astype(np.uint32)
     lengths = np.frexp(rest.astype(np.float64))[1]  # bits of each value
-    width = int(np.sort(lengths)[min(len(ids) - 1, len(ids) * PERCENTILE // 100)])
+    upto = np.cumsum(np.bincount(lengths))
+    width = int(np.searchsorted(upto, min(len(ids) - 1, len(ids) * PERCENTILE // 100), "right"))
     out = np.flatnonzero(lengths > width)
-    bits = ((rest[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
+    bits = np.unpackbits(rest.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=width, bitorder="little")
     high = (rest[out].astype(np.uint64) >> np.uint64(width)).astype(np.uint32)
     packed = np.packbits(bits.reshape(-1), bitorder="little").tobytes()
     head = BLOCK_HEAD.pack(least, width | len(ids) << 8, len(out))
@@ -200,12 +201,24 @@ class Encoder:
         for token, i in vocabulary.items():
             self.begins[i] = token.startswith("Ġ")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self._forget()
-
-    def _forget(self) -> None:
         self.known = _Numbers()
         self.flat = np.zeros(0, np.uint32)
         self.first = np.zeros(1, np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def _forget_rare(self) -> None:
+        """Keep at most half of the pieces, those used most often of late; most pieces are used once."""
+        most, least = CACHED_PIECES // 2, 2
+        while (self.uses >= least).sum() > most:
+            least *= 2
+        kept = np.flatnonzero(self.uses >= least)
+        sizes = (self.first[1:] - self.first[:-1])[kept]
+        ends = np.cumsum(sizes)
+        self.flat = self.flat[np.arange(int(sizes.sum())) + np.repeat(self.first[kept] - (ends - sizes), sizes)]
+        self.first = np.append(0, ends)
+        self.uses = self.uses[kept] // 2
+        pieces = list(self.known)
+        self.known = _Numbers((pieces[i], n) for n, i in enumerate(kept.tolist()))
 
     def _learn(self, pieces: list[str]) -> None:
         ids, counts = [], []
@@ -239,12 +252,15 @@ class Encoder:
         split = [texts[i].split(" ") for i in rest]
         heads = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([s[0] for s in split], add_special_tokens=False)]
         if len(self.known) > CACHED_PIECES:
-            self._forget()
+            self._forget_rare()
         before = len(self.known)
         pieces = chain.from_iterable(s[1:] for s in split)
         numbers = np.fromiter(map(self.known.__getitem__, pieces), np.int64, sum(map(len, split)) - len(split))
         if len(self.known) > before:
             self._learn(list(islice(self.known, before, None)))
+        used = np.bincount(numbers, minlength=len(self.known))
+        used[: len(self.uses)] += self.uses
+        self.uses = used
         counts = (self.first[1:] - self.first[:-1])[numbers]
         ends = np.cumsum(counts)
         places = np.arange(int(counts.sum())) + np.repeat(self.first[numbers] - (ends - counts), counts)
