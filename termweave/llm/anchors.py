@@ -26,13 +26,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.llm.common import joined_null_safe
@@ -42,6 +42,8 @@ PLACE_BITS = 24
 CHUNK_UNITS = 1 << 20
 HOT_SEGMENTS = 4096
 SMALL_ROWS = 500
+HELD_SIDES = 1 << 20
+_LAST = np.iinfo(np.int64).max
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -149,6 +151,10 @@ class Kind:
     finish: Callable[[bytes, np.ndarray | None], tuple[int, int, int, str]]
 
 
+#: From the least and greatest id and the number of places of a side (columns or arrays), whether windows can repeat there.
+Shared = Callable
+
+
 def _parts(texts: list[bytes], kind: Kind) -> Iterator[tuple[list[int], Segments]]:
     """Segments of texts, some together; very long texts in pieces that overlap by a window less one unit."""
     a = 0
@@ -190,19 +196,81 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).cast("binary").alias("text"))
 
 
-def sides(docs: DataFrame, kind: Kind) -> DataFrame:
-    """side (a hash) and doc_id, for both sides of every segment."""
+@dataclass
+class Sides:
+    """Sides of neighbouring rows, held to be told apart together: side, row, its id and whether it has one."""
+
+    side: list[np.ndarray] = field(default_factory=list)
+    row: list[np.ndarray] = field(default_factory=list)
+    doc: list[np.ndarray] = field(default_factory=list)
+    valid: list[np.ndarray] = field(default_factory=list)
+    held: int = 0
+
+    def add(self, side: np.ndarray, row: np.ndarray, doc: np.ndarray, valid: np.ndarray) -> None:
+        for held, new in ((self.side, side), (self.row, row), (self.doc, doc), (self.valid, valid)):
+            held.append(new)
+        self.held += len(side)
+
+    def told(self, shared: Shared) -> pa.RecordBatch:
+        """side, doc_id and n: each side and row once, with its number of places.
+
+        Where the held rows alone tell that a side is shared, its rows have no n, and two rows of the least and the
+        greatest id stand for them before the others.
+        """
+        side, row = np.concatenate(self.side), np.concatenate(self.row)
+        order = np.argsort(side, kind="stable")  # rows were added in turn, so places of a row stay together
+        side, row = side[order], row[order]
+        doc, valid = np.concatenate(self.doc)[order], np.concatenate(self.valid)[order]
+        new_side = np.append(True, side[1:] != side[:-1])
+        first = np.flatnonzero(new_side)
+        low = np.minimum.reduceat(np.where(valid, doc, _LAST), first)
+        high = np.maximum.reduceat(np.where(valid, doc, -_LAST), first)
+        total = np.diff(np.append(first, len(side)))
+        sure = shared(low, high, total)
+        one = np.flatnonzero(new_side | np.append(True, row[1:] != row[:-1]))
+        n = np.diff(np.append(one, len(side)))
+        unsure = ~sure[np.cumsum(new_side) - 1][one]
+        low, high, total, of = low[sure], high[sure], total[sure], side[first[sure]]
+        has = low != _LAST
+        two = low < high
+        sides = np.concatenate([side[one], of, of[two]])
+        docs = pa.array(np.concatenate([doc[one], low, high[two]]), mask=~np.concatenate([valid[one], has, has[two]]))
+        zero = np.zeros(int(two.sum()), np.int64)
+        counts = pa.array(np.concatenate([n, total, zero]), mask=np.append(~unsure, np.zeros(len(of) + len(zero), bool)))
+        return pa.RecordBatch.from_arrays([pa.array(sides), docs, counts], ["side", "doc_id", "n"])
+
+
+def shared_sides(docs: DataFrame, kind: Kind, shared: Shared) -> DataFrame:
+    """doc_id and side of the sides that are shared, both of every segment; one shuffle by side.
+
+    A side that very many rows have is told to be shared where it is made, so that few rows of it meet in a task.
+    """
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = Sides(), 0
         for batch in _small(batches):
+            doc, valid = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             for which, s in _parts(batch.column(1).to_pylist(), kind):
-                side = np.concatenate([s.left, s.right])
-                at = np.concatenate([s.text, s.text])[side != 0]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(side[side != 0]), batch.column(0).take(pa.array(np.array(which, np.int64)[at]))], ["side", "doc_id"]
-                )
-
-    return _rows(docs).mapInArrow(found, f"side long, doc_id {_id_type(docs)}")
+                side, at = np.stack([s.left, s.right], 1).reshape(-1), np.repeat(np.array(which, np.int64)[s.text], 2)
+                side, at = side[side != 0], at[side != 0]
+                held.add(side, rows + at, doc[at], valid[at])
+            rows += batch.num_rows
+            if held.held >= HELD_SIDES:
+                yield held.told(shared)
+                held = Sides()
+        if held.held:
+            yield held.told(shared)
+
+    rows = _rows(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
+    every = rows.mapInArrow(found, "side long, doc_id long, n long")
+    # Rows of which it is known are dealt evenly.
+    dealt = F.when(F.col("n").isNull(), F.xxhash64("side", "doc_id")).otherwise(F.col("side"))
+    same = Window.partitionBy("dealt")
+    met = every.withColumn("dealt", dealt).select(
+        "side", "doc_id", "n", F.min("doc_id").over(same).alias("low"), F.max("doc_id").over(same).alias("high"), F.sum("n").over(same).alias("places")
+    )
+    is_shared = F.col("n").isNull() | shared(F.col("low"), F.col("high"), F.col("places"))
+    return met.where(is_shared).select("doc_id", "side")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -349,7 +417,7 @@ def without_repeats(
     kind: Kind,
     index: Index,
     plain: Callable[[list[Segment]], list | None],
-    shared_side: Column,
+    shared: Shared,
     hot_value: Column,
     hot_repeats: Column,
     removes: Callable[[int, object], bool],
@@ -358,13 +426,10 @@ def without_repeats(
 ) -> DataFrame:
     """doc_id, n, n_removed, n_spans and kept_sha256 of every document.
 
-    ``shared_side``: a condition on ``low``, ``high`` (ids) and ``n`` (places) of a side. ``removes(value, doc_id)``:
-    whether a judged run with that value is removed from a document.
+    ``shared`` says of which sides windows can repeat. ``removes(value, doc_id)``: whether a judged run with that value
+    is removed from a document.
     """
-    every = sides(docs, kind)
-    known = every.groupBy("side").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
-    shared = every.join(known.where(shared_side).select("side"), "side", "left_semi")
-    segs = _stored(cut(docs, shared, kind), "repeat-places")
+    segs = _stored(cut(docs, shared_sides(docs, kind, shared), kind), "repeat-places")
     distinct = segs.groupBy("key", "sid", "content", "windows", "anchor").agg(
         F.min("doc_id").cast("long").alias("least"), F.count("*").alias("places")
     )

@@ -204,7 +204,7 @@ def dedup_substrings(docs: DataFrame, hot_segments: int = anchors.HOT_SEGMENTS)
         WORDS,
         least_documents,
         _plain,
-        shared_side=F.col("low") < F.col("high"),
+        shared=lambda low, high, n: low < high,
         hot_value=F.col("least"),
         hot_repeats=F.col("least").isNotNull(),
         removes=lambda least, doc_id: doc_id is not None and least < doc_id,
