@@ -9,6 +9,7 @@ import zlib
 import pytest
 
 from termweave.llm import (
+    anchors,
     common,
     op1_toxicity,
     op2_decontamination,
@@ -407,6 +408,40 @@ def test_substrings_equal_brute_force(spark, hot):
     assert sum(n for _, n, _ in found.values()) > 500
 
 
+@pytest.mark.parametrize("shared", [lambda low, high, n: low < high, lambda low, high, n: n > 1], ids=["ids", "places"])
+def test_sides_told_in_parts_equal_those_told_at_once(shared):
+    """Whether a side is shared does not depend on which rows were held together; rows known to be shared have no n."""
+    import numpy as np
+    import pandas as pd
+
+    picks = np.random.default_rng(5)
+    for _ in range(60):
+        n = int(picks.integers(1, 200))
+        row = np.sort(picks.integers(0, 40, n))
+        ids = picks.integers(0, 30, 40)  # some rows have the same id
+        has = picks.random(40) > 0.2
+        side = picks.choice([1, 2, 3, *range(100, 400)], n).astype(np.int64)
+        table = pd.DataFrame({"side": side, "doc_id": pd.array(np.where(has[row], ids[row], 0), "Int64")})
+        table.loc[~has[row], "doc_id"] = pd.NA
+        agg = table.groupby("side")["doc_id"].agg(["min", "max", "size"])
+        is_shared = {s for s, r in agg.iterrows() if bool(shared(1, 2, 0) and not pd.isna(r["min"]) and r["min"] < r["max"] or shared(0, 0, r["size"]))}
+        expected = {(s, d) for s, d in zip(table["side"], table["doc_id"].fillna(-1), strict=True) if s in is_shared}
+        told = []
+        borders = np.unique(np.searchsorted(row, np.sort(picks.integers(0, 41, 3))))
+        for part in np.split(np.arange(n), borders):
+            if len(part):
+                held = anchors.Sides()
+                held.add(side[part], row[part], ids[row[part]], has[row[part]])
+                told.append(held.told(shared).to_pandas(types_mapper=pd.ArrowDtype))
+        told = pd.concat(told)
+        sure, rest = told[told["n"].isna()], told[told["n"].notna()]
+        agg = rest.groupby("side").agg(low=("doc_id", "min"), high=("doc_id", "max"), n=("n", "sum"))
+        met = {s for s, r in agg.iterrows() if shared(0, 0, r["n"]) or (not pd.isna(r["low"]) and shared(r["low"], r["high"], 0))}
+        rest = rest[rest["side"].isin(met)]
+        both = pd.concat([sure, rest])
+        assert set(zip(both["side"], both["doc_id"].fillna(-1), strict=True)) == expected
+
+
 def brute_bytes(rows, k=400):
     from collections import Counter
 

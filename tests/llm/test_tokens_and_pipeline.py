@@ -85,6 +85,21 @@ def test_encoder_equals_the_library_beside_any_white_space():
     assert [x.tolist() for x in encoder.encode(texts)] == expected
 
 
+def test_encoder_forgets_rare_pieces(monkeypatch):
+    monkeypatch.setattr(op10_tokens, "CACHED_PIECES", 60)
+    picks = random.Random(3)
+    words = ["".join(picks.choice("abcdefé1.") for _ in range(picks.randrange(1, 9))) for _ in range(2000)]
+    encoder, held = op10_tokens.Encoder(PATH), []
+    for _ in range(40):
+        texts = [" ".join(["of", "the", *picks.choices(words, k=picks.randrange(1, 12)), "of"]) for _ in range(5)]
+        expected = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in encoder.encode(texts)] == expected
+        assert len(encoder.known) == len(encoder.first) - 1 == len(encoder.uses)
+        held.append(len(encoder.known))
+    assert any(b < a for a, b in zip(held, held[1:], strict=False))
+    assert "of" in encoder.known
+
+
 def test_token_files_of_odd_rows(spark):
     common.send_code(spark)
     rows = [(5, "five words are in here"), (1, None), (3, ""), (2, "long " * 20_000), (None, "no id"), (5, "a second five")]
