@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from urllib.parse import quote
 
@@ -17,6 +19,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 @lru_cache(maxsize=None)
 def _local_dir(application_id: str) -> str:
     return tempfile.mkdtemp(prefix="termweave-")
@@ -58,6 +63,23 @@ def clear(spark: SparkSession) -> None:
         store.delete_dir(place)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside delete their shuffle files at their end, as nothing but the stored result is read later.
+
+    While a query runs its shuffles stay, so a lost executor costs what it always does.
+    """
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and go on from the stored copy."""
     path = fresh_path(df.sparkSession, name)
