@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.llm.common import joined_null_safe
-from termweave.storage import fresh_path
+from termweave.storage import fresh_path, shuffles_freed
 
 PLACE_BITS = 24
 CHUNK_UNITS = 1 << 20
@@ -181,7 +181,8 @@ def _id_type(docs: DataFrame) -> str:
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
