@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from termweave import schemas
 from termweave.functions.derive import utc_now
-from termweave.functions.sqltext import fanout, tables_in_sql
-from termweave.plans import receipts
+from termweave.functions.sqltext import fanout, tables_in_sql, tables_read
+from termweave.plans import receipts, texts
 from termweave.plans.workload import WORKLOAD
 from termweave.sources import extracts, sinks
 
@@ -33,6 +33,46 @@ def test_tables_in_sql_text(spark, rows, text, tables):
     assert receipts.tables_named(spark, text) == tables
 
 
+READ = {
+    "SELECT * FROM a JOIN b ON a.x = b.x": ["a", "b"],
+    "select *\n from\tschema.a, c where 1=1 ": ["a", "c"],
+    "WITH x AS (SELECT * FROM t), y(n) AS (SELECT 1 FROM x) SELECT * FROM x, y, u": ["t", "u"],
+    "WITH t AS (SELECT * FROM t) SELECT * FROM t": ["t"],
+    "WITH RECURSIVE t(n) AS (SELECT 1 UNION SELECT n FROM t, r) SELECT * FROM T, db.t; SELECT * FROM T": ["r", "t", "T"],
+    "SELECT * FROM (WITH x AS (SELECT 1) SELECT * FROM x) s, x": ["x"],
+    "SELECT * FROM (SELECT 1, 2) s join LATERAL (SELECT max(v) FROM w) y": ["w"],
+    "SELECT * FROM A -- from hidden\n JOIN a /* join b\n */ , 'from c' ": ["A", "a"],
+    "SELECT extract(year FROM day), trim(BOTH 'x' FROM name), f(a, b) FROM t": ["t"],
+    "SELECT a IS DISTINCT FROM b FROM t WHERE x IN (SELECT y FROM u), z": ["t", "u"],
+    "SELECT * FROM ((a JOIN b USING (k)) JOIN c USING (k)), d ORDER BY x, y": ["a", "b", "c", "d"],
+    "SELECT * FROM \"My Table\" m, `db`.`t`": ["My Table", "t"],
+    "SELECT * FROM range(3) r, explode(x) e, t": ["t"],
+    "SELECT * FROM t LATERAL VIEW explode(m) e AS k, v SORT BY a, b": ["t"],
+    "SELECT 1) FROM a, b": ["a", "b"],
+    "DELETE FROM where": [],
+    "SELECT 1": [],
+    "SELECT fromage FROM db.s.cheese;": ["cheese"],
+    "": [],
+    None: None,
+}
+
+
+def test_tables_read_by_sql_text(rows):
+    got = rows("i int, sql string", *enumerate(READ)).orderBy("i").select(tables_read(F.col("sql"))).collect()
+    assert dict(zip(READ, (r[0] for r in got))) == READ
+
+
+def test_logged_statements_with_lists_subqueries_and_comments(spark, rows, tmp_path):
+    kinds = ["click", "view", "purchase", "signup", "error", "other", None]
+    events = [(i, kind, 7) for i, kind in enumerate(kinds)] + [(9, "view", None)]
+    rows("event_id long, event_type string, user_id long", *events).write.parquet(str(tmp_path / "events.parquet"))
+    found = texts.sql_fanout(spark, str(tmp_path)).collect()
+    assert {r.event_id: (r.tables, r.fanout) for r in found} == {
+        0: ("clicks,u7,users", 3), 1: ("limits,u7,users,views", 4), 2: ("Purchases,purchases,u7", 3), 3: ("days,signups,u7", 3),
+        4: ("u7", 1), 5: (None, None), 6: (None, None), 9: (None, None),
+    }
+
+
 @pytest.fixture
 def campus(spark, rows):
     """Three people in two terms; one pair of keys is crossed, one term is skipped."""
