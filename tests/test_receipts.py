@@ -71,6 +71,9 @@ def test_logged_statements_with_lists_subqueries_and_comments(spark, rows, tmp_p
         0: ("clicks,u7,users", 3), 1: ("limits,u7,users,views", 4), 2: ("Purchases,purchases,u7", 3), 3: ("days,signups,u7", 3),
         4: ("u7", 1), 5: (None, None), 6: (None, None), 9: (None, None),
     }
+    assert {tuple(r) for r in texts.table_usage(spark, str(tmp_path)).collect()} == {
+        ("clicks", 1), ("users", 2), ("views", 1), ("limits", 1), ("Purchases", 1), ("purchases", 1), ("signups", 1), ("days", 1), ("u7", 5),
+    }
 
 
 @pytest.fixture
